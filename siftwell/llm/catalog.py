@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -17,8 +18,31 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose fold is not 2."""
+    from .langid import fold
+    from .quality import learn, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ranking = learn(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
+    held_out = (fold(F.col("doc_id"), 4) == 2).alias("held_out")
+    return score(docs.select("doc_id", held_out, "text"), ranking, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose fold is not 1."""
+    from .langid import fold, identify, learn_dictionaries
+
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = learn_dictionaries(docs.filter(fold(F.col("doc_id"), 3) != 1))
+    held_out = (fold(F.col("doc_id"), 3) == 1).alias("held_out")
+    return identify(docs.select("doc_id", held_out, "text"), dictionaries, ["doc_id", "held_out"])
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op7_quality_ranking": op7_quality_ranking,
+    "op8_compression_langid": op8_compression_langid,
 }
 
 ORACLES: dict[str, str] = {}
