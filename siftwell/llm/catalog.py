@@ -18,6 +18,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .positional import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from rows whose fold is not 2."""
     from .langid import fold
@@ -41,6 +47,7 @@ def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_positional_decontamination": op6_positional_decontamination,
     "op7_quality_ranking": op7_quality_ranking,
     "op8_compression_langid": op8_compression_langid,
 }
