@@ -18,6 +18,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op5_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .positional import contamination
 
@@ -47,6 +53,7 @@ def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op5_dictionary_warc": op5_dictionary_warc,
     "op6_positional_decontamination": op6_positional_decontamination,
     "op7_quality_ranking": op7_quality_ranking,
     "op8_compression_langid": op8_compression_langid,
