@@ -51,12 +51,19 @@ def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out, "text"), dictionaries, ["doc_id", "held_out"])
 
 
+def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_dictionary_warc": op5_dictionary_warc,
     "op6_positional_decontamination": op6_positional_decontamination,
     "op7_quality_ranking": op7_quality_ranking,
     "op8_compression_langid": op8_compression_langid,
+    "op10_mtree_topk": op10_mtree_topk,
 }
 
 ORACLES: dict[str, str] = {}
