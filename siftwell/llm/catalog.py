@@ -18,6 +18,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op4_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import joined, scan
+
+    found = scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"), "n_random")
+
+
 def op5_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -51,6 +58,13 @@ def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out, "text"), dictionaries, ["doc_id", "held_out"])
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_removed").cast("long").alias("n_removed"), "text")
+
+
 def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mtree import top_k
 
@@ -59,10 +73,12 @@ def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_randomness_secrets": op4_randomness_secrets,
     "op5_dictionary_warc": op5_dictionary_warc,
     "op6_positional_decontamination": op6_positional_decontamination,
     "op7_quality_ranking": op7_quality_ranking,
     "op8_compression_langid": op8_compression_langid,
+    "op9_line_chunks": op9_line_chunks,
     "op10_mtree_topk": op10_mtree_topk,
 }
 
