@@ -18,6 +18,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op2_gear_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated passages; a document that shares none has no row."""
+    from .substrings import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_chunks", "keeper", "n_repeated")
+
+
 def op4_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import joined, scan
 
@@ -73,6 +80,7 @@ def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_gear_substrings": op2_gear_substrings,
     "op4_randomness_secrets": op4_randomness_secrets,
     "op5_dictionary_warc": op5_dictionary_warc,
     "op6_positional_decontamination": op6_positional_decontamination,
