@@ -44,20 +44,28 @@ def _chunk_text(lines: Column, c: Column) -> Column:
 def removals(docs: DataFrame, every: int) -> DataFrame:
     """__id, __hash and the chunk numbers to remove, for the documents that lose any.
 
-    Only digests of chunks go through the aggregation that finds repeats, with
-    partial sums first; only repeated chunks' texts move, by joins that Spark
-    splits where one chunk is very common.
+    Digests of chunks alone go through the aggregation that finds repeats, with
+    partial sums first. A document then moves once, to its repeated chunks'
+    numbers, and only those chunks' texts go on to be compared, by a join that
+    Spark splits where one chunk is very common.
     """
-    lines = docs.filter(F.col("text").contains(LINE)).select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), F.split("text", LINE, -1).alias("lines")).withColumn("chunks", chunk_bounds(F.col("lines"), every))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("__hash"), "text")
+
+    def chunks(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("lines", F.split("text", LINE, -1)).withColumn("bounds", chunk_bounds(F.col("lines"), every))
+
     several = F.filter(
-        F.transform("chunks", lambda c, k: F.struct(k.alias("no"), _chunk_text(F.col("lines"), c).alias("text"), (c["last"] > c["first"]).alias("several"))), lambda c: c["several"]
+        F.transform("bounds", lambda c, k: F.struct(k.alias("no"), F.unhex(F.md5(_chunk_text(F.col("lines"), c))).alias("digest"), (c["last"] > c["first"]).alias("several"))), lambda c: c["several"]
     )
-    chunks = lines.select("__id", "__hash", F.explode(several).alias("c")).select("__id", "__hash", F.col("c.no").alias("no"), F.col("c.text").alias("chunk")).withColumn("digest", F.unhex(F.md5("chunk")))
-    place = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash", "no")
-    repeated = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    found = chunks.join(repeated, "digest").withColumn("is_first", place == F.col("first"))
-    firsts = found.filter("is_first").groupBy("digest").agg(F.min("chunk").alias("first_chunk"))
-    same = found.filter("not is_first").join(firsts, "digest").filter(F.col("chunk") == F.col("first_chunk"))
+    places = chunks(keyed.filter(F.col("text").contains(LINE))).select("doc_id", "__hash", F.explode(several).alias("c")).select("doc_id", "__hash", "c.no", "c.digest")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "no")
+    repeated = places.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    found = places.join(repeated, "digest").select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"), F.struct("no", "digest", (place == F.col("first")).alias("first")).alias("c"))
+    by_doc = found.groupBy("__id", "__h").agg(F.collect_set("c").alias("found"))
+    texts = chunks(keyed.join(by_doc, keyed["doc_id"].eqNullSafe(by_doc["__id"]) & (keyed["__hash"] == by_doc["__h"])).drop("doc_id", "__hash"))
+    texts = texts.select("__id", F.col("__h").alias("__hash"), "lines", "bounds", F.explode("found").alias("c")).select("__id", "__hash", "c.*", _chunk_text(F.col("lines"), F.col("bounds")[F.col("c.no")]).alias("chunk"))
+    firsts = texts.filter("first").groupBy("digest").agg(F.min("chunk").alias("first_chunk"))
+    same = texts.filter("not first").join(firsts, "digest").filter(F.col("chunk") == F.col("first_chunk"))
     return same.groupBy("__id", "__hash").agg(F.collect_set("no").alias("__gone"))
 
 
