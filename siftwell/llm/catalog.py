@@ -25,6 +25,12 @@ def op2_gear_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_chunks", "keeper", "n_repeated")
 
 
+def op3_pigeonhole_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op4_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import joined, scan
 
@@ -81,6 +87,7 @@ def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_gear_substrings": op2_gear_substrings,
+    "op3_pigeonhole_jaccard": op3_pigeonhole_jaccard,
     "op4_randomness_secrets": op4_randomness_secrets,
     "op5_dictionary_warc": op5_dictionary_warc,
     "op6_positional_decontamination": op6_positional_decontamination,
