@@ -47,7 +47,7 @@ def op5_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .positional import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

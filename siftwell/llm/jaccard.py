@@ -315,7 +315,7 @@ def verify(pairs: DataFrame, docs: DataFrame, profile: DataFrame, width: int, t:
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, share: float = 0.0005, hot_most: int = 200_000, piece: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, n_links (of its class with other classes, as far as verified) per row of ``docs(doc_id, text)``.
+    """doc_id, text_hash, n_shingles, component_id, root (a number of the component's own, null for an empty set) and n_links (links found between its class and others) per row of ``docs(doc_id, text)``.
 
     ``share`` and ``hot_most`` set which shingles count as common, which changes
     cost but never the result; entries are dealt in pieces of about ``piece`` sets.
@@ -348,8 +348,27 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, share
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     # only classes with links have a root to look up
     rooted = classes.join(ends, "cls").join(roots.withColumnRenamed("member", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "component", "n_links")
-    known = classes.join(named, "cls", "left").select("cls", F.coalesce("component", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    filled = profile.filter("n_shingles > 0").join(known, "cls").select("doc_id", "text_hash", "n_shingles", "component_id", "n_links")
-    empty = profile.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "root", "component", "n_links")
+    known = classes.join(named, "cls", "left").select("cls", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    filled = profile.filter("n_shingles > 0").join(known, "cls").select("doc_id", "text_hash", "n_shingles", "component_id", "root", "n_links")
+    empty = profile.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_links"))
     return filled.unionByName(empty)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs`` with one row of each component of ``found``: that with the smallest doc_id, then text hash. Rows with the empty set all stay."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    found = materialise(found, "found")
+    kept = found.filter("root is not null").groupBy("root").agg(F.min(key).alias("kept"), F.sum(F.lit(1)).alias("n")).filter("n > 1")
+    several = found.join(kept, "root")
+    gone = materialise(several.filter(key != F.col("kept")).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    rows = docs.withColumn("__hash", F.xxhash64("text"))
+    left = rows.join(side, rows["doc_id"].cast("long").eqNullSafe(side["g_id"]) & (rows["__hash"] == side["g_hash"]), "left_anti")
+    repeated = several.filter(key == F.col("kept")).groupBy("doc_id", "text_hash").count().filter("count > 1")
+    if not repeated.isEmpty():
+        # rows that repeat both id and text: only those meet, one stays
+        again = repeated.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
+        same = left["doc_id"].cast("long").eqNullSafe(again["g_id"]) & (left["__hash"] == again["g_hash"])
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__hash"]))
+    return left.select(*docs.columns)

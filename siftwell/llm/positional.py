@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, materialise
 
-INDEX = "segment long, doc_ids array<long>, starts binary, terms binary, ends binary, positions binary"
-HITS = "segment long, ordinal int, doc_id long, n_words long, hit binary, near binary, items array<string>"
+INDEX = "segment long, doc_ids array<long>, text_hashes array<long>, starts binary, terms binary, ends binary, positions binary"
+HITS = "segment long, ordinal int, doc_id long, text_hash long, n_words long, hit binary, near binary, items array<string>"
 
 #: ASCII letters (lower-cased), digits and all bytes above 127 are parts of words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -48,6 +48,7 @@ def build_index(docs: DataFrame, segment_words: int = 1_000_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, zip_ = WordHashes(), zstd.ZstdCompressor(level=1)
         ids: list[int | None] = []
+        keys: list[int] = []
         found: list[np.ndarray] = []
         size = 0
 
@@ -61,15 +62,16 @@ def build_index(docs: DataFrame, segment_words: int = 1_000_000) -> DataFrame:
             terms, first = np.unique(flat[order], return_index=True)
             listed = position[order].astype(np.uint32)
             steps = np.diff(listed, prepend=np.uint32(0))  # wraps around at each new term, and back when summed
-            row = [[0], [list(ids)], [starts.astype(np.uint32).tobytes()], [terms.tobytes()], [np.append(first, len(flat)).astype(np.uint32).tobytes()], [zip_.compress(steps.tobytes())]]
-            ids.clear(), found.clear()
+            row = [[0], [list(ids)], [list(keys)], [starts.astype(np.uint32).tobytes()], [terms.tobytes()], [np.append(first, len(flat)).astype(np.uint32).tobytes()], [zip_.compress(steps.tobytes())]]
+            ids.clear(), keys.clear(), found.clear()
             size = 0
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc_id, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 ids.append(doc_id)
+                keys.append(key)
                 found.append(hashes.of(words(text.as_py())))
                 size += len(found[-1]) + 1
                 if size >= segment_words:
@@ -77,7 +79,7 @@ def build_index(docs: DataFrame, segment_words: int = 1_000_000) -> DataFrame:
         if ids:
             yield segment()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, INDEX)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text"), F.col("text").cast("string").alias("text")).mapInArrow(run, INDEX)
     return materialise(rows.withColumn("segment", F.monotonically_increasing_id()), "index")
 
 
@@ -108,7 +110,7 @@ class Segment:
     """A decoded index row."""
 
     def __init__(self, row: dict, unzip: zstd.ZstdDecompressor):
-        self.doc_ids = row["doc_ids"]
+        self.doc_ids, self.text_hashes = row["doc_ids"], row["text_hashes"]
         self.starts = np.frombuffer(row["starts"], np.uint32).astype(np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.ends = np.frombuffer(row["ends"], np.uint32).astype(np.int64)
@@ -189,7 +191,7 @@ def search(index: DataFrame, block: list[tuple[str, str | None]], width: int, re
                 m = len(seg.doc_ids)
                 bits = {k: [np.packbits(v[seg.starts[d] : seg.starts[d + 1] - 1]).tobytes() if some[k][d] else None for d in range(m)] for k, v in cover.items()}
                 arrays = [
-                    pa.array([row["segment"]] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(seg.doc_ids, pa.int64()), pa.array(np.diff(seg.starts) - 1, pa.int64()),
+                    pa.array([row["segment"]] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(seg.doc_ids, pa.int64()), pa.array(seg.text_hashes, pa.int64()), pa.array(np.diff(seg.starts) - 1, pa.int64()),
                     pa.array(bits["hit"], pa.binary()), pa.array(bits["near"], pa.binary()), pa.array([sorted(items.get(d, ())) for d in range(m)], pa.list_(pa.string())),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in HITS.split(", ")])
@@ -225,7 +227,7 @@ def _merged(parts: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, reach: int = 14, block_words: int = 2_000_000) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit (words in exact occurrences of a window), n_items, items_sha256, contaminated, n_near, item_ids.
+    """Per row of ``docs``: doc_id, text_hash (Spark's xxhash64), n_words, n_hit (words in exact occurrences of a window), n_items, items_sha256, contaminated, n_near, item_ids.
 
     ``width`` is the window; ``reach`` the most positions of a proximity match, whose words n_near counts.
     """
@@ -243,9 +245,17 @@ def counted(hits: DataFrame) -> DataFrame:
             n = {k: [0 if x is None else int.from_bytes(x, "big").bit_count() for x in b.column(k).to_pylist()] for k in ("hit", "near")}
             items = b.column("items").to_pylist()
             arrays = [
-                b.column("doc_id"), b.column("n_words"), pa.array(n["hit"], pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+                b.column("doc_id"), b.column("text_hash"), b.column("n_words"), pa.array(n["hit"], pa.int64()), pa.array([len(x) for x in items], pa.int64()),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([x > 0 for x in n["hit"]], pa.bool_()), pa.array(n["near"], pa.int64()), b.column("items"),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "item_ids"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "item_ids"])
 
-    return hits.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long, item_ids array<string>")
+    return hits.mapInArrow(run, "doc_id long, text_hash long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long, item_ids array<string>")
+
+
+def without_contaminated(docs: DataFrame, found: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs`` less the documents that ``found`` calls contaminated."""
+    gone = materialise(found.filter("contaminated").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct(), "contaminated")
+    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    rows = docs.withColumn("__hash", F.xxhash64("text"))
+    return rows.join(side, rows["doc_id"].cast("long").eqNullSafe(side["g_id"]) & (rows["__hash"] == side["g_hash"]), "left_anti").select(*docs.columns)
