@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .queries import ranking
+
 FLAGSHIP = "novelty_ranking"
+_PARTS = (ranking,)
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
