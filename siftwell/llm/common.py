@@ -77,6 +77,51 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class WordHasher:
+    """64-bit hashes of all words of many texts at once.
+
+    A word's hash is a polynomial in its bytes' random values, taken from running
+    sums over the whole buffer, scrambled with its length. ``values`` gives each
+    byte's value; bytes marked in ``gaps`` part words.
+    """
+
+    _BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, gaps: bytes, same: dict[int, int], size: int = 1 << 20):
+        self.size = 0
+        self.gap = np.zeros(256, bool)
+        self.gap[list(gaps)] = True
+        self.values = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64)
+        for b, like in same.items():
+            self.values[b] = self.values[like]
+        self._grow(size)
+
+    def _grow(self, size: int) -> None:
+        if size > self.size:
+            self.size = size
+            self.up = np.full(size, self._BASE, np.uint64)
+            self.down = np.full(size, pow(self._BASE, -1, 1 << 64), np.uint64)
+            self.up[0] = self.down[0] = 1
+            np.multiply.accumulate(self.up, out=self.up)
+            np.multiply.accumulate(self.down, out=self.down)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes in order, and where each text's words begin, with the end."""
+        gap = b" "
+        joined = gap + gap.join(texts) + gap
+        b = np.frombuffer(joined, np.uint8)
+        if len(b) > self.size:
+            self._grow(len(b))
+        parted = self.gap[b]
+        edges = np.diff(parted.view(np.int8))
+        starts, ends = np.nonzero(edges == -1)[0] + 1, np.nonzero(edges == 1)[0] + 1
+        with np.errstate(over="ignore"):
+            sums = np.cumsum(self.values[b] * self.up[: len(b)], dtype=np.uint64)
+            hashes = mixed((sums[ends - 1] - sums[starts - 1]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        first = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]) if texts else np.ones(1, np.int64)
+        return hashes, np.searchsorted(starts, first)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))

@@ -14,7 +14,8 @@ segment's one-deletion neighbourhood, which allows one difference a segment.
 Sets under one index entry are candidates. No entry's pairs are spelled out: its
 sets are compared with one hub, links and hubs form components, and only sets of
 different components that still share an entry are compared with each other.
-Every comparison is exact, on whole sets of 64-bit shingle hashes. Equal sets are
+Parity sketches first drop pairs that cannot be linked;
+every other comparison is exact, on whole sets of 64-bit shingle hashes. Equal sets are
 one class throughout, known by a 64-bit sum of its elements' scrambled hashes.
 
 Defined results: null and wordless texts have the empty set, and are linked with
@@ -33,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialise, mixed
+from .common import WordHasher, materialise, mixed
 from .components import components
 
-PROFILE = "doc_id long, text_hash long, n_shingles long, cls long, hot array<long>, hot_n array<int>"
+PROFILE = "doc_id long, text_hash long, n_shingles long, cls long, sketch binary, hot array<long>, hot_n array<int>"
 ENTRIES = "sig long, salt int, size int, cls long"
 FOUND = "kind int, sig long, a long, b long, a_size int, b_size int"
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -44,21 +45,68 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 SMALL = 11
 
 
+#: The characters that part words, and the letters taken as lower case.
+_GAPS = bytes([32, *range(9, 14)])
+_LOWER = {b: b + 32 for b in range(65, 91)}
+
+
 class Shingler:
     def __init__(self, width: int):
-        self.width, self.hashes = width, WordHashes()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The sorted distinct shingle hashes of a text."""
-        h = self.hashes.of((text or "").encode("utf-8", "replace").lower().split())
-        w = min(self.width, len(h))
-        if not w:
-            return h
+        self.width, self.hasher = width, WordHasher(_GAPS, _LOWER)
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The sorted distinct shingle hashes of each text."""
+        out: list[np.ndarray] = []
+        some: list[bytes] = []
+        size = 0
+        for text in texts:
+            some.append((text or "").encode("utf-8", "replace"))
+            size += len(some[-1]) + 1
+            if size > 900_000:
+                out += self._sets(some)
+                some, size = [], 0
+        return out + self._sets(some) if some else out
+
+    def _sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        h, first = self.hasher(texts)
         with np.errstate(over="ignore"):
-            x = h[: len(h) - w + 1].copy()
-            for i in range(1, w):
-                x = mixed(x) * _M + h[i : len(h) - w + 1 + i]
-            return np.unique(mixed(x + np.uint64(w)))
+            whole = h[: max(0, len(h) - self.width + 1)].copy()
+            for i in range(1, self.width):
+                whole = mixed(whole) * _M + h[i : len(whole) + i]
+            whole = mixed(whole + np.uint64(self.width))
+            return [np.unique(whole[a : b - self.width + 1]) if b - a >= self.width else self._short(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+    def _short(self, h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return h
+        x = h[:1].copy()
+        for i in range(1, len(h)):
+            x = mixed(x) * _M + h[i]
+        return mixed(x + np.uint64(len(h)))
+
+
+def sketch_of(x: np.ndarray) -> bytes:
+    """Parities of the numbers of elements by the low bits of their hashes, about a bit an element.
+
+    Two sets' sketches differ in at most as many bits as the sets in elements.
+    """
+    if not len(x):
+        return b""
+    bits = 1 << max(3, (len(x) - 1).bit_length())
+    return np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the larger folded to the smaller's size."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n, m = len(a), len(b)
+    while n > m:
+        n //= 2
+        x = (x >> (8 * n)) ^ (x & ((1 << (8 * n)) - 1))
+    while m > n:
+        m //= 2
+        y = (y >> (8 * m)) ^ (y & ((1 << (8 * m)) - 1))
+    return (x ^ y).bit_count()
 
 
 def class_of(x: np.ndarray) -> int:
@@ -175,7 +223,7 @@ def profiles(docs: DataFrame, width: int, share: float) -> DataFrame:
         shingles = Shingler(width)
         sets: list[np.ndarray] = []
         for b in batches:
-            sets = [shingles(x.as_py()) for x in b.column(2)]
+            sets = shingles.sets(b.column(2).to_pylist())
             flat = np.concatenate([s[:0] for s in sets[:1]] + sets) if sets else np.zeros(0, np.uint64)
             tokens, n = np.unique(flat, return_counts=True)
             common = n >= max(8, share * len(sets))
@@ -183,7 +231,7 @@ def profiles(docs: DataFrame, width: int, share: float) -> DataFrame:
             hot = [tokens[common].view(np.int64)] + [None] * (m - 1)
             hot_n = [n[common].astype(np.int32)] + [None] * (m - 1)
             arrays = [
-                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()),
+                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(map(sketch_of, sets), pa.binary()),
                 pa.array(hot[:m], pa.list_(pa.int64())), pa.array(hot_n[:m], pa.list_(pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PROFILE.split(", ")])
@@ -218,8 +266,7 @@ def index(docs: DataFrame, width: int, t: Threshold, hot: Hot, piece: int) -> Da
 
         found, held = [], 0
         for b in batches:
-            for text in b.column(0):
-                x = shingles(text.as_py())
+            for x in shingles.sets(b.column(0).to_pylist()):
                 cls = class_of(x)
                 if not len(x) or cls in seen:
                     continue
@@ -280,6 +327,19 @@ def meet(entries: DataFrame, t: Threshold) -> DataFrame:
     return parted.mapInArrow(run, FOUND)
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, t: Threshold) -> DataFrame:
+    """The ``pairs(a, b)`` whose sketches don't rule out a link already."""
+    x = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("a_sketch"), F.col("n_shingles").alias("a_n"))
+    y = sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("b_sketch"), F.col("n_shingles").alias("b_n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [sketches_differ(p, q) <= t.differ(r, s) for p, q, r, s in zip(*(c.to_pylist() for c in b.columns[2:]))]
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(kept, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, profile: DataFrame, width: int, t: Threshold, broadcast_rows: int) -> DataFrame:
     """``pairs(a, b)`` with ``linked``, by the whole sets of one text of either class."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -297,7 +357,7 @@ def verify(pairs: DataFrame, docs: DataFrame, profile: DataFrame, width: int, t:
 
         def of(cls: int, text) -> np.ndarray:
             if cls not in held:
-                held[cls] = shingles(text.as_py())
+                held[cls] = shingles.sets([text.as_py()])[0]
                 if len(held) > 256:
                     held.popitem(last=False)
             else:
@@ -323,12 +383,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, share
     t = Threshold(percent)
     profile = materialise(profiles(docs, width, share), "profiles")
     hot = common_shingles(profile, hot_most)
+    sketches = materialise(profile.filter("n_shingles > 0").groupBy("cls").agg(F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")), "sketches")
     found = materialise(meet(index(docs, width, t, hot, piece), t), "met")
     hubs = found.filter("kind = 2").select("sig", F.col("a").alias("h"), F.col("a_size").alias("h_size"))
     first = hubs.groupBy("sig").agg(F.min(F.struct("h", "h_size")).alias("f"))
     across = hubs.join(first, "sig").select(F.col("f.h").alias("a"), F.col("h").alias("b"), F.col("f.h_size").alias("a_size"), F.col("h_size").alias("b_size")).filter("a <> b").filter(t.fits(F.col("a_size").cast("long"), F.col("b_size").cast("long")))
     pairs = materialise(found.filter("kind = 0").select("a", "b").unionByName(across.select("a", "b")).distinct(), "pairs")
-    first_links = verify(pairs, docs, profile, width, t, broadcast_rows)
+    first_links = verify(materialise(possible(pairs, sketches, t), "possible"), docs, profile, width, t, broadcast_rows)
     roots = components(first_links.filter("linked").select("a", "b"))
 
     # sets of different components that share an entry
@@ -339,7 +400,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, share
     x, y = open_.alias("x"), open_.alias("y")
     fits = t.fits(F.col("x.size").cast("long"), F.col("y.size").cast("long"))
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    rest = materialise(rest.join(first_links, ["a", "b"], "left_anti"), "rest")
+    rest = materialise(possible(rest.join(pairs, ["a", "b"], "left_anti"), sketches, t), "rest")
     second_links = verify(rest, docs, profile, width, t, broadcast_rows)
     links = first_links.unionByName(second_links).filter("linked").select("a", "b")
     roots = components(links.select("a", "b"))
