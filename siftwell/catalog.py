@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import ranking
+from .queries import evaluation, ranking, sequences
 
 FLAGSHIP = "novelty_ranking"
-_PARTS = (ranking,)
+_PARTS = (ranking, sequences, evaluation)
 
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -20,7 +20,11 @@ def _by_dimension(windows: DataFrame) -> DataFrame:
 def _vector(stats: DataFrame, names: list[str]) -> DataFrame:
     """clip, v: the named statistics of each dimension, one statistic after the other."""
     sorted_dims = F.array_sort(F.collect_list(F.struct("dim", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])))
-    return stats.groupBy("clip").agg(sorted_dims.alias("d")).select("clip", F.flatten(F.array(*[F.transform("d", lambda s, n=n: s[n]) for n in names])).alias("v"))
+
+    def field(name: str):
+        return lambda s: s[name]
+
+    return stats.groupBy("clip").agg(sorted_dims.alias("d")).select("clip", F.flatten(F.array(*[F.transform("d", field(n)) for n in names])).alias("v"))
 
 
 def mean_std_pool(windows: DataFrame) -> DataFrame:
