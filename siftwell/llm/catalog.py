@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
+
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -28,7 +30,7 @@ def op2_gear_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pigeonhole_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def op5_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .positional import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash", "n_near", "item_ids")
 
 
 def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +99,10 @@ QUERIES = {
     "op10_mtree_topk": op10_mtree_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_pigeonhole_jaccard": sql.OP3,
+    "op5_dictionary_warc": sql.OP5,
+    "op6_positional_decontamination": sql.OP6,
+    "op9_line_chunks": sql.OP9,
+    "op10_mtree_topk": sql.OP10,
+}
