@@ -94,14 +94,15 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     sizes = np.nonzero(counts)[0]
     c = counts[sizes].astype(np.int64)
     best = -(-int((sizes * c).sum()) // capacity)
-    for t in np.unique(sizes[sizes <= capacity // 2]):
+    half = capacity // 2
+    for t in np.unique(np.concatenate([sizes[sizes <= half], capacity + 1 - sizes[sizes > half], [half]])):
         f = np.where(sizes > capacity - t, capacity, np.where(sizes < t, 0, sizes))
         best = max(best, -(-int((f * c).sum()) // capacity))
     for k in range(2, 25):
         up = (k + 1) * sizes
         f = np.where(up % capacity == 0, sizes * k, (up // capacity) * capacity)
         best = max(best, -(-int((f * c).sum()) // (k * capacity)))
-    for t in np.unique(sizes[sizes <= capacity // 2]):
+    for t in np.unique(sizes[sizes <= half]):
         # items above half: capacity less the t-items that fit beside them; else whole t-items
         whole = capacity // t
         f = np.where(2 * sizes > capacity, 2 * (whole - (capacity - sizes) // t), np.where(2 * sizes == capacity, whole, 2 * (sizes // t)))

@@ -109,7 +109,7 @@ class Archive:
         self.bytes += len(data)
 
     def _start(self) -> None:
-        self.out = self.fs.open_output_stream(self.path)
+        self.out = self.fs.open_output_stream(self.path, compression=None)
         raw = build_dictionary(self.waiting)
         if raw:
             d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_FULLDICT)
@@ -213,7 +213,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for path in b.column(0).to_pylist():
                 rows: list[tuple] = []
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for at, rec in frames(stream):
                         rows.append((*parse(rec), path, at))
                         if len(rows) == 5000:
