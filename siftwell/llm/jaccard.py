@@ -212,11 +212,21 @@ def entries_of(x: np.ndarray, t: Threshold, hot: Hot, piece: int) -> tuple[np.nd
     return np.concatenate(sigs) if sigs else np.zeros(0, np.uint64), np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
 
 
-def profiles(docs: DataFrame, width: int, share: float) -> DataFrame:
-    """doc_id, text_hash, n_shingles and cls of each document, and each batch's common shingles on one of its rows.
+def common_in(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of at least ``least`` of the sets, and of how many."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    flat.sort()
+    tokens = np.unique(flat[: len(flat) - least + 1][flat[least - 1 :] == flat[: len(flat) - least + 1]]) if len(flat) >= least else flat[:0]
+    return tokens, (np.searchsorted(flat, tokens, "right") - np.searchsorted(flat, tokens, "left")).astype(np.int32)
 
-    A shingle that at least ``share`` of a batch's documents hold is counted, so
-    one that twice that share of all documents hold is always found.
+
+def profiles(docs: DataFrame, width: int, least: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, cls and sketch of each document, and each batch's common shingles on one of its rows.
+
+    Shingles of at least ``least`` different sets of a batch are counted; every
+    batch of every task adds its counts. So one that is common overall is found
+    by the batches where it is, and the more data there are, the rarer a shingle
+    may be that some batch still holds often enough.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +234,11 @@ def profiles(docs: DataFrame, width: int, share: float) -> DataFrame:
         sets: list[np.ndarray] = []
         for b in batches:
             sets = shingles.sets(b.column(2).to_pylist())
-            flat = np.concatenate([s[:0] for s in sets[:1]] + sets) if sets else np.zeros(0, np.uint64)
-            tokens, n = np.unique(flat, return_counts=True)
-            common = n >= max(8, share * len(sets))
-            m = len(sets)
-            hot = [tokens[common].view(np.int64)] + [None] * (m - 1)
-            hot_n = [n[common].astype(np.int32)] + [None] * (m - 1)
+            m, classes = len(sets), [class_of(s) for s in sets]
+            tokens, n = common_in(list({c: s for c, s in zip(classes, sets)}.values()), least)
+            hot, hot_n = [tokens.view(np.int64)] + [None] * (m - 1), [n] + [None] * (m - 1)
             arrays = [
-                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(map(sketch_of, sets), pa.binary()),
+                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(map(sketch_of, sets), pa.binary()),
                 pa.array(hot[:m], pa.list_(pa.int64())), pa.array(hot_n[:m], pa.list_(pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PROFILE.split(", ")])
@@ -374,14 +381,14 @@ def verify(pairs: DataFrame, docs: DataFrame, profile: DataFrame, width: int, t:
     return materialise(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, linked boolean"), "verified")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, share: float = 0.0005, hot_most: int = 200_000, piece: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least_common: int = 3, hot_most: int = 1_000_000, piece: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, root (a number of the component's own, null for an empty set) and n_links (links found between its class and others) per row of ``docs(doc_id, text)``.
 
-    ``share`` and ``hot_most`` set which shingles count as common, which changes
+    ``least_common`` and ``hot_most`` set which shingles count as common, which changes
     cost but never the result; entries are dealt in pieces of about ``piece`` sets.
     """
     t = Threshold(percent)
-    profile = materialise(profiles(docs, width, share), "profiles")
+    profile = materialise(profiles(docs, width, least_common), "profiles")
     hot = common_shingles(profile, hot_most)
     sketches = materialise(profile.filter("n_shingles > 0").groupBy("cls").agg(F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")), "sketches")
     found = materialise(meet(index(docs, width, t, hot, piece), t), "met")
