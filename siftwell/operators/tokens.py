@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.numeric import dot
 
 START, BEFORE, AFTER = "<s>", "<s>", "</s>"
-_ORDER = Window.partitionBy("seq").orderBy("pos")
+
+
+def _order() -> Window:
+    return Window.partitionBy("seq").orderBy("pos")
 
 
 def with_context(tokens: DataFrame, order: int = 3) -> DataFrame:
     """Adds ``context``, the array of the order - 1 tokens before, filled with a start mark."""
-    before = [F.coalesce(F.lag("token", k).over(_ORDER).cast("string"), F.lit(START)) for k in range(order - 1, 0, -1)]
+    before = [F.coalesce(F.lag("token", k).over(_order()).cast("string"), F.lit(START)) for k in range(order - 1, 0, -1)]
     return tokens.withColumn("context", F.array(*before) if before else F.array().cast("array<string>")).withColumn("token", F.col("token").cast("string"))
 
 
@@ -64,8 +67,8 @@ def sequence_features(tokens: DataFrame, grammar: DataFrame, order: int = 3, smo
 
 def ngrams(tokens: DataFrame, least: int, most: int) -> DataFrame:
     """A row per n-gram occurrence of ``least`` to ``most`` tokens: seq, pos, phrase, left and right neighbour. Rows grow with most - least, not with a sequence's length squared."""
-    ahead = F.collect_list("token").over(_ORDER.rowsBetween(0, most))
-    rows = tokens.withColumn("__ahead", ahead).withColumn("left", F.coalesce(F.lag("token").over(_ORDER).cast("string"), F.lit(BEFORE)))
+    ahead = F.collect_list("token").over(_order().rowsBetween(0, most))
+    rows = tokens.withColumn("__ahead", ahead).withColumn("left", F.coalesce(F.lag("token").over(_order()).cast("string"), F.lit(BEFORE)))
     sizes = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: n <= F.size("__ahead"))
     each = rows.select("seq", "pos", "left", "__ahead", F.explode(sizes).alias("n"))
     return each.select("seq", "pos", "n", F.slice("__ahead", 1, F.col("n")).alias("phrase"), "left", F.coalesce(F.get("__ahead", F.col("n")).cast("string"), F.lit(AFTER)).alias("right"))
