@@ -13,7 +13,8 @@ segment's one-deletion neighbourhood, which allows one difference a segment.
 
 Sets under one index entry are candidates. No entry's pairs are spelled out: its
 sets are compared with one hub, links and hubs form components, and only sets of
-different components that still share an entry are compared with each other.
+different components that still share an entry are compared with each other,
+within a task that lets out only the pairs that may be linked.
 Parity sketches first drop pairs that cannot be linked;
 every other comparison is exact, on whole sets of 64-bit shingle hashes. Equal sets are
 one class throughout, known by a 64-bit sum of its elements' scrambled hashes.
@@ -233,7 +234,7 @@ def profiles(docs: DataFrame, width: int, least: int) -> DataFrame:
         shingles = Shingler(width)
         sets: list[np.ndarray] = []
         for b in batches:
-            sets = shingles.sets(b.column(2).to_pylist())
+            sets = [x for i in range(0, b.num_rows, 1000) for x in shingles.sets(b.column(2).slice(i, 1000).to_pylist())]
             m, classes = len(sets), [class_of(s) for s in sets]
             tokens, n = common_in(list({c: s for c, s in zip(classes, sets)}.values()), least)
             hot, hot_n = [tokens.view(np.int64)] + [None] * (m - 1), [n] + [None] * (m - 1)
@@ -273,7 +274,7 @@ def index(docs: DataFrame, width: int, t: Threshold, hot: Hot, piece: int) -> Da
 
         found, held = [], 0
         for b in batches:
-            for x in shingles.sets(b.column(0).to_pylist()):
+            for x in (x for i in range(0, b.num_rows, 1000) for x in shingles.sets(b.column(0).slice(i, 1000).to_pylist())):
                 cls = class_of(x)
                 if not len(x) or cls in seen:
                     continue
@@ -381,11 +382,105 @@ def verify(pairs: DataFrame, docs: DataFrame, profile: DataFrame, width: int, t:
     return materialise(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, linked boolean"), "verified")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least_common: int = 3, hot_most: int = 1_000_000, piece: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
+def within(cls: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, sketch: list[bytes], t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one entry's sets (one ``side``), or of two blocks of them (sides 0 and 1), in different components and not ruled out by size or sketch."""
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    length = np.array([len(k) for k in sketch])
+    one_side = side[0] == side[-1]
+    packed = {int(n): (np.nonzero(length == n)[0], np.frombuffer(b"".join(k for k in sketch if len(k) == n), np.uint8).reshape(-1, n)) for n in np.unique(length)}
+    for n, (at, bits) in packed.items():
+        # sizes that can be linked have sketches of equal length or of half of it
+        others = [(at, bits)]
+        if 2 * n in packed:
+            at2, bits2 = packed[2 * n]
+            others.append((at2, bits2[:, :n] ^ bits2[:, n:]))
+        for at2, bits2 in others:
+            for i, row in zip(at.tolist(), bits):
+                apart = np.bitwise_count(bits2 ^ row).sum(1, dtype=np.int64)
+                r, s = int(size[i]), size[at2].astype(np.int64)
+                most = r + s - 2 * (-(-t.p * (r + s) // (100 + t.p)))
+                good = (apart <= most) & t.fits(r, s) & (root[at2] != root[i])
+                # a pair of equal lengths comes up from both ends
+                good &= (cls[at2] > cls[i] if at2 is at else True) if one_side else (side[at2] != side[i]) & (cls[at2] > cls[i] if at2 is at else True)
+                found = cls[at2[good]]
+                out_a.append(np.minimum(found, cls[i]))
+                out_b.append(np.maximum(found, cls[i]))
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def compare_within(open_: DataFrame, sketches: DataFrame, t: Threshold, block: int) -> DataFrame:
+    """Pairs a < b of open entries' sets that sketches don't rule out; only those leave the task that compares them.
+
+    An entry of more than ``block`` sets is dealt in blocks, and each two of its
+    blocks meet in a task of their own, so neither memory nor work of a task
+    grows with the entry.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = open_.join(sketches.select("cls", "sketch"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "size", "root", "sketch")
+    parted = rows.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(x: pa.Table) -> pa.RecordBatch:
+            c = {k: x.column(k).to_numpy() for k in ("sig", "low", "high", "side", "cls", "size", "root")}
+            sketch = x.column("sketch").to_pylist()
+            new = np.nonzero((c["sig"][1:] != c["sig"][:-1]) | (c["low"][1:] != c["low"][:-1]) | (c["high"][1:] != c["high"][:-1]))[0] + 1
+            edges = [0, *new.tolist(), len(sketch)]
+            found = [within(c["cls"][i:j], c["size"][i:j], c["root"][i:j], c["side"][i:j], sketch[i:j], t) for i, j in zip(edges, edges[1:]) if j - i > 1 and not (c["low"][i] != c["high"][i] and c["side"][i] == c["side"][j - 1])]
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            both = np.unique(np.stack([a, b]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        kept = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = pa.Table.from_batches([b])
+            now = pa.concat_tables([kept, now]).combine_chunks() if kept is not None else now
+            keys = [now.column(k).to_numpy() for k in ("sig", "low", "high")]
+            last = np.nonzero(np.logical_or.reduce([k != k[-1] for k in keys]))[0]
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield compared(now.slice(0, cut))
+            kept = now.slice(cut)
+        if kept is not None and kept.num_rows:
+            yield compared(kept)
+
+    return parted.mapInArrow(run, "a long, b long")
+
+
+def _open(members: DataFrame, roots: DataFrame, round_no: int) -> DataFrame:
+    """``members(sig, cls, size)`` of entries whose sets are in several components: with root, n (the entry's sets), root_size and others (sets of the entry in other components, halved)."""
+    rooted = members.join(roots.withColumnRenamed("member", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    per_root = materialise(rooted, f"members{round_no}").groupBy("sig", "root").agg(F.count("*").alias("n_root"))
+    per_root = materialise(per_root, f"roots{round_no}")
+    entries = per_root.groupBy("sig").agg(F.sum("n_root").alias("n"), F.count("*").alias("n_roots")).filter("n_roots > 1").select("sig", "n")
+    sizes = rooted.select("cls", "root").distinct().groupBy("root").agg(F.count("*").alias("root_size"))
+    counted = rooted.join(entries, "sig").join(per_root, ["sig", "root"]).join(sizes, "root")
+    return materialise(counted.select("sig", "cls", "size", "root", "n", "root_size", ((F.col("n") - F.col("n_root")) / 2).alias("others")), f"open{round_no}")
+
+
+def _to_hubs(open_: DataFrame, t: Threshold, round_no: int) -> DataFrame:
+    """Pairs of an entry's hub with its sets in other components.
+
+    First the hub is the set that shares entries with the most others, then one
+    drawn from the entry's largest component.
+    """
+    if round_no == 1:
+        rows = open_.join(open_.groupBy("cls").agg(F.sum("n").alias("weight")), "cls").withColumn("draw", F.col("cls"))
+    else:
+        rows = open_.withColumn("weight", F.col("root_size")).withColumn("draw", F.xxhash64("cls", F.lit(round_no)))
+    hubs = rows.groupBy("sig").agg(F.max(F.struct("weight", "draw", "cls", "size", "root")).alias("h"))
+    met = open_.join(hubs, (open_["sig"] == hubs["sig"]) & (open_["root"] != F.col("h.root")) & t.fits(open_["size"].cast("long"), F.col("h.size").cast("long")))
+    return met.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least_common: int = 3, hot_most: int = 1_000_000, piece: int = 1024, rounds: int = 2, block: int = 2048, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, root (a number of the component's own, null for an empty set) and n_links (links found between its class and others) per row of ``docs(doc_id, text)``.
 
     ``least_common`` and ``hot_most`` set which shingles count as common, which changes
-    cost but never the result; entries are dealt in pieces of about ``piece`` sets.
+    cost but never the result; entries are dealt in pieces of about ``piece`` sets;
+    hubs are tried in at most ``rounds`` rounds, and what they leave in an entry is compared in blocks of about ``block`` sets.
     """
     t = Threshold(percent)
     profile = materialise(profiles(docs, width, least_common), "profiles")
@@ -399,18 +494,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least
     first_links = verify(materialise(possible(pairs, sketches, t), "possible"), docs, profile, width, t, broadcast_rows)
     roots = components(first_links.filter("linked").select("a", "b"))
 
-    # sets of different components that share an entry
-    members = found.filter("kind = 1").select("sig", F.col("a").alias("cls"), F.col("a_size").alias("size")).join(roots.withColumnRenamed("member", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    members = materialise(members, "members")
-    mixed_sigs = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sig")
-    open_ = materialise(members.join(mixed_sigs, "sig"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    fits = t.fits(F.col("x.size").cast("long"), F.col("y.size").cast("long"))
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    rest = materialise(possible(rest.join(pairs, ["a", "b"], "left_anti"), sketches, t), "rest")
-    second_links = verify(rest, docs, profile, width, t, broadcast_rows)
-    links = first_links.unionByName(second_links).filter("linked").select("a", "b")
-    roots = components(links.select("a", "b"))
+    # sets of different components that share an entry: hubs first, then what hubs leave
+    members = found.filter("kind = 1").select("sig", F.col("a").alias("cls"), F.col("a_size").alias("size"))
+    tried, links = pairs, first_links.filter("linked").select("a", "b")
+    for round_no in range(1, rounds + 1):
+        open_ = _open(members, roots, round_no)
+        left, rows = open_.agg(F.sum("others"), F.count("*")).first()
+        if (left or 0) <= 4 * rows:
+            break
+        new = materialise(_to_hubs(open_, t, round_no).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+        verified = verify(materialise(possible(new, sketches, t), "possible"), docs, profile, width, t, broadcast_rows)
+        tried, links = tried.unionByName(new), links.unionByName(verified.filter("linked").select("a", "b"))
+        roots = components(links)
+    else:
+        open_ = _open(members, roots, 0)
+    rest = materialise(compare_within(open_, sketches, t, block).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    links = links.unionByName(verify(rest, docs, profile, width, t, broadcast_rows).filter("linked").select("a", "b"))
+    roots = components(links)
 
     classes = profile.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))

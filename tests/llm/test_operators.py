@@ -191,8 +191,8 @@ def test_jaccard_on_fixture(docs, nothing):
     assert jaccard.jaccard_components(nothing).count() == 0
 
 
-@pytest.mark.parametrize("piece", [1024, 3])
-def test_jaccard_of_many_edited_copies(spark, piece):
+@pytest.mark.parametrize("piece,block", [(1024, 2048), (3, 4)])
+def test_jaccard_of_many_edited_copies(spark, piece, block):
     """Sizes from one shingle up, at all distances about the threshold; common passages; pieces of entries."""
     r = random.Random(7)
     rows = []
@@ -207,7 +207,7 @@ def test_jaccard_of_many_edited_copies(spark, piece):
     passage = prose(77, 30, 3000)
     rows += [(len(rows) + i, passage + " " + prose(500 + i, 5 + i, 3000)) for i in range(25)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = jaccard.jaccard_components(df, piece=piece)
+    got = jaccard.jaccard_components(df, piece=piece, block=block)
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == reference_components(rows)
 
 
