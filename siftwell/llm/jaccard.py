@@ -87,7 +87,7 @@ class Shingler:
 
 
 def sketch_of(x: np.ndarray) -> bytes:
-    """Parities of the numbers of elements by the low bits of their hashes, about a bit an element.
+    """Parities of the numbers of elements by the low bits of their hashes, one or two bits an element.
 
     Two sets' sketches differ in at most as many bits as the sets in elements.
     """
@@ -475,7 +475,7 @@ def _to_hubs(open_: DataFrame, t: Threshold, round_no: int) -> DataFrame:
     return met.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least_common: int = 3, hot_most: int = 1_000_000, piece: int = 1024, rounds: int = 2, block: int = 2048, broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least_common: int = 3, hot_most: int = 1_000_000, piece: int = 1024, rounds: int = 1, block: int = 2048, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, root (a number of the component's own, null for an empty set) and n_links (links found between its class and others) per row of ``docs(doc_id, text)``.
 
     ``least_common`` and ``hot_most`` set which shingles count as common, which changes
