@@ -92,7 +92,8 @@ def mine_phrases(tokens: DataFrame, num_phrases: int = 8192, longest: int = 6, m
     rows = counts.join(_entropy(kept, "left"), "phrase").join(_entropy(kept, "right"), "phrase").withColumn("n", F.size("phrase"))
     weight = F.when(F.size(F.array_distinct("phrase")) > 1, 1.15).otherwise(0.55)
     rows = rows.withColumn("score", F.col("count") * F.col("n") * weight * (1 + F.col("left_entropy") + F.col("right_entropy")))
-    order = [F.desc("score"), F.desc("n"), F.desc("count"), F.asc("phrase")]
+    # equal scores may differ in their last digits
+    order = [F.desc(F.round("score", 9)), F.desc("n"), F.desc("count"), F.asc("phrase")]
     top = rows.orderBy(*order).limit(num_phrases)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("phrase", "n", "count", "score", "rank")
 

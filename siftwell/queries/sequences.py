@@ -240,7 +240,7 @@ SELECT seq, place, round(coalesce(c, 0) / n, 6) AS share FROM size CROSS JOIN to
 CASE WHEN count(*) >= 2 THEN 1.0 ELSE 0.0 END AS rare_bigram, round(coalesce(avg((seen <= 1)::INT) FILTER (pos >= 2), 0), 6) AS rare_trigram, round(coalesce(avg((seen <= 1)::INT) FILTER (pos >= 2), 0), 6) AS rare_phrase,
 CASE WHEN least(count(*), 5) = 3 THEN CASE WHEN count(*) FILTER (pos >= 2 AND seen = 0) > 0 THEN 3.0 ELSE 2.0 END ELSE least(count(*), 5)::DOUBLE END AS longest_unseen FROM nll GROUP BY seq""",
     "mined_phrases": f"""WITH {TOKENS}, {_GRAMS.format(least=2, most=4)}, c AS (SELECT phrase, count(*) AS count FROM grams GROUP BY phrase HAVING count(*) >= 2), s AS (SELECT phrase, len(phrase) AS n, count, count * len(phrase) * CASE WHEN len(list_distinct(phrase)) > 1 THEN 1.15 ELSE 0.55 END * (1 + l.h + r.h) AS score FROM c JOIN ({_ENT.format('before')}) l USING (phrase) JOIN ({_ENT.format('after')}) r USING (phrase))
-SELECT array_to_string(phrase, ' ') AS phrase, n, count, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, n DESC, count DESC, phrase) AS rank FROM s QUALIFY rank <= 100""",
+SELECT array_to_string(phrase, ' ') AS phrase, n, count, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, n DESC, count DESC, phrase) AS rank FROM s QUALIFY rank <= 100""",
     "phrase_families": f"WITH {TOKENS}, {_GRAMS.format(least=2, most=3)} SELECT array_to_string(phrase, ' ') AS phrase, count(DISTINCT seq) AS support FROM grams GROUP BY phrase HAVING count(DISTINCT seq) >= 3",
     "phrase_holdout": f"""WITH {TOKENS}, k AS (SELECT list(token ORDER BY token) AS k FROM (SELECT DISTINCT token FROM tokens ORDER BY token LIMIT 2)), {_GRAMS.format(least=3, most=3)} SELECT seq, max((phrase = [k[1], k[2], k[1]])::INT) AS label FROM (SELECT DISTINCT seq FROM tokens) LEFT JOIN grams USING (seq), k GROUP BY seq""",
     "code_usage": f"WITH {TOKENS}, p AS (SELECT token, count(*) / sum(count(*)) OVER () AS p FROM tokens GROUP BY token) SELECT round(-sum(p * ln(p + 1e-12)), 6) AS entropy, round(exp(-sum(p * ln(p + 1e-12))), 6) AS perplexity, 8 - count(*) AS dead_codes FROM p",
