@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated chunks of lines; a document of which nothing is left goes."""
-    found = dedup_lines(docs).filter("__n_removed = 0 or text <> ''")
+    """Cuts all lines of repeats of several lines; a document of which nothing is left goes."""
+    found = dedup_lines(docs, whole=True).filter("__n_removed = 0 or text <> ''")
     return found.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

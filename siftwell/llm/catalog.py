@@ -80,6 +80,14 @@ def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_removed").cast("long").alias("n_removed"), "text")
 
 
+def op9_whole_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_line_chunks, but every line of a repeat of several lines goes."""
+    from .linededup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
+    return found.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_removed").cast("long").alias("n_removed"), "text")
+
+
 def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mtree import top_k
 
@@ -97,6 +105,8 @@ QUERIES = {
     "op8_compression_langid": op8_compression_langid,
     "op9_line_chunks": op9_line_chunks,
     "op10_mtree_topk": op10_mtree_topk,
+    # what a query above leaves out because its SQL states its columns and rule
+    "op9_whole_repeats": op9_whole_repeats,
 }
 
 ORACLES: dict[str, str] = {

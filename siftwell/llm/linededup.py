@@ -5,6 +5,12 @@ ends, so that inserted lines shift no later boundary. Of every chunk of several
 lines that occurs again anywhere, the first occurrence (smallest doc_id, then
 text, then place) stays; the others go once their bytes equal the first's.
 
+Such chunks part a repeated passage where they will, so that its ends, and any
+chunk of one line, stay. With ``whole`` the units are each two neighbouring lines
+instead, which overlap: every line of a repeat of two lines and more is in one
+that repeats, wherever the repeat begins, and goes. What a line says stays in the
+first of its places, as a unit's first occurrence comes before those it removes.
+
 Defined results: a null text stays null and an empty one empty; chunks of a
 single line always stay; rows that repeat both doc_id and text are treated
 alike, so that what one keeps the other keeps; null ids come after all others;
@@ -37,12 +43,17 @@ def chunk_bounds(lines: Column, every: int) -> Column:
     return F.transform(F.array(last), lambda e: F.transform(e, lambda c, k: F.struct(F.when(k > 0, e[k - 1] + 1).otherwise(0).alias("first"), c.alias("last"))))[0]
 
 
+def line_pairs(lines: Column) -> Column:
+    """Arrays of struct(first, last) of each two neighbouring lines of an array of several."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - 2, F.lit(0))), lambda i: F.struct(i.alias("first"), (i + 1).alias("last")))
+
+
 def _chunk_text(lines: Column, c: Column) -> Column:
     return F.array_join(F.slice(lines, c["first"] + 1, c["last"] - c["first"] + 1), LINE)
 
 
-def removals(docs: DataFrame, every: int) -> DataFrame:
-    """__id, __hash and the chunk numbers to remove, for the documents that lose any.
+def removals(docs: DataFrame, every: int, whole: bool = False) -> DataFrame:
+    """__id, __hash and the numbers of the chunks (or pairs of lines) to remove, for the documents that lose any.
 
     Digests of chunks alone go through the aggregation that finds repeats, with
     partial sums first. A document then moves once, to its repeated chunks'
@@ -52,7 +63,7 @@ def removals(docs: DataFrame, every: int) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("__hash"), "text")
 
     def chunks(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("lines", F.split("text", LINE, -1)).withColumn("bounds", chunk_bounds(F.col("lines"), every))
+        return rows.withColumn("lines", F.split("text", LINE, -1)).withColumn("bounds", line_pairs(F.col("lines")) if whole else chunk_bounds(F.col("lines"), every))
 
     several = F.filter(
         F.transform("bounds", lambda c, k: F.struct(k.alias("no"), F.unhex(F.md5(_chunk_text(F.col("lines"), c))).alias("digest"), (c["last"] > c["first"]).alias("several"))), lambda c: c["several"]
@@ -69,17 +80,21 @@ def removals(docs: DataFrame, every: int) -> DataFrame:
     return same.groupBy("__id", "__hash").agg(F.collect_set("no").alias("__gone"))
 
 
-def dedup_lines(docs: DataFrame, every: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, every: int = 3, whole: bool = False) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``, and __n_lines and __n_removed, the lines before and those cut.
 
-    ``every`` is the mean length of a chunk in lines.
+    ``every`` is the mean length of a chunk in lines; with ``whole`` all lines of each repeat of several lines are cut.
     """
-    gone = removals(docs.select("doc_id", "text"), every)
+    gone = removals(docs.select("doc_id", "text"), every, whole)
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
     joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__hash"] == gone["__hash"]), "left").drop("__id", "__hash")
     lines = F.split("text", LINE, -1)
-    chunks = chunk_bounds(F.col("__lines"), every)
-    kept = F.filter(F.col("__chunks"), lambda c, k: ~F.array_contains("__gone", k))
+    if whole:
+        chunks = F.transform(F.col("__lines"), lambda _, i: F.struct(i.alias("first"), i.alias("last")))
+        kept = F.filter(F.col("__chunks"), lambda c, i: ~F.array_contains("__gone", i) & ~F.array_contains("__gone", i - 1))
+    else:
+        chunks = chunk_bounds(F.col("__lines"), every)
+        kept = F.filter(F.col("__chunks"), lambda c, k: ~F.array_contains("__gone", k))
     n_kept = F.aggregate("__kept", F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1)
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda c: _chunk_text(F.col("__lines"), c)), LINE))
     none = F.col("__gone").isNull()

@@ -469,6 +469,40 @@ def test_line_chunks(spark, docs, nothing):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def reference_whole(rows):
+    """Lines in a pair of lines that was there before go, by plain loops."""
+    first = {}
+    for none, d, t in sorted({(d is None, d or 0, t) for d, t in rows if t is not None}):
+        w = t.split("\n")
+        for i in range(len(w) - 1):
+            first.setdefault((w[i], w[i + 1]), (none, d, t, i))
+    out = Counter()
+    for d, t in rows:
+        w = (t or "").split("\n")
+        gone = {i + j for i in range(len(w) - 1) if first[w[i], w[i + 1]] != (d is None, d or 0, t, i) for j in (0, 1)}
+        out[d, "\n".join(x for i, x in enumerate(w) if i not in gone) if gone else t, len(gone)] += 1
+    return out
+
+
+def test_whole_repeats_of_lines(spark, docs, nothing):
+    """Each repeated passage of two lines and more goes as a whole, wherever it begins."""
+    rows, passages = [], {}
+    for n in (2, 3, 4, 6, 10, 20):
+        for trial in range(8):
+            own = [[f"own {n} {trial} {side} {j}" for j in range(5)] for side in range(4)]
+            passages[n, trial] = [f"passage {n} {trial} {j}" for j in range(n)]
+            rows += [(1000 + len(rows), "\n".join(own[0] + passages[n, trial] + own[1])), (1001 + len(rows), "\n".join(own[2] + passages[n, trial] + own[3]))]
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in linededup.dedup_lines(planted, whole=True).collect()}
+    for (d, t), (e, u), p in zip(rows[::2], rows[1::2], passages.values()):
+        assert texts[d] == t and texts[e].split("\n") == [x for x in u.split("\n") if x not in p]
+    odd = [(1, "x\nx\nx\nx"), (2, "a\nb"), (3, "a\nb\nc"), (4, "b\nc"), (5, "\n\n\n\n"), (6, "one"), (7, "one"), (2, "a\nb"), (None, "b\nc\nd")]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    want = reference_whole([(r.doc_id, r.text) for r in df.collect()])
+    assert Counter((r.doc_id, r.text, r["__n_removed"]) for r in linededup.dedup_lines(df, whole=True).collect()) == want
+    assert linededup.dedup_lines(nothing, whole=True).count() == 0
+
+
 # -- top-k
 
 
