@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,14 @@ class Threshold:
         least = -(-self.p * (r + s) // (100 + self.p))
         return r + s - 2 * least
 
+    @lru_cache(maxsize=100_000)
+    def most(self, size: int, low: int, high: int) -> int:
+        """Most elements in which a set of this size can differ from linked ones of sizes from low to high.
+
+        differ() is no monotone function of the sum of sizes, but a sum larger by 100 + percent allows more.
+        """
+        return max(self.differ(size, s) for s in range(max(low, high - 99 - self.p), high + 1))
+
     def largest(self, r: int) -> int:
         return 100 * r // self.p
 
@@ -161,9 +170,9 @@ def allocations(size: int, t: Threshold) -> list[tuple[int, int, int]]:
         out.append((-2, (t.differ(SMALL, t.largest(SMALL)) + 2) // 2, 0))
     if size > SMALL:
         k = band(size)
-        out.append((k, 2 * bottom(k + 1), t.differ(size, t.largest(size))))
+        out.append((k, 2 * bottom(k + 1), t.most(size, t.smallest(size), t.largest(size))))
         if k and t.smallest(size) < bottom(k):
-            out.append((k - 1, 2 * bottom(k), t.differ(size, bottom(k) - 1)))
+            out.append((k - 1, 2 * bottom(k), t.most(size, t.smallest(size), bottom(k) - 1)))
     return out
 
 

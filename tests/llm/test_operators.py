@@ -231,6 +231,21 @@ def test_entries_of_linked_sets_always_meet():
         assert jaccard.sketches_differ(jaccard.sketch_of(a), jaccard.sketch_of(b)) <= len(a) + len(b) - 2 * both
 
 
+def test_entries_meet_across_bands_when_the_common_is_hot():
+    """Linked sets of sizes on both sides of a band's edge, all shared elements common and so indexed last."""
+    t, r = jaccard.Threshold(75), np.random.default_rng(5)
+    for size, low in ((59, 46), (52, 46), (49, 46), (61, 47)):
+        for s in range(max(low - 4, t.smallest(size)), low + 1):
+            assert jaccard.allocations(size, t)[1][2] >= t.differ(size, s)
+    for _ in range(4000):
+        x = np.unique(r.integers(0, 1 << 63, 45 + 14 + 1, dtype=np.uint64))[:60]
+        shared = x[r.permutation(60)[:45]]
+        a, b = np.unique(np.concatenate([shared, r.integers(0, 1 << 63, 14, dtype=np.uint64)])), np.unique(np.concatenate([shared, r.integers(0, 1 << 63, 1, dtype=np.uint64)]))
+        hot = jaccard.Hot(shared, np.full(45, 5000))
+        assert t.holds(45, 59, 46) and len(a) == 59 and len(b) == 46
+        assert set(jaccard.entries_of(a, t, hot, 1024)[0].tolist()) & set(jaccard.entries_of(b, t, hot, 1024)[0].tolist())
+
+
 # -- secrets
 
 
