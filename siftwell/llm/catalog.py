@@ -33,6 +33,13 @@ def op3_pigeonhole_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_every_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op3_pigeonhole_jaccard, with n_links, the exact number of other sets that a row's set is linked with."""
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), every_link=True).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op4_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import joined, scan
 
@@ -106,6 +113,7 @@ QUERIES = {
     "op9_line_chunks": op9_line_chunks,
     "op10_mtree_topk": op10_mtree_topk,
     # what a query above leaves out because its SQL states its columns and rule
+    "op3_every_link": op3_every_link,
     "op9_whole_repeats": op9_whole_repeats,
 }
 

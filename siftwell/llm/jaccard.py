@@ -469,6 +469,12 @@ def _open(members: DataFrame, roots: DataFrame, round_no: int) -> DataFrame:
     return materialise(counted.select("sig", "cls", "size", "root", "n", "root_size", ((F.col("n") - F.col("n_root")) / 2).alias("others")), f"open{round_no}")
 
 
+def _unjoined(members: DataFrame) -> DataFrame:
+    """``members`` with n, and each set as a component of its own, so that no pair of an entry counts as joined."""
+    counts = members.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
+    return materialise(members.join(counts, "sig").select("sig", "cls", "size", F.col("cls").alias("root"), "n"), "unjoined")
+
+
 def _to_hubs(open_: DataFrame, t: Threshold, round_no: int) -> DataFrame:
     """Pairs of an entry's hub with its sets in other components.
 
@@ -484,12 +490,16 @@ def _to_hubs(open_: DataFrame, t: Threshold, round_no: int) -> DataFrame:
     return met.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least_common: int = 3, hot_most: int = 1_000_000, piece: int = 1024, rounds: int = 1, block: int = 2048, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, root (a number of the component's own, null for an empty set) and n_links (links found between its class and others) per row of ``docs(doc_id, text)``.
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least_common: int = 3, hot_most: int = 1_000_000, piece: int = 1024, rounds: int = 1, block: int = 2048, broadcast_rows: int = 500_000, every_link: bool = False) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, root (a number of the component's own, null for an empty set) and n_links per row of ``docs(doc_id, text)``.
 
     ``least_common`` and ``hot_most`` set which shingles count as common, which changes
     cost but never the result; entries are dealt in pieces of about ``piece`` sets;
     hubs are tried in at most ``rounds`` rounds, and what they leave in an entry is compared in blocks of about ``block`` sets.
+
+    n_links counts the links found on the way to the components. With ``every_link`` all
+    sets that share an entry are compared, within components too, and n_links is the exact
+    number of other sets linked with the row's; such work grows with the square of a group.
     """
     t = Threshold(percent)
     profile = materialise(profiles(docs, width, least_common), "profiles")
@@ -506,7 +516,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least
     # sets of different components that share an entry: hubs first, then what hubs leave
     members = found.filter("kind = 1").select("sig", F.col("a").alias("cls"), F.col("a_size").alias("size"))
     tried, links = pairs, first_links.filter("linked").select("a", "b")
-    for round_no in range(1, rounds + 1):
+    for round_no in range(1, 1 if every_link else rounds + 1):
         open_ = _open(members, roots, round_no)
         left, rows = open_.agg(F.sum("others"), F.count("*")).first()
         if (left or 0) <= 4 * rows:
@@ -516,7 +526,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least
         tried, links = tried.unionByName(new), links.unionByName(verified.filter("linked").select("a", "b"))
         roots = components(links)
     else:
-        open_ = _open(members, roots, 0)
+        open_ = _unjoined(members) if every_link else _open(members, roots, 0)
     rest = materialise(compare_within(open_, sketches, t, block).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(verify(rest, docs, profile, width, t, broadcast_rows).filter("linked").select("a", "b"))
     roots = components(links)

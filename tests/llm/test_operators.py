@@ -211,6 +211,28 @@ def test_jaccard_of_many_edited_copies(spark, piece, block):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == reference_components(rows)
 
 
+@pytest.mark.parametrize("piece,block", [(1024, 2048), (3, 4)])
+def test_every_link_is_counted(spark, piece, block):
+    """Near copies in groups, repeated and equal texts among them, against brute force."""
+    r = random.Random(17)
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "One  two")]
+    for size in (8, 16, 40, 60, 120):
+        base = prose(size * 13, size, 3000).split()
+        for _ in range(12):
+            words = list(base)
+            for _ in range(r.randrange(1 + size // 20)):
+                words[r.randrange(len(words))] = f"edit{r.randrange(9999)}"
+            rows.append((len(rows), " ".join(words[: len(words) - r.randrange(1 + size // 10)])))
+        rows.append((len(rows), " ".join(base)))
+    sets = shingle_sets(rows)
+    different = {x for _, x in sets if x}
+    want = {d: sum(x != y and 100 * len(x & y) >= 75 * len(x | y) for y in different) if x else 0 for d, x in sets}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.jaccard_components(df, piece=piece, block=block, every_link=True).collect()
+    assert {x.doc_id: x.n_links for x in got} == want and max(want.values()) > 5
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == reference_components(rows)
+
+
 def test_entries_of_linked_sets_always_meet():
     """The pigeonhole argument, on random sets at the very edge of the threshold."""
     t, r = jaccard.Threshold(75), np.random.default_rng(3)
