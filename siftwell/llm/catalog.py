@@ -21,7 +21,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_gear_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repeated passages; a document that shares none has no row."""
+    """The repeated passages; a document that shares none has no row. Those with n_repeated > 0 are the spans to cut."""
     from .substrings import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_chunks", "keeper", "n_repeated")

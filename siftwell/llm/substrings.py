@@ -5,7 +5,7 @@ A chunk ends where the gear hash of the last 32 bytes is the smallest within
 bytes around it alone: text inserted before or after a passage moves no boundary
 within it, and no chunk but a text's first and last is shorter than ``reach``.
 Chunks are compared by 128-bit digests; runs of chunks that other documents hold
-too are the repeated passages. The first holder keeps its copy.
+too, parted where their first holder changes, are the repeated passages. The first holder keeps its copy.
 
 Defined results: null and empty texts have no chunks; a passage repeated within
 one document alone is none of this operator's; rows that repeat both doc_id and
@@ -110,10 +110,11 @@ def chunk(docs: DataFrame, reach: int = 24, longest: int = 4096, batch_bytes: in
 def repeated_passages(docs: DataFrame, least_chunks: int = 2, least_bytes: int = 100, reach: int = 24, longest: int = 4096) -> DataFrame:
     """Passages that several documents hold: doc_id, text_hash, start, end, n_chunks, keeper, n_repeated.
 
-    A passage is a run of at least ``least_chunks`` chunks and ``least_bytes``
-    bytes, each chunk held by another document too; ``keeper`` is the smallest
-    doc_id that holds its first chunk, ``n_repeated`` the chunks of which this document's
-    copy isn't the one to keep.
+    A run of at least ``least_chunks`` chunks and ``least_bytes`` bytes, each chunk
+    held by another document too, is parted where the document that keeps its
+    chunks changes, and each part, however short, is a passage. ``keeper`` is the
+    smallest doc_id that holds its chunks; ``n_repeated`` is n_chunks, or 0 where
+    this document's copy is the one to keep.
     """
     chunks = chunk(docs, reach, longest)
     holder = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
@@ -122,12 +123,14 @@ def repeated_passages(docs: DataFrame, least_chunks: int = 2, least_bytes: int =
     again = chunks.join(held, ["d1", "d2"])
     own = Window.partitionBy("doc_id", "text_hash").orderBy("seq")
     # rows that repeat both id and text are one document: dense_rank, not row_number
-    runs = again.withColumn("run", F.col("seq") - F.dense_rank().over(own)).groupBy("doc_id", "text_hash", "run")
-    found = runs.agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("seq").alias("n_chunks"), F.min_by("first", "seq").alias("keeper"),
-        F.count_distinct(F.when(F.col("first") != holder, F.col("seq"))).alias("n_repeated"),
+    runs = again.withColumn("run", F.col("seq") - F.dense_rank().over(own)).withColumn("other", (~F.col("first").eqNullSafe(F.lag("first").over(own))).cast("int"))
+    parts = runs.withColumn("part", F.sum("other").over(own)).groupBy("doc_id", "text_hash", "run", "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("seq").alias("n_chunks"), F.first("first").alias("keeper"),
     )
-    return found.filter((F.col("n_chunks") >= least_chunks) & (F.col("end") - F.col("start") >= least_bytes)).select("doc_id", "text_hash", "start", "end", "n_chunks", F.col("keeper.doc_id").alias("keeper"), "n_repeated")
+    run = Window.partitionBy("doc_id", "text_hash", "run")
+    long_ = (F.sum("n_chunks").over(run) >= least_chunks) & (F.max("end").over(run) - F.min("start").over(run) >= least_bytes)
+    n_repeated = F.when(F.col("keeper") != holder, F.col("n_chunks")).otherwise(F.lit(0).cast("long")).alias("n_repeated")
+    return parts.withColumn("long", long_).filter("long").select("doc_id", "text_hash", "start", "end", "n_chunks", F.col("keeper.doc_id").alias("keeper"), n_repeated)
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:

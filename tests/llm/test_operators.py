@@ -140,6 +140,24 @@ def test_repeated_passages(spark, nothing):
     assert substrings.repeated_passages(nothing).count() == 0
 
 
+def test_passages_are_parted_by_keeper(spark):
+    """Document 2 holds a passage of document 1, and document 3 copies document 2."""
+    shared = prose(41, 80, 5000)
+    second = prose(42, 80, 5000) + " " + shared + " " + prose(43, 80, 5000)
+    rows = [(1, prose(44, 60, 5000) + " " + shared), (2, second), (3, second), (3, second)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.repeated_passages(df)
+    got = found.collect()
+    spans = {(r.start, r.end): (r.keeper, r.n_repeated == r.n_chunks) for r in got if r.doc_id == 2}
+    assert sorted(spans.values()) == [(1, True), (2, False), (2, False)] and all(r.n_repeated in (0, r.n_chunks) for r in got)
+    (a, b), = [k for k, v in spans.items() if v[1]]
+    at = second.index(shared)
+    assert a - at < 100 and at + len(shared) - b < 100 and b - a > len(shared) - 200
+    assert {r.keeper for r in got if r.doc_id == 3} == {1, 2} and all(r.n_repeated for r in got if r.doc_id == 3)
+    cut = {r.doc_id: r.text for r in substrings.without_repeats(df, found).collect()}
+    assert cut[1] == rows[0][1] and cut[2] == second[:a] + second[b:] and cut[3] == ""
+
+
 def test_chunks_cover_texts_exactly():
     texts = [prose(i, 10 * i).encode() for i in range(1, 8)] + [b"a" * 9000, b"", "é漢".encode() * 500]
     of, start, end, _ = substrings.chunks_of(texts, 24, 4096)
