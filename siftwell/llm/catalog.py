@@ -59,6 +59,13 @@ def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash", "n_near", "item_ids")
 
 
+def op6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6_positional_decontamination, with n_near, the words in proximity matches."""
+    from .positional import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash", "item_ids")
+
+
 def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from rows whose fold is not 2."""
     from .langid import fold
@@ -114,6 +121,7 @@ QUERIES = {
     "op10_mtree_topk": op10_mtree_topk,
     # what a query above leaves out because its SQL states its columns and rule
     "op3_every_link": op3_every_link,
+    "op6_proximity": op6_proximity,
     "op9_whole_repeats": op9_whole_repeats,
 }
 

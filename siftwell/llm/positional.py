@@ -5,8 +5,8 @@ documents, each term's ascending positions; the index is a table in the shared
 folder, so a lost executor costs no rebuilding. Test windows (runs of words of a
 benchmark item) are sought in every segment without a shuffle: their terms'
 position lists are shifted by the term's offset in the window and intersected,
-the segment's rarest term first. Proximity matches need all terms of a window
-within a span of positions, in any order.
+the segment's rarest term first. A proximity match is a span of positions
+within one document that begins and ends with a term of a window and holds all its terms, in any order.
 
 Words are compared by 64-bit hashes. Benchmark items go to the executors in
 blocks of a bounded number of words, however large the table of items is.
@@ -141,20 +141,28 @@ class Segment:
         return starts
 
     def near(self, at: np.ndarray, order: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """Spans, at most ``reach`` positions long, that hold all terms around an occurrence of the rarest."""
-        centre = self.list(at[order[0]])
-        low, high = centre.copy(), centre.copy()
-        for k in order[1:]:
-            other = self.list(at[k])
+        """Starts and ends of the spans within one document, at most ``reach`` positions long, that begin and end with a term and hold all terms; of those with one start, the longest."""
+        terms = at[order[np.sort(np.unique(at[order], return_index=True)[1])]]  # distinct, the rarest first
+        centre = self.list(terms[0])
+        for k in terms[1:]:  # every span holds the rarest term, and the others less than reach away from it
+            other = self.list(k)
             i = np.searchsorted(other, centre)
             before, after = other[np.maximum(i - 1, 0)], other[np.minimum(i, len(other) - 1)]
-            closest = np.where(np.abs(before - centre) <= np.abs(after - centre), before, after)
-            low, high = np.minimum(low, closest), np.maximum(high, closest)
-            kept = high - low < reach
-            centre, low, high = centre[kept], low[kept], high[kept]
+            centre = centre[np.minimum(np.abs(before - centre), np.abs(after - centre)) < reach]
             if not len(centre):
-                break
-        return low, high + 1
+                return centre, centre
+        start = np.unique((centre[:, None] - np.arange(reach)).ravel())
+        start = start[start >= 0]
+        last = np.minimum(start + reach, self.starts[np.searchsorted(self.starts, start, side="right")] - 1) - 1  # the document's end
+        first, whole, end = np.full(len(start), np.iinfo(np.int64).max), np.ones(len(start), bool), np.zeros(len(start), np.int64)
+        for k in terms:
+            other = self.list(k)
+            i, j = np.searchsorted(other, start), np.searchsorted(other, last, side="right")
+            whole &= i < j
+            first = np.minimum(first, other[np.minimum(i, len(other) - 1)])
+            end = np.maximum(end, other[np.maximum(j - 1, 0)])
+        good = whole & (first == start)
+        return start[good], end[good] + 1
 
 
 def search(index: DataFrame, block: list[tuple[str, str | None]], width: int, reach: int) -> DataFrame:
@@ -174,12 +182,11 @@ def search(index: DataFrame, block: list[tuple[str, str | None]], width: int, re
                 for w in np.nonzero((n > 0).all(axis=1))[0].tolist():
                     size = int(wanted.lengths[w])
                     order = np.argsort(n[w, :size], kind="stable")
-                    # a phrase's own span holds all its terms, so each phrase match is a proximity match too
+                    # a phrase's own span holds all its terms, so each phrase match of up to reach words is a proximity match too
                     low, high = seg.near(at[w], order, reach)
                     if len(low):
-                        whole = np.searchsorted(seg.starts, low, side="right") == np.searchsorted(seg.starts, high - 1, side="right")
-                        np.add.at(edges["near"], low[whole], 1)
-                        np.add.at(edges["near"], high[whole], -1)
+                        np.add.at(edges["near"], low, 1)
+                        np.add.at(edges["near"], high, -1)
                     starts = seg.phrase(at[w], order)
                     if len(starts):
                         np.add.at(edges["hit"], starts, 1)

@@ -436,6 +436,36 @@ def test_proximity_finds_reordered_words(spark):
     assert got == {1: (0, 4), 2: (0, 0)}
 
 
+def reference_near(text, items, width, reach):
+    w = text.split()
+    covered = set()
+    for item in items:
+        t = item.split()
+        for n in range(max(1, len(t) - width + 1)):
+            terms = set(t[n : n + width])
+            for i in range(len(w)):
+                for j in range(i, min(i + reach, len(w))):
+                    if w[i] in terms and w[j] in terms and terms <= set(w[i : j + 1]):
+                        covered |= set(range(i, j + 1))
+    return len(covered)
+
+
+def test_proximity_finds_every_span(spark):
+    """Against all spans by brute force; a frequent word may stand nearer on the other side, or in the next document."""
+    phrase = [f"w{i}" for i in range(10)]
+    items = [" ".join(phrase), "a b c d", "b b a", "a"]
+    texts = [" ".join(phrase + ["q"] * 7 + ["w0"] + ["w1 w2"] * 20), "w0 w1 w2", " ".join(phrase[1:]), "w0", " ".join(phrase), "w0 w1 w2 w3"]
+    r = random.Random(8)
+    texts += [" ".join(r.choice("aabbbcdqqqq") for _ in range(r.randrange(1, 60))) for _ in range(60)] + [" ".join(r.choice(phrase[:3] * 3 + phrase) for _ in range(80)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for reach in (14, 5):
+        got = {x.doc_id: (x.n_hit, x.n_near) for x in positional.contamination(docs, bench, reach=reach).collect()}
+        assert {d: n for d, (_, n) in got.items()} == {i: reference_near(t, items, 10, reach) for i, t in enumerate(texts)}
+        if reach == 14:
+            assert got[0][0] == 10 and all(n >= h for h, n in got.values())
+
+
 # -- quality and language
 
 
