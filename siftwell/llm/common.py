@@ -80,44 +80,36 @@ class WordHashes(dict):
 class WordHasher:
     """64-bit hashes of all words of many texts at once.
 
-    A word's hash is a polynomial in its bytes' random values, taken from running
-    sums over the whole buffer, scrambled with its length. ``values`` gives each
-    byte's value; bytes marked in ``gaps`` part words.
+    Words are hashed eight bytes at a step by bijective scrambles that begin with the
+    word's length, so that words of equal length up to eight bytes never collide and
+    no arithmetic pattern of bytes does; words above ``long_word`` bytes by xxh3. Bytes
+    in ``gaps`` part words; ASCII letters count as lower case.
     """
 
-    _BASE = 0x9E3779B97F4A7C15
-
-    def __init__(self, gaps: bytes, same: dict[int, int], size: int = 1 << 20):
-        self.size = 0
-        self.gap = np.zeros(256, bool)
-        self.gap[list(gaps)] = True
-        self.values = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64)
-        for b, like in same.items():
-            self.values[b] = self.values[like]
-        self._grow(size)
-
-    def _grow(self, size: int) -> None:
-        if size > self.size:
-            self.size = size
-            self.up = np.full(size, self._BASE, np.uint64)
-            self.down = np.full(size, pow(self._BASE, -1, 1 << 64), np.uint64)
-            self.up[0] = self.down[0] = 1
-            np.multiply.accumulate(self.up, out=self.up)
-            np.multiply.accumulate(self.down, out=self.down)
+    _KEY = np.uint64(0x9E3779B97F4A7C15)
+    _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+    def __init__(self, gaps: bytes, long_word: int = 256):
+        self.long_word = long_word
+        self.table = bytes(32 if b in gaps else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' hashes in order, and where each text's words begin, with the end."""
-        gap = b" "
-        joined = gap + gap.join(texts) + gap
-        b = np.frombuffer(joined, np.uint8)
-        if len(b) > self.size:
-            self._grow(len(b))
-        parted = self.gap[b]
+        joined = (b" " + b" ".join(texts) + b" ").translate(self.table) + bytes(8)
+        parted = np.frombuffer(joined, np.uint8)[:-8] == 32
         edges = np.diff(parted.view(np.int8))
         starts, ends = np.nonzero(edges == -1)[0] + 1, np.nonzero(edges == 1)[0] + 1
+        n = ends - starts
+        eight = np.ndarray((len(joined) - 7,), "<u8", joined, 0, (1,))  # the eight bytes from each place on
         with np.errstate(over="ignore"):
-            sums = np.cumsum(self.values[b] * self.up[: len(b)], dtype=np.uint64)
-            hashes = mixed((sums[ends - 1] - sums[starts - 1]) * self.down[starts] + (ends - starts).astype(np.uint64))
+            hashes = mixed(mixed(n.astype(np.uint64) * self._KEY) ^ (eight[starts] & self._MASKS[np.minimum(n, 8)]))
+            at, more = 8, np.nonzero((n > 8) & (n <= self.long_word))[0]
+            while len(more):
+                hashes[more] = mixed((hashes[more] * self._KEY) ^ (eight[starts[more] + at] & self._MASKS[np.minimum(n[more] - at, 8)]))
+                at += 8
+                more = more[n[more] > at]
+        for i in np.nonzero(n > self.long_word)[0].tolist():
+            hashes[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : ends[i]])
         first = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]) if texts else np.ones(1, np.int64)
         return hashes, np.searchsorted(starts, first)
 

@@ -11,23 +11,24 @@ all documents by a lossy counter, so very common passages are not indexed where
 anything rarer is there. Small sets take one or two segments and also index each
 segment's one-deletion neighbourhood, which allows one difference a segment.
 
-Sets under one index entry are candidates. No entry's pairs are spelled out: its
-sets are compared with one hub, links and hubs form components, and only sets of
-different components that still share an entry are compared with each other,
-within a task that lets out only the pairs that may be linked.
-Parity sketches first drop pairs that cannot be linked;
-every other comparison is exact, on whole sets of 64-bit shingle hashes. Equal sets are
-one class throughout, known by a 64-bit sum of its elements' scrambled hashes.
+Sets under one index entry are candidates; no pair leaves the task that finds it.
+Parity sketches first rule pairs out within an entry, and a spanning forest of the
+others goes on: at most n - 1 rows for n sets. Its components are families, which no
+link leaves. Each family's sets meet once, in blocks of bounded size; every two are
+compared exactly there, and a spanning forest of the links, with each set's number of
+links, goes on. Equal sets are one class throughout. A class is known by a 64-bit sum
+of its elements' scrambled hashes, and checked by a second one: should two different
+sets share a number, all are numbered anew.
 
 Defined results: null and wordless texts have the empty set, and are linked with
 nothing; with fewer words than a shingle has, all words make one shingle; repeated
-rows are members of one class; a null id is never a component's name unless all
-its members' are null; other columns are ignored.
+rows are members of one class; very long texts are sets like any others; a null id is
+never a component's name unless all its members' are null; there are no ties; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,22 +40,22 @@ from pyspark.sql import functions as F
 from .common import WordHasher, materialise, mixed
 from .components import components
 
-PROFILE = "doc_id long, text_hash long, n_shingles long, cls long, sketch binary, hot array<long>, hot_n array<int>"
+PROFILE = "doc_id long, text_hash long, n_shingles long, cls long, check long, sketch binary, hot array<long>, hot_n array<int>"
 ENTRIES = "sig long, salt int, size int, cls long"
-FOUND = "kind int, sig long, a long, b long, a_size int, b_size int"
+FOUND = "key long, n int, cls long, size int"
+LINKS = "a long, b long, cls long, n long"
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Sets up to this size are indexed by one-deletion neighbourhoods.
 SMALL = 11
 
 
-#: The characters that part words, and the letters taken as lower case.
+#: The characters that part words.
 _GAPS = bytes([32, *range(9, 14)])
-_LOWER = {b: b + 32 for b in range(65, 91)}
 
 
 class Shingler:
     def __init__(self, width: int):
-        self.width, self.hasher = width, WordHasher(_GAPS, _LOWER)
+        self.width, self.hasher = width, WordHasher(_GAPS)
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""
@@ -111,9 +112,10 @@ def sketches_differ(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def class_of(x: np.ndarray) -> int:
+def class_of(x: np.ndarray, seed: int) -> int:
     with np.errstate(over="ignore"):
-        return int(mixed(mixed(x ^ _M).sum(keepdims=True) + np.uint64(len(x)))[0].astype(np.int64)) if len(x) else 0
+        key = mixed(np.array([seed], np.uint64) * _M + _M)
+        return int(mixed(mixed(x ^ key).sum(keepdims=True) + np.uint64(len(x)))[0].astype(np.int64)) if len(x) else 0
 
 
 class Threshold:
@@ -230,8 +232,8 @@ def common_in(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarra
     return tokens, (np.searchsorted(flat, tokens, "right") - np.searchsorted(flat, tokens, "left")).astype(np.int32)
 
 
-def profiles(docs: DataFrame, width: int, least: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, cls and sketch of each document, and each batch's common shingles on one of its rows.
+def profiles(docs: DataFrame, width: int, least: int, seed: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, cls, check (another number of the class) and sketch of each document, and each batch's common shingles on one of its rows.
 
     Shingles of at least ``least`` different sets of a batch are counted; every
     batch of every task adds its counts. So one that is common overall is found
@@ -244,11 +246,11 @@ def profiles(docs: DataFrame, width: int, least: int) -> DataFrame:
         sets: list[np.ndarray] = []
         for b in batches:
             sets = [x for i in range(0, b.num_rows, 1000) for x in shingles.sets(b.column(2).slice(i, 1000).to_pylist())]
-            m, classes = len(sets), [class_of(s) for s in sets]
+            m, classes = len(sets), [class_of(s, seed) for s in sets]
             tokens, n = common_in(list({c: s for c, s in zip(classes, sets)}.values()), least)
             hot, hot_n = [tokens.view(np.int64)] + [None] * (m - 1), [n] + [None] * (m - 1)
             arrays = [
-                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(map(sketch_of, sets), pa.binary()),
+                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array([class_of(s, seed + 1) for s in sets], pa.int64()), pa.array(map(sketch_of, sets), pa.binary()),
                 pa.array(hot[:m], pa.list_(pa.int64())), pa.array(hot_n[:m], pa.list_(pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PROFILE.split(", ")])
@@ -267,7 +269,7 @@ def common_shingles(profile: DataFrame, most: int) -> Hot:
     return Hot(rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
 
 
-def index(docs: DataFrame, width: int, t: Threshold, hot: Hot, piece: int) -> DataFrame:
+def index(docs: DataFrame, width: int, t: Threshold, hot: Hot, piece: int, seed: int) -> DataFrame:
     """Index entries of all sets; a task gives those of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +286,7 @@ def index(docs: DataFrame, width: int, t: Threshold, hot: Hot, piece: int) -> Da
         found, held = [], 0
         for b in batches:
             for x in (x for i in range(0, b.num_rows, 1000) for x in shingles.sets(b.column(0).slice(i, 1000).to_pylist())):
-                cls = class_of(x)
+                cls = class_of(x, seed)
                 if not len(x) or cls in seen:
                     continue
                 if len(seen) > 1_000_000:
@@ -302,7 +304,7 @@ def index(docs: DataFrame, width: int, t: Threshold, hot: Hot, piece: int) -> Da
 
 
 def meet(entries: DataFrame, t: Threshold) -> DataFrame:
-    """Where sets share an entry: pairs with a piece's hub (kind 0), the members of pieces of three and more or of dealt entries (1), and dealt pieces' hubs (2)."""
+    """The sets of entries that several share: ``key`` stands for an entry, and is the same for entries of the same sets; n is its sets, 0 where an entry was dealt in pieces."""
     parted = entries.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,23 +312,17 @@ def meet(entries: DataFrame, t: Threshold) -> DataFrame:
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1]) | (cls[1:] != cls[:-1])
             sig, salt, size, cls = sig[new], salt[new], size[new], cls[new]  # equal sets of several tasks
-            head = np.ones(len(sig), bool)
-            head[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
-            at = np.nonzero(head)[0]
+            at = np.nonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])]))[0]
             n = np.diff(at, append=len(sig))
-            hub, each = np.repeat(at, n), np.repeat(n, n)
-            pair = np.nonzero(~head & t.fits(size.astype(np.int64), size[hub].astype(np.int64)))[0]
-            pairs = np.unique(np.stack([cls[hub[pair]], cls[pair], size[hub[pair]], size[pair]]), axis=1) if len(pair) else np.zeros((4, 0), np.int64)
-            member = np.nonzero((each > 2) | (salt > 0))[0]
-            lead = np.nonzero(head & (salt > 0))[0]
-            none = lambda k: np.zeros(k, np.int64)
-            out = [
-                np.concatenate([np.full(pairs.shape[1], 0), np.full(len(member), 1), np.full(len(lead), 2)]),
-                np.concatenate([none(pairs.shape[1]), sig[member], sig[lead]]), np.concatenate([pairs[0], cls[member], cls[lead]]), np.concatenate([pairs[1], none(len(member)), none(len(lead))]),
-                np.concatenate([pairs[2], size[member], size[lead]]), np.concatenate([pairs[3], none(len(member)), none(len(lead))]),
-            ]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(out, kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
+            low, high = np.minimum.reduceat(size, at).astype(np.int64), np.maximum.reduceat(size, at).astype(np.int64)
+            with np.errstate(over="ignore"):
+                same = np.add.reduceat(mixed(cls.view(np.uint64)), at).view(np.int64)
+            wanted = (salt[at] > 0) | (n > 2) | ((n == 2) & t.fits(low, high))
+            key, n_sets = np.where(salt[at] > 0, sig[at], same), np.where(salt[at] > 0, 0, n)
+            kept = np.repeat(wanted, n)
+            out = np.stack([np.repeat(key, n)[kept], np.repeat(n_sets, n)[kept], cls[kept], size[kept].astype(np.int64)])
+            out = np.unique(out, axis=1) if out.shape[1] else out  # entries of the same sets
+            return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(out[2]), pa.array(out[3].astype(np.int32))], names=[x.split()[0] for x in FOUND.split(", ")])
 
         kept = [np.zeros(0, k) for k in (np.int64, np.int32, np.int32, np.int64)]
         for b in batches:
@@ -344,58 +340,57 @@ def meet(entries: DataFrame, t: Threshold) -> DataFrame:
     return parted.mapInArrow(run, FOUND)
 
 
-def possible(pairs: DataFrame, sketches: DataFrame, t: Threshold) -> DataFrame:
-    """The ``pairs(a, b)`` whose sketches don't rule out a link already."""
-    x = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("a_sketch"), F.col("n_shingles").alias("a_n"))
-    y = sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("b_sketch"), F.col("n_shingles").alias("b_n"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [sketches_differ(p, q) <= t.differ(r, s) for p, q, r, s in zip(*(c.to_pylist() for c in b.columns[2:]))]
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(kept, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(run, "a long, b long")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, profile: DataFrame, width: int, t: Threshold, broadcast_rows: int) -> DataFrame:
-    """``pairs(a, b)`` with ``linked``, by the whole sets of one text of either class."""
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")
-    wanted = materialise(profile.join(ends, "cls", "left_semi").groupBy("cls").agg(one).select("cls", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash")), "wanted")
-    # checked: at most so many rows of three numbers go to every executor, else both sides are dealt by key
-    side = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    rows = _texts(docs)
-    texts = rows.join(side, rows["doc_id"].eqNullSafe(side["w_id"]) & (rows["text_hash"] == side["w_hash"])).select("cls", "text").dropDuplicates(["cls"])
-    texts = materialise(texts, "texts")
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held = Shingler(width), OrderedDict()
-
-        def of(cls: int, text) -> np.ndarray:
-            if cls not in held:
-                held[cls] = shingles.sets([text.as_py()])[0]
-                if len(held) > 256:
-                    held.popitem(last=False)
-            else:
-                held.move_to_end(cls)
-            return held[cls]
-
-        for b in batches:
-            linked = []
-            for a_cls, b_cls, a_text, b_text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                x, y = of(a_cls, a_text), of(b_cls, b_text)
-                linked.append(t.holds(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    return materialise(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, linked boolean"), "verified")
-
-
-def within(cls: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, sketch: list[bytes], t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one entry's sets (one ``side``), or of two blocks of them (sides 0 and 1), in different components and not ruled out by size or sketch."""
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    length = np.array([len(k) for k in sketch])
-    one_side = side[0] == side[-1]
+class Forest:
+    """Union of numbered things; ``edges`` are those that joined any."""
+
+    def __init__(self, n: int):
+        self.label, self.edges = np.arange(n), []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        new, first = np.unique(self.label[others], return_index=True)
+        for k, j in zip(new.tolist(), others[first].tolist()):
+            if k != self.label[i]:
+                self.edges.append((i, j))
+                self.label[self.label == k] = self.label[i]
+
+
+def blocked(rows: DataFrame, keys: list[str], blocks, columns: list[str]) -> DataFrame:
+    """``rows`` of each key dealt in ``blocks`` by their class, and each two blocks (low, high) together as neighbours; ``side`` tells them apart."""
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), *columns)
+    place = [*keys, "low", "high"]
+    return dealt.repartition(*place).sortWithinPartitions(*place, "side")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups of neighbouring rows with equal ``keys``, as many as a batch completes."""
+    kept = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = pa.Table.from_batches([b])
+        now = pa.concat_tables([kept, now]).combine_chunks() if kept is not None else now
+        columns = [now.column(k).to_numpy() for k in keys]
+        last = np.nonzero(np.logical_or.reduce([k != k[-1] for k in columns]))[0]
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield now.slice(0, cut)
+        kept = now.slice(cut)
+    if kept is not None:
+        yield kept
+
+
+def group_edges(x: pa.Table, keys: list[str]) -> list[int]:
+    columns = [x.column(k).to_numpy() for k in keys]
+    return [0, *(np.nonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in columns]))[0] + 1).tolist(), x.num_rows]
+
+
+def possible(size: np.ndarray, side: np.ndarray, sketch: list[bytes], t: Threshold) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that neither sizes nor sketches rule out, of one block's sets (one ``side``) or of two blocks' (sides 0 and 1)."""
+    if len(size) == 2:
+        r, s = size.tolist()
+        return [(0, 1)] if t.fits(r, s) and sketches_differ(*sketch) <= t.differ(r, s) else []
+    forest, length, one_side = Forest(len(size)), np.array([len(k) for k in sketch]), side.min() == side.max()
     packed = {int(n): (np.nonzero(length == n)[0], np.frombuffer(b"".join(k for k in sketch if len(k) == n), np.uint8).reshape(-1, n)) for n in np.unique(length)}
     for n, (at, bits) in packed.items():
         # sizes that can be linked have sketches of equal length or of half of it
@@ -405,140 +400,182 @@ def within(cls: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray
             others.append((at2, bits2[:, :n] ^ bits2[:, n:]))
         for at2, bits2 in others:
             for i, row in zip(at.tolist(), bits):
-                apart = np.bitwise_count(bits2 ^ row).sum(1, dtype=np.int64)
                 r, s = int(size[i]), size[at2].astype(np.int64)
-                most = r + s - 2 * (-(-t.p * (r + s) // (100 + t.p)))
-                good = (apart <= most) & t.fits(r, s) & (root[at2] != root[i])
-                # a pair of equal lengths comes up from both ends
-                good &= (cls[at2] > cls[i] if at2 is at else True) if one_side else (side[at2] != side[i]) & (cls[at2] > cls[i] if at2 is at else True)
-                found = cls[at2[good]]
-                out_a.append(np.minimum(found, cls[i]))
-                out_b.append(np.maximum(found, cls[i]))
-    return np.concatenate(out_a), np.concatenate(out_b)
+                new = (forest.label[at2] != forest.label[i]) & t.fits(r, s)
+                if not one_side:
+                    new &= side[at2] != side[i]
+                near = np.nonzero(new)[0]
+                if len(near):
+                    most = r + s[near] - 2 * (-(-t.p * (r + s[near]) // (100 + t.p)))
+                    forest.join(i, at2[near[np.bitwise_count(bits2[near] ^ row).sum(1, dtype=np.int64) <= most]])
+    return forest.edges
 
 
-def compare_within(open_: DataFrame, sketches: DataFrame, t: Threshold, block: int) -> DataFrame:
-    """Pairs a < b of open entries' sets that sketches don't rule out; only those leave the task that compares them.
+def families(found: DataFrame, sketches: DataFrame, t: Threshold, block: int) -> DataFrame:
+    """member, root: the components of sets that share an entry and aren't ruled out there by size or sketch.
 
     An entry of more than ``block`` sets is dealt in blocks, and each two of its
-    blocks meet in a task of their own, so neither memory nor work of a task
+    blocks meet in a task of their own, so that neither memory nor work of a task
     grows with the entry.
     """
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = open_.join(sketches.select("cls", "sketch"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "size", "root", "sketch")
-    parted = rows.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "side")
+    met = found.groupBy("key", "n", "cls").agg(F.min("size").alias("size"))
+    dealt = met.filter("n = 0").drop("n")
+    counted = dealt.join(dealt.groupBy("key").agg(F.count("*").cast("int").alias("n")).filter("n > 1"), "key").select("key", "n", "cls", "size")
+    rows = met.filter("n > 0").unionByName(counted).join(sketches.select("cls", "sketch"), "cls")
+    keys = ["key", "n", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(x: pa.Table) -> pa.RecordBatch:
-            c = {k: x.column(k).to_numpy() for k in ("sig", "low", "high", "side", "cls", "size", "root")}
-            sketch = x.column("sketch").to_pylist()
-            new = np.nonzero((c["sig"][1:] != c["sig"][:-1]) | (c["low"][1:] != c["low"][:-1]) | (c["high"][1:] != c["high"][:-1]))[0] + 1
-            edges = [0, *new.tolist(), len(sketch)]
-            found = [within(c["cls"][i:j], c["size"][i:j], c["root"][i:j], c["side"][i:j], sketch[i:j], t) for i, j in zip(edges, edges[1:]) if j - i > 1 and not (c["low"][i] != c["high"][i] and c["side"][i] == c["side"][j - 1])]
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            both = np.unique(np.stack([a, b]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-        kept = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = pa.Table.from_batches([b])
-            now = pa.concat_tables([kept, now]).combine_chunks() if kept is not None else now
-            keys = [now.column(k).to_numpy() for k in ("sig", "low", "high")]
-            last = np.nonzero(np.logical_or.reduce([k != k[-1] for k in keys]))[0]
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield compared(now.slice(0, cut))
-            kept = now.slice(cut)
-        if kept is not None and kept.num_rows:
-            yield compared(kept)
-
-    return parted.mapInArrow(run, "a long, b long")
-
-
-def _open(members: DataFrame, roots: DataFrame, round_no: int) -> DataFrame:
-    """``members(sig, cls, size)`` of entries whose sets are in several components: with root, n (the entry's sets), root_size and others (sets of the entry in other components, halved)."""
-    rooted = members.join(roots.withColumnRenamed("member", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    per_root = materialise(rooted, f"members{round_no}").groupBy("sig", "root").agg(F.count("*").alias("n_root"))
-    per_root = materialise(per_root, f"roots{round_no}")
-    entries = per_root.groupBy("sig").agg(F.sum("n_root").alias("n"), F.count("*").alias("n_roots")).filter("n_roots > 1").select("sig", "n")
-    sizes = rooted.select("cls", "root").distinct().groupBy("root").agg(F.count("*").alias("root_size"))
-    counted = rooted.join(entries, "sig").join(per_root, ["sig", "root"]).join(sizes, "root")
-    return materialise(counted.select("sig", "cls", "size", "root", "n", "root_size", ((F.col("n") - F.col("n_root")) / 2).alias("others")), f"open{round_no}")
+        for x in groups_of(batches, keys):
+            cls, size, side, sketch = x.column("cls").to_numpy(), x.column("size").to_numpy(), x.column("side").to_numpy(), x.column("sketch").to_pylist()
+            edges, pairs = group_edges(x, keys), []
+            for i, j in zip(edges, edges[1:]):
+                pairs += [(i + a, i + b) for a, b in possible(size[i:j], side[i:j], sketch[i:j], t)] if j - i > 1 else []
+            at = np.array(pairs, np.int64).reshape(-1, 2)
+            ends = np.sort(cls[at], axis=1)
+            ends = np.unique(ends, axis=0) if len(ends) else ends
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
+    near = blocked(rows, ["key", "n"], F.ceil(F.col("n") / block).cast("int"), ["cls", "size", "sketch"]).mapInArrow(run, "a long, b long")
+    return components(near, "families")
 
-def _unjoined(members: DataFrame) -> DataFrame:
-    """``members`` with n, and each set as a component of its own, so that no pair of an entry counts as joined."""
-    counts = members.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
-    return materialise(members.join(counts, "sig").select("sig", "cls", "size", F.col("cls").alias("root"), "n"), "unjoined")
 
+def exact_links(sets: list[np.ndarray], side: np.ndarray, t: Threshold, every: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links among one block's sets (one ``side``), or between two blocks', and with ``every`` each set's number of links.
 
-def _to_hubs(open_: DataFrame, t: Threshold, round_no: int) -> DataFrame:
-    """Pairs of an entry's hub with its sets in other components.
-
-    First the hub is the set that shares entries with the most others, then one
-    drawn from the entry's largest component.
+    Elements that several sets hold are columns: of a bit matrix where that is
+    small, else of lists of holders.
     """
-    if round_no == 1:
-        rows = open_.join(open_.groupBy("cls").agg(F.sum("n").alias("weight")), "cls").withColumn("draw", F.col("cls"))
+    m, one_side = len(sets), side.min() == side.max()
+    size = np.array([len(x) for x in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m, dtype=np.int32), size)
+    order = np.argsort(flat, kind="stable")
+    flat, holders = flat[order], owner[order]
+    first = np.nonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))[0]
+    held = np.diff(first, append=len(flat))
+    several = held > 1
+    holders, held = holders[np.repeat(several, held)], held[several]
+    column = np.repeat(np.arange(len(held), dtype=np.int32), held)
+    del flat, owner, order, first
+    forest, n_links = Forest(m), np.zeros(m, np.int64)
+    dense = m * len(held) <= 1 << 25
+    if dense:
+        bits = np.zeros((m, -(-len(held) // 64) * 64), bool)
+        bits[holders, column] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
     else:
-        rows = open_.withColumn("weight", F.col("root_size")).withColumn("draw", F.xxhash64("cls", F.lit(round_no)))
-    hubs = rows.groupBy("sig").agg(F.max(F.struct("weight", "draw", "cls", "size", "root")).alias("h"))
-    met = open_.join(hubs, (open_["sig"] == hubs["sig"]) & (open_["root"] != F.col("h.root")) & t.fits(open_["size"].cast("long"), F.col("h.size").cast("long")))
-    return met.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
+        starts = np.cumsum(held) - held
+        by_set = np.argsort(holders, kind="stable")
+        mine, ends = column[by_set], np.searchsorted(holders[by_set], np.arange(m + 1))
+        del by_set
+    for i in range(m):
+        others = np.arange(i + 1, m) if one_side else np.nonzero(side != side[i])[0] if side[i] == 0 else np.zeros(0, np.int64)
+        others = others[t.fits(size[i], size[others]) & (every | (forest.label[others] != forest.label[i]))]
+        if not len(others):
+            continue
+        if dense:
+            both = np.bitwise_count(bits[others] & bits[i]).sum(1, dtype=np.int64)
+        else:
+            own = mine[ends[i] : ends[i + 1]]
+            n = held[own]
+            places = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(holders[places], minlength=m)[others]
+        linked = others[100 * both >= t.p * (size[i] + size[others] - both)]
+        n_links[i] += len(linked)
+        n_links[linked] += 1
+        if len(linked):
+            forest.join(i, linked)
+    return forest.edges, n_links
+
+
+def links_of(family: DataFrame, classes: DataFrame, docs: DataFrame, width: int, t: Threshold, block_shingles: int, broadcast_rows: int, every: bool) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the links within each of two families' blocks, and with ``every`` rows (cls, n) that add up to each class's links.
+
+    A class's set is made from one of its texts, once; a family whose sets hold more
+    than ``block_shingles`` elements is dealt in blocks, each two of which meet in a task.
+    """
+    members = family.unionByName(family.select(F.col("root").alias("member"), "root")).distinct()
+    named = materialise(members.withColumnRenamed("member", "cls").join(classes, "cls").select("cls", F.col("root").alias("family"), "n_shingles", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash")), "members")
+    totals = named.groupBy("family").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("family_blocks"))
+    wanted = named.join(totals, "family")
+    # checked: at most so many rows of a few numbers go to every executor, else both sides are dealt by key
+    side = F.broadcast(wanted) if named.count() <= broadcast_rows else wanted
+    texts = _texts(docs)
+    held = texts.join(side, texts["doc_id"].eqNullSafe(side["w_id"]) & (texts["text_hash"] == side["w_hash"])).select("family", "family_blocks", "cls", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(width)
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                some = b.slice(i, 500)
+                found = [x.tobytes() for x in shingles.sets(some.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(found, pa.binary())], names=["family", "family_blocks", "cls", "elements"])
 
+    rows = held.mapInArrow(sets, "family long, family_blocks int, cls long, elements binary")
+    keys = ["family", "low", "high"]
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least_common: int = 3, hot_most: int = 1_000_000, piece: int = 1024, rounds: int = 1, block: int = 2048, broadcast_rows: int = 500_000, every_link: bool = False) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in groups_of(batches, keys):
+            all_cls, all_sides, elements = x.column("cls").to_numpy(), x.column("side").to_numpy(), x.column("elements")
+            edges = group_edges(x, keys)
+            a, b, cls, n = [], [], [], []
+            for i, j in zip(edges, edges[1:]):
+                # rows that repeat an id and text give a class twice
+                at = i + np.unique(all_cls[i:j], return_index=True)[1]
+                side, own = all_sides[at], all_cls[at]
+                if len(at) < 2 or (x.column("low")[i].as_py() != x.column("high")[i].as_py() and side.min() == side.max()):
+                    continue
+                tree, n_links = exact_links([np.frombuffer(elements[k].as_buffer(), np.uint64) for k in at.tolist()], side, t, every)
+                a += [int(own[p]) for p, _ in tree]
+                b += [int(own[q]) for _, q in tree]
+                if every:
+                    cls += own[n_links > 0].tolist()
+                    n += n_links[n_links > 0].tolist()
+            columns = [pa.array([*v, *[None] * k] if v is a or v is b else [*[None] * k, *v], pa.int64()) for v, k in ((a, len(cls)), (b, len(cls)), (cls, len(a)), (n, len(a)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[y.split()[0] for y in LINKS.split(", ")])
+
+    return materialise(blocked(rows, ["family"], F.col("family_blocks"), ["cls", "elements"]).mapInArrow(run, LINKS), "links")
+
+
+def numbered(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """Profiles, their classes (cls, n_shingles, sketch, one: a row that has it, and least: its smallest doc_id), and the seed of the classes' numbers."""
+    for seed in range(0, 20, 2):
+        profile = materialise(profiles(docs, width, least, seed), "profiles")
+        one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
+        known = profile.filter("n_shingles > 0").groupBy("cls").agg(F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), one, F.min("doc_id").alias("least"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+        known = materialise(known, "classes")
+        if known.filter("c0 <> c1").isEmpty():
+            return profile, known.drop("c0", "c1"), seed
+    raise ValueError("different sets share their number under every seed")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, least_common: int = 3, hot_most: int = 1_000_000, piece: int = 1024, block: int = 2048, block_shingles: int = 2_000_000, broadcast_rows: int = 500_000, every_link: bool = False) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, root (a number of the component's own, null for an empty set) and n_links per row of ``docs(doc_id, text)``.
 
     ``least_common`` and ``hot_most`` set which shingles count as common, which changes
-    cost but never the result; entries are dealt in pieces of about ``piece`` sets;
-    hubs are tried in at most ``rounds`` rounds, and what they leave in an entry is compared in blocks of about ``block`` sets.
+    cost but never the result; entries are dealt in pieces of about ``piece`` sets, and
+    compared in blocks of about ``block`` sets, families in blocks of about ``block_shingles`` elements.
 
-    n_links counts the links found on the way to the components. With ``every_link`` all
-    sets that share an entry are compared, within components too, and n_links is the exact
-    number of other sets linked with the row's; such work grows with the square of a group.
+    With ``every_link`` n_links is the exact number of other sets linked with the row's, and
+    every two sets of a family are compared; else it is null, and sets already joined
+    in a block are not compared again.
     """
     t = Threshold(percent)
-    profile = materialise(profiles(docs, width, least_common), "profiles")
+    profile, classes, seed = numbered(docs, width, least_common)
     hot = common_shingles(profile, hot_most)
-    sketches = materialise(profile.filter("n_shingles > 0").groupBy("cls").agg(F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")), "sketches")
-    found = materialise(meet(index(docs, width, t, hot, piece), t), "met")
-    hubs = found.filter("kind = 2").select("sig", F.col("a").alias("h"), F.col("a_size").alias("h_size"))
-    first = hubs.groupBy("sig").agg(F.min(F.struct("h", "h_size")).alias("f"))
-    across = hubs.join(first, "sig").select(F.col("f.h").alias("a"), F.col("h").alias("b"), F.col("f.h_size").alias("a_size"), F.col("h_size").alias("b_size")).filter("a <> b").filter(t.fits(F.col("a_size").cast("long"), F.col("b_size").cast("long")))
-    pairs = materialise(found.filter("kind = 0").select("a", "b").unionByName(across.select("a", "b")).distinct(), "pairs")
-    first_links = verify(materialise(possible(pairs, sketches, t), "possible"), docs, profile, width, t, broadcast_rows)
-    roots = components(first_links.filter("linked").select("a", "b"))
-
-    # sets of different components that share an entry: hubs first, then what hubs leave
-    members = found.filter("kind = 1").select("sig", F.col("a").alias("cls"), F.col("a_size").alias("size"))
-    tried, links = pairs, first_links.filter("linked").select("a", "b")
-    for round_no in range(1, 1 if every_link else rounds + 1):
-        open_ = _open(members, roots, round_no)
-        left, rows = open_.agg(F.sum("others"), F.count("*")).first()
-        if (left or 0) <= 4 * rows:
-            break
-        new = materialise(_to_hubs(open_, t, round_no).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
-        verified = verify(materialise(possible(new, sketches, t), "possible"), docs, profile, width, t, broadcast_rows)
-        tried, links = tried.unionByName(new), links.unionByName(verified.filter("linked").select("a", "b"))
-        roots = components(links)
-    else:
-        open_ = _unjoined(members) if every_link else _open(members, roots, 0)
-    rest = materialise(compare_within(open_, sketches, t, block).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(verify(rest, docs, profile, width, t, broadcast_rows).filter("linked").select("a", "b"))
-    roots = components(links)
+    found = materialise(meet(index(docs, width, t, hot, piece, seed), t), "met")
+    links = links_of(families(found, classes, t, block), classes, docs, width, t, block_shingles, broadcast_rows, every_link)
+    roots = components(links.filter("a is not null").select("a", "b")).withColumnRenamed("member", "cls")
 
-    classes = profile.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     # only classes with links have a root to look up
-    rooted = classes.join(ends, "cls").join(roots.withColumnRenamed("member", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "root", "component", "n_links")
-    known = classes.join(named, "cls", "left").select("cls", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    filled = profile.filter("n_shingles > 0").join(known, "cls").select("doc_id", "text_hash", "n_shingles", "component_id", "root", "n_links")
-    empty = profile.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_links"))
+    tops = roots.select(F.col("root").alias("cls"), "root").distinct()
+    rooted = roots.unionByName(tops).join(classes.select("cls", "least"), "cls")
+    counts = links.filter("cls is not null").groupBy("cls").agg(F.sum("n").alias("n_links"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").join(counts, "cls", "left").select("cls", "root", "component", "n_links")
+    known = classes.select("cls", "least").join(named, "cls", "left").select("cls", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    n_links = F.col("n_links") if every_link else F.lit(None).cast("long").alias("n_links")
+    filled = profile.filter("n_shingles > 0").join(known, "cls").select("doc_id", "text_hash", "n_shingles", "component_id", "root", n_links)
+    none = F.lit(0 if every_link else None).cast("long").alias("n_links")
+    empty = profile.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), none)
     return filled.unionByName(empty)
 
 

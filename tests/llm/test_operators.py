@@ -209,8 +209,8 @@ def test_jaccard_on_fixture(docs, nothing):
     assert jaccard.jaccard_components(nothing).count() == 0
 
 
-@pytest.mark.parametrize("piece,block", [(1024, 2048), (3, 4)])
-def test_jaccard_of_many_edited_copies(spark, piece, block):
+@pytest.mark.parametrize("piece,block,block_shingles", [(1024, 2048, 2_000_000), (3, 4, 300)])
+def test_jaccard_of_many_edited_copies(spark, piece, block, block_shingles):
     """Sizes from one shingle up, at all distances about the threshold; common passages; pieces of entries."""
     r = random.Random(7)
     rows = []
@@ -225,12 +225,12 @@ def test_jaccard_of_many_edited_copies(spark, piece, block):
     passage = prose(77, 30, 3000)
     rows += [(len(rows) + i, passage + " " + prose(500 + i, 5 + i, 3000)) for i in range(25)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = jaccard.jaccard_components(df, piece=piece, block=block)
+    got = jaccard.jaccard_components(df, piece=piece, block=block, block_shingles=block_shingles)
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == reference_components(rows)
 
 
-@pytest.mark.parametrize("piece,block", [(1024, 2048), (3, 4)])
-def test_every_link_is_counted(spark, piece, block):
+@pytest.mark.parametrize("piece,block,block_shingles", [(1024, 2048, 2_000_000), (3, 4, 300)])
+def test_every_link_is_counted(spark, piece, block, block_shingles):
     """Near copies in groups, repeated and equal texts among them, against brute force."""
     r = random.Random(17)
     rows = [(0, None), (1, ""), (2, "one two"), (3, "One  two")]
@@ -246,11 +246,66 @@ def test_every_link_is_counted(spark, piece, block):
     different = {x for _, x in sets if x}
     want = {d: sum(x != y and 100 * len(x & y) >= 75 * len(x | y) for y in different) if x else 0 for d, x in sets}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = jaccard.jaccard_components(df, piece=piece, block=block, every_link=True).collect()
+    got = jaccard.jaccard_components(df, piece=piece, block=block, block_shingles=block_shingles, every_link=True).collect()
     assert {x.doc_id: x.n_links for x in got} == want and max(want.values()) > 5
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == reference_components(rows)
 
 
+@pytest.mark.parametrize("m,spread", [(60, 3), (40, 200_000)])
+def test_exact_links_by_bits_and_by_lists(m, spread):
+    """Every set's links within a block and between two, by bit matrix and by lists of holders, against brute force."""
+    r, t = np.random.default_rng(m), jaccard.Threshold(75)
+    bases = [np.unique(r.integers(0, 1 << 63, spread, dtype=np.uint64)) for _ in range(m // 10 + 1)]
+    sets = [np.unique(np.concatenate([x[r.random(len(x)) < 0.97], r.integers(0, 1 << 63, 1 + len(x) // 20, dtype=np.uint64)])) for x in (bases[i % len(bases)] for i in range(m))]
+    assert (m * sum(map(len, bases)) > 1 << 25) == (spread > 3)
+    pairs = {(i, j) for i in range(m) for j in range(i) if t.holds(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    for side in (np.zeros(m, np.int32), r.integers(0, 2, m).astype(np.int32)):
+        want = {(i, j) for i, j in pairs if side.min() == side.max() or side[i] != side[j]}
+        tree, n = jaccard.exact_links(sets, side, t, True)
+        assert n.tolist() == [sum(k in p for p in want) for k in range(m)]
+        assert len(tree) < m and all((max(e), min(e)) in want for e in tree)
+        assert sorted(map(sorted, parts(m, tree))) == sorted(map(sorted, parts(m, want))) == sorted(map(sorted, parts(m, jaccard.exact_links(sets, side, t, False)[0])))
+
+
+def parts(m, edges):
+    label = list(range(m))
+    for i, j in edges:
+        a, b = label[i], label[j]
+        label = [a if x == b else x for x in label]
+    return [[i for i in range(m) if label[i] == k] for k in set(label)]
+
+
+def test_word_hashes_tell_patterned_words_apart():
+    """Thue-Morse words and their complements, and words around the step and the length that is hashed whole."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    flipped = word.translate(str.maketrans("ab", "ba"))
+    x, y = jaccard.Shingler(5).sets([word, flipped])
+    assert x[0] != y[0]
+    words = [w[:n] for w in (word, flipped, "z" * 1024) for n in (1, 7, 8, 9, 15, 16, 17, 255, 256, 257, 600)]
+    h, _ = jaccard.WordHasher(b" \n")([" ".join(words).encode()])
+    assert len(set(h.tolist())) == len(set(words)) and h.tolist() == [jaccard.WordHasher(b" \n")([w.upper().encode()])[0][0] for w in words]
+
+
+def test_sets_that_share_a_number_are_numbered_anew(spark, monkeypatch):
+    """With a class number that is the same for all sets under the first seed."""
+    rows = [(i, prose(i // 2, 30)) for i in range(8)]
+    true = jaccard.class_of
+    monkeypatch.setattr(jaccard, "class_of", lambda x, seed: 5 if seed == 0 and len(x) else true(x, seed))
+    made = []
+
+    def profiles(docs, width, least, seed):
+        made.append(seed)
+        columns = "doc_id long, text_hash long, n_shingles long, cls long, check long, sketch binary"
+        own = [(d, d, 26, jaccard.class_of(x, seed), jaccard.class_of(x, seed + 1), b"") for d, t in rows for x in jaccard.Shingler(5).sets([t])]
+        return spark.createDataFrame(own, columns)
+
+    monkeypatch.setattr(jaccard, "profiles", profiles)
+    _, classes, seed = jaccard.numbered(spark.createDataFrame(rows, "doc_id long, text string"), 5, 3)
+    assert (made, seed, classes.count()) == ([0, 2], 2, 4)
+
+
 def test_entries_of_linked_sets_always_meet():
     """The pigeonhole argument, on random sets at the very edge of the threshold."""
     t, r = jaccard.Threshold(75), np.random.default_rng(3)
