@@ -6,10 +6,12 @@ OP3 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\
 s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
-e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+l AS MATERIALIZED (SELECT a, b, o = x.n AND o = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS MATERIALIZED (SELECT a, b, same FROM l UNION ALL SELECT b, a, same FROM l),
+c AS MATERIALIZED (SELECT doc_id, least(doc_id, min(e.b) FILTER (e.same)) AS cls FROM n LEFT JOIN e ON e.a = doc_id GROUP BY doc_id),
+k AS (SELECT e.a AS doc_id, count(DISTINCT c.cls) AS n_links FROM e JOIN c ON c.doc_id = e.b WHERE NOT e.same GROUP BY e.a),
 r AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
-SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id, coalesce(any_value(k.n_links), 0)::BIGINT AS n_links FROM r LEFT JOIN n ON n.doc_id = r.doc_id LEFT JOIN k ON k.doc_id = r.doc_id GROUP BY r.doc_id"""
 
 OP5 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
