@@ -48,13 +48,7 @@ def op5_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .positional import contamination
-
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash", "n_near", "item_ids")
-
-
-def op6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op6_positional_decontamination, with n_near, the words in proximity matches."""
+    """With n_near, the words in proximity matches: spans of at most 14 words that hold all words of a window."""
     from .positional import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash", "item_ids")
@@ -114,7 +108,6 @@ QUERIES = {
     "op9_line_chunks": op9_line_chunks,
     "op10_mtree_topk": op10_mtree_topk,
     # what a query above leaves out because its SQL states its columns and rule
-    "op6_proximity": op6_proximity,
     "op9_whole_repeats": op9_whole_repeats,
 }
 

@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
 
@@ -60,21 +61,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words given as bytes; holds at most ``limit`` words."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, with k_id and k_hash, its doc_id and text hash: joins on these clash with no column's name."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_hash"))
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def without(docs: DataFrame, gone: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``docs`` less the rows whose (doc_id, text hash) is in ``gone(g_id, g_hash)``, a written table."""
+    # checked: at most so many pairs of numbers go to every executor, else both sides are dealt by key
+    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    return keyed(docs).join(side, F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_hash") == F.col("g_hash")), "left_anti").select("row.*")
 
 
 class WordHasher:

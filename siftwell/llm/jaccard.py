@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, materialise, mixed
+from .common import WordHasher, keyed, materialise, mixed, without
 from .components import components
 
 PROFILE = "doc_id long, text_hash long, n_shingles long, cls long, check long, sketch binary, hot array<long>, hot_n array<int>"
@@ -586,13 +586,11 @@ def one_of_each(docs: DataFrame, found: DataFrame, broadcast_rows: int = 500_000
     kept = found.filter("root is not null").groupBy("root").agg(F.min(key).alias("kept"), F.sum(F.lit(1)).alias("n")).filter("n > 1")
     several = found.join(kept, "root")
     gone = materialise(several.filter(key != F.col("kept")).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    left = rows.join(side, rows["doc_id"].cast("long").eqNullSafe(side["g_id"]) & (rows["__hash"] == side["g_hash"]), "left_anti")
+    left = without(docs, gone, broadcast_rows)
     repeated = several.filter(key == F.col("kept")).groupBy("doc_id", "text_hash").count().filter("count > 1")
     if not repeated.isEmpty():
         # rows that repeat both id and text: only those meet, one stays
         again = repeated.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
-        same = left["doc_id"].cast("long").eqNullSafe(again["g_id"]) & (left["__hash"] == again["g_hash"])
-        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__hash"]))
-    return left.select(*docs.columns)
+        same, rows = F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_hash") == F.col("g_hash")), keyed(left)
+        left = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["k_id", "k_hash"])).select("row.*")
+    return left

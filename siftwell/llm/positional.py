@@ -12,41 +12,59 @@ Words are compared by 64-bit hashes. Benchmark items go to the executors in
 blocks of a bounded number of words, however large the table of items is.
 
 Defined results: null and wordless documents have no words and no hits; null and
-wordless items match nothing; repeated document rows are answered row by row;
-items that share an id count as one item; a null item id counts as the empty
-string; other columns are ignored; an empty table of items gives no hits.
+wordless items match nothing; a very long document is one segment, searched whole;
+repeated document rows are answered row by row; items that share an id count as one
+item, and of equal windows in several items all items count; a null item id counts as
+the empty string; other columns are ignored, whatever their names; an empty table of
+items gives no hits, an empty table of documents no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialise
+from .common import WordHasher, materialise, without
 
 INDEX = "segment long, doc_ids array<long>, text_hashes array<long>, starts binary, terms binary, ends binary, positions binary"
 HITS = "segment long, ordinal int, doc_id long, text_hash long, n_words long, hit binary, near binary, items array<string>"
 
-#: ASCII letters (lower-cased), digits and all bytes above 127 are parts of words.
-_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+#: ASCII letters, digits and all bytes above 127 are parts of words.
+_GAPS = bytes(b for b in range(128) if not chr(b).isalnum())
+
+
+class Words:
+    """Word hashes of texts."""
+
+    def __init__(self):
+        self.hasher = WordHasher(_GAPS)
 
+    def __call__(self, texts: list[str | None], batch_bytes: int = 900_000) -> Iterator[np.ndarray]:
+        some, size = [], 0
+        for text in texts:
+            some.append((text or "").encode("utf-8", "replace"))
+            size += len(some[-1]) + 1
+            if size > batch_bytes:
+                yield from self._split(some)
+                some, size = [], 0
+        yield from self._split(some)
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(_WORDS).split()
+    def _split(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        h, first = self.hasher(texts)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield h[a:b]
 
 
-def build_index(docs: DataFrame, segment_words: int = 1_000_000) -> DataFrame:
+def build_index(docs: DataFrame, segment_words: int = 250_000) -> DataFrame:
     """Index rows over ``docs(doc_id, text)``, each of about ``segment_words`` words; a document is never split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, zip_ = WordHashes(), zstd.ZstdCompressor(level=1)
+        hashes, zip_ = Words(), zstd.ZstdCompressor(level=1)
         ids: list[int | None] = []
         keys: list[int] = []
         found: list[np.ndarray] = []
@@ -69,11 +87,12 @@ def build_index(docs: DataFrame, segment_words: int = 1_000_000) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
 
         for b in batches:
-            for doc_id, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            texts = (t.as_py() for t in b.column(2))
+            for doc_id, key, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), hashes(texts)):
                 ids.append(doc_id)
                 keys.append(key)
-                found.append(hashes.of(words(text.as_py())))
-                size += len(found[-1]) + 1
+                found.append(h)
+                size += len(h) + 1
                 if size >= segment_words:
                     yield segment()
         if ids:
@@ -83,27 +102,34 @@ def build_index(docs: DataFrame, segment_words: int = 1_000_000) -> DataFrame:
     return materialise(rows.withColumn("segment", F.monotonically_increasing_id()), "index")
 
 
-@dataclass
 class Windows:
-    """Windows of a block of items: term hashes by row, padded; their lengths; the items that have them."""
-
-    terms: np.ndarray
-    lengths: np.ndarray
-    items: list[list[str]]
-
-
-def windows_of(items: list[tuple[str, str | None]], width: int) -> Windows:
-    hashes = WordHashes()
-    found: dict[tuple, list[str]] = {}
-    for item_id, text in items:
-        h = hashes.of(words(text)).tolist()
-        for w in {tuple(h[i : i + width]) for i in range(max(1, len(h) - width + 1)) if h}:
-            found.setdefault(w, []).append(item_id)
-    keys = list(found)
-    terms = np.zeros((len(keys), width), np.uint64)
-    for i, k in enumerate(keys):
-        terms[i, : len(k)] = k
-    return Windows(terms, np.array([len(k) for k in keys], np.int64), [found[k] for k in keys])
+    """Windows of a block of items: runs of words in one array of term numbers. Nothing is held per window but its start, length and item."""
+
+    def __init__(self, items: list[tuple[str, str | None]], width: int):
+        each = list(Words()(t for _, t in items))
+        n = np.array([len(h) for h in each], np.int64)
+        flat = np.concatenate([*each, np.zeros(0, np.uint64)])
+        self.terms, self.number = np.unique(flat, return_inverse=True)
+        windows = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
+        self.item = np.repeat(np.arange(len(items)), windows)
+        self.start = np.repeat(np.cumsum(n) - n - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+        self.length = np.minimum(n, width)[self.item]
+        self.names = [i for i, _ in items]
+
+    def held_by(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Each different window all of whose terms are among ``terms`` (sorted), as term hashes, and its items."""
+        if not len(self.terms) or not len(terms):
+            return
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        present = np.zeros(len(self.terms), bool)
+        present[at[self.terms[at] == terms]] = True
+        absent = np.concatenate([[0], np.cumsum(~present[self.number])])
+        found: dict[bytes, set[str]] = {}
+        for w in np.nonzero(absent[self.start + self.length] == absent[self.start])[0].tolist():
+            own = self.terms[self.number[self.start[w] : self.start[w] + self.length[w]]]
+            found.setdefault(own.tobytes(), set()).add(self.names[self.item[w]])
+        for own, names in found.items():
+            yield np.frombuffer(own, np.uint64), sorted(names)
 
 
 class Segment:
@@ -169,30 +195,27 @@ def search(index: DataFrame, block: list[tuple[str, str | None]], width: int, re
     """Per document of ``index``: its hit positions and the block's items that occur in it; ``hit`` and ``near`` are packed bits by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, unzip = windows_of(block, width), zstd.ZstdDecompressor()
-        used = np.arange(width)[None, :] < wanted.lengths[:, None]
+        wanted, unzip = Windows(block, width), zstd.ZstdDecompressor()
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 seg = Segment(row, unzip)
-                at, n = seg.lists(wanted.terms.ravel())
-                at, n = at.reshape(wanted.terms.shape), np.where(used, n.reshape(wanted.terms.shape), np.iinfo(np.int64).max)
                 total = int(seg.starts[-1])
                 edges = {"hit": np.zeros(total + 1, np.int32), "near": np.zeros(total + 1, np.int32)}
                 items: dict[int, set[str]] = {}
-                for w in np.nonzero((n > 0).all(axis=1))[0].tolist():
-                    size = int(wanted.lengths[w])
-                    order = np.argsort(n[w, :size], kind="stable")
+                for terms, names in wanted.held_by(seg.terms):
+                    at, n = seg.lists(terms)
+                    order = np.argsort(n, kind="stable")
                     # a phrase's own span holds all its terms, so each phrase match of up to reach words is a proximity match too
-                    low, high = seg.near(at[w], order, reach)
+                    low, high = seg.near(at, order, reach)
                     if len(low):
                         np.add.at(edges["near"], low, 1)
                         np.add.at(edges["near"], high, -1)
-                    starts = seg.phrase(at[w], order)
+                    starts = seg.phrase(at, order)
                     if len(starts):
                         np.add.at(edges["hit"], starts, 1)
-                        np.add.at(edges["hit"], starts + size, -1)
+                        np.add.at(edges["hit"], starts + len(terms), -1)
                         for d in set((np.searchsorted(seg.starts, starts, side="right") - 1).tolist()):
-                            items.setdefault(d, set()).update(wanted.items[w])
+                            items.setdefault(d, set()).update(names)
                 cover = {k: np.cumsum(v[:-1]) > 0 for k, v in edges.items()}
                 some = {k: np.add.reduceat(v, seg.starts[:-1]) > 0 if total else np.zeros(0, bool) for k, v in cover.items()}
                 m = len(seg.doc_ids)
@@ -207,11 +230,11 @@ def search(index: DataFrame, block: list[tuple[str, str | None]], width: int, re
 
 
 def blocks_of(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Items in blocks of about ``block_words`` words; the driver holds one partition of items and one block at a time."""
+    """Items in blocks of about ``block_words`` words, at six characters a word; the driver holds one partition of items and one block at a time."""
     block, size = [], 0
     for r in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         block.append((r["item_id"] or "", r["text"]))
-        size += len(words(r["text"]))
+        size += 1 + len(r["text"] or "") // 6
         if size >= block_words:
             yield block
             block, size = [], 0
@@ -239,11 +262,12 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, reach: int
     ``width`` is the window; ``reach`` the most positions of a proximity match, whose words n_near counts.
     """
     index = build_index(docs)
-    found = [search(index, block, width, reach) for block in blocks_of(items, block_words)] or [search(index, [], width, reach)]
-    parts = found[0]
-    for x in found[1:]:
-        parts = parts.unionByName(x)
-    return counted(parts if len(found) == 1 else _merged(parts))
+    blocks = blocks_of(items, block_words)
+    parts, several = search(index, next(blocks, []), width, reach), False
+    for block in blocks:
+        # written block by block, so that neither the driver nor a plan holds the texts of more than two
+        parts, several = (parts if several else materialise(parts, "hits")).unionByName(materialise(search(index, block, width, reach), "hits")), True
+    return counted(_merged(parts) if several else parts)
 
 
 def counted(hits: DataFrame) -> DataFrame:
@@ -263,6 +287,4 @@ def counted(hits: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, found: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """``docs`` less the documents that ``found`` calls contaminated."""
     gone = materialise(found.filter("contaminated").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct(), "contaminated")
-    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    return rows.join(side, rows["doc_id"].cast("long").eqNullSafe(side["g_id"]) & (rows["__hash"] == side["g_hash"]), "left_anti").select(*docs.columns)
+    return without(docs, gone, broadcast_rows)

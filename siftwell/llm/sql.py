@@ -23,8 +23,15 @@ win AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_s
 g AS (SELECT doc_id, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win))),
 m AS MATERIALIZED (SELECT doc_id, k, n, item_id FROM g JOIN win USING (n, g)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+q AS MATERIALIZED (SELECT row_number() OVER () AS q, g, terms, len(terms) AS n FROM (SELECT DISTINCT g, list_distinct(string_split(g, ' ')) AS terms FROM win)),
+u AS MATERIALIZED (SELECT q, n, unnest(terms) AS term FROM q),
+x AS MATERIALIZED (SELECT doc_id, p, term FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d)),
+v AS MATERIALIZED (SELECT doc_id, q FROM (SELECT DISTINCT doc_id, term FROM x) JOIN u USING (term) GROUP BY doc_id, q, n HAVING count(*) = n),
+o AS MATERIALIZED (SELECT doc_id, q, n, p, x.term FROM v JOIN u USING (q) JOIN x USING (doc_id, term)),
+c AS (SELECT a.doc_id, a.p AS low, max(b.p) AS high FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.q = b.q AND b.p BETWEEN a.p AND a.p + 13 GROUP BY a.doc_id, a.q, a.p, a.n HAVING count(DISTINCT b.term) = a.n),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_near FROM (SELECT doc_id, unnest(range(low, high + 1)) AS p FROM c) GROUP BY doc_id),
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)"""
 
 OP9 = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
