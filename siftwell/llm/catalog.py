@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from . import sql
 
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizers' package has a file, on the driver and every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op2_gear_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,17 +4,21 @@ Documents are tokenised and cut; pieces shorter than a sequence are dealt evenly
 over partitions, each of which runs best-fit decreasing. A lower bound from
 families of dual-feasible functions certifies a partition whose bins equal it.
 The others put the documents of their bins with gaps together, whole bins going
-to fewer, mixed partitions, and run best-fit decreasing again; a repacking is
-taken only where it needs fewer bins.
-
-Defined results: a null text counts as empty and gives the end token alone;
-null or repeated ``doc_id`` values are packed like any others, row by row;
-other columns are ignored; an empty table gives an empty result.
+to fewer, mixed partitions, and run best-fit decreasing again; where that meets no
+bound, bins are filled one by one with the largest piece left and the others that
+leave the least room (subset sums). A repacking is taken only where it needs fewer bins.
+
+Defined results: a null text counts as empty and gives the end token alone; very
+long texts, and long runs of one character, are cut like any others; null or
+repeated ``doc_id`` values are packed like any others, row by row; pieces of equal
+length go by input order; other columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,10 +42,14 @@ class Tokens:
     """Ids of a byte-level BPE ``tokenizer.json``.
 
     Texts of Latin script go through a faster encoder built from the same
-    file's vocabulary; all others, and texts that spell a special token, go
-    through the file's own tokenizer. Both give the same ids.
+    file's vocabulary; all others, and texts that spell a special token or
+    hold a very long run without or of spaces, on which the faster one's pattern
+    fails, go through the file's own tokenizer. Both give the same ids.
     """
 
+    LONG = 2000
+    SPACES = re.compile(rf"\s{{{LONG}}}")
+
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
@@ -57,7 +65,9 @@ class Tokens:
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if (not text.isascii() and max(text) > "ɏ") or any(s in text for s in self.special):
+        latin = text.isascii() or max(text) <= "ɏ"
+        long_run = len(text) >= self.LONG and (self.SPACES.search(text) or max(map(len, text.split()), default=0) >= self.LONG)
+        if not latin or long_run or any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -136,11 +146,49 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, n
 
 
+def fill_bins(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """As best_fit_decreasing, but each bin takes the longest item left and those that fill the rest best, by subset sums; longer ones are preferred."""
+    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    left: dict[int, list[int]] = {}
+    for i in order[::-1].tolist():
+        left.setdefault(int(lengths[i]), []).append(i)
+    sizes, n = sorted(left, reverse=True), 0
+    while sizes:
+        room = capacity - sizes[0]
+        taken, sums, steps = [sizes[0]], 1, []  # sums: bit k is set if some of the items seen add up to k
+        left_of = lambda s: len(left[s]) - (s == sizes[0])
+        for s in sizes:
+            most, times = min(left_of(s), room // s), 1
+            while most > 0:
+                k = min(times, most)
+                steps.append((s, k, sums))
+                sums |= (sums << k * s) & ((1 << room + 1) - 1)
+                most, times = most - k, 2 * times
+            if sums >> room:
+                break
+        at = sums.bit_length() - 1
+        for s, k, before in reversed(steps):
+            if not before >> at & 1:
+                taken += [s] * k
+                at -= k * s
+        place = 0
+        for s in taken:
+            i = left[s].pop()
+            bins[i], offsets[i] = n, place
+            place += s
+        n += 1
+        sizes = [s for s in sizes if left[s]] if any(not left[s] for s in taken) else sizes
+    return bins, offsets, n
+
+
 def _pack(pdf: pd.DataFrame, capacity: int, round_no: int) -> pd.DataFrame:
     """Pack a partition; from the second round on, keep the former bins unless fewer suffice."""
     lengths = pdf["length"].to_numpy()
     bound = lower_bound(lengths, capacity)
     bins, offsets, n = best_fit_decreasing(lengths, capacity)
+    if round_no and n > bound and (other := fill_bins(lengths, capacity))[2] < n:
+        bins, offsets, n = other
     if round_no and (before := pdf["sequence_id"].nunique()) <= n:
         out, n = pdf.copy(), before
     else:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from siftwell.llm import catalog, jaccard, langid, linededup, mtree, packing, positional, quality, secrets, substrings, warc
 
-TOKENIZER = f"{catalog.TOKENIZERS}/byte_bpe_50k.json"
+TOKENIZER = catalog.tokenizer_path()
 DOCS = "doc_id long, text string, lang string, length int, rank int, part string"
 
 
@@ -86,6 +86,34 @@ def test_fast_and_slow_encodings_agree():
         assert t(text) == t.slow.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "a", "-", "7", " \t", "é", "A'S"])
+def test_long_runs_are_encoded_as_by_the_file(run):
+    t = packing.Tokens(TOKENIZER)
+    for n in (1500, 300_000):
+        text = "Some words " + run * n + " and IT'S what they'LL say"
+        assert t(text) == t.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_two_million_spaces_are_packed(spark):
+    df = spark.createDataFrame([(1, " " * 2_000_000), (2, "\n" * 2_000_000 + "end")], "doc_id long, text string")
+    got = packing.pack(df, TOKENIZER).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == reference_pieces([(r.doc_id, r.text) for r in df.collect()], 1024)
+
+
+def test_bins_filled_by_subset_sums():
+    r, better = np.random.default_rng(2), 0
+    for _ in range(40):
+        sizes = r.integers(5, 35, r.integers(1, 200))
+        bins, offsets, n = packing.fill_bins(sizes, 60)
+        assert sorted(set(bins.tolist())) == list(range(n))
+        for b in range(n):
+            own = sorted(zip(offsets[bins == b].tolist(), sizes[bins == b].tolist()))
+            assert [o for o, _ in own] == [sum(x for _, x in own[:k]) for k in range(len(own))] and sum(x for _, x in own) <= 60
+        assert n >= packing.lower_bound(sizes, 60)
+        better += n < packing.best_fit_decreasing(sizes, 60)[2]
+    assert better > 0
+
+
 def test_lower_bounds_never_exceed_the_optimum():
     r = random.Random(5)
     for _ in range(60):
