@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.catalog import TOKENIZERS, table
+from siftwell.llm.catalog import table, tokenizer_path
 from siftwell.llm.common import materialise
 from siftwell.llm.jaccard import jaccard_components, one_of_each
 from siftwell.llm.langid import identify, learn_dictionaries
@@ -41,7 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences."""
-    return pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return pack(docs, tokenizer_path())
 
 
 STAGES = [
