@@ -397,15 +397,16 @@ def test_secrets_base_spans(spark, docs):
 
 def plain_randomness(run):
     """The battery in plain Python."""
-    from math import erfc, exp, sqrt
+    from math import erfc, inf, sqrt
 
     plain = run.replace("-", "+").replace("_", "/")
     i = next((i for i, e in enumerate(secrets.ENCODINGS[:-1]) if re.search(e[1], plain)), len(secrets.ENCODINGS) - 1)
-    _, _, alphabet, short = secrets.ENCODINGS[i]
+    _, _, alphabet, q = secrets.ENCODINGS[i]
     text = plain if i == len(secrets.ENCODINGS) - 1 else run
     n, k = len(text), len(alphabet)
     tail = lambda z: erfc(z / sqrt(2)) / 2
-    chi = k / n * sum(c * c for c in Counter(text).values()) - n
+    squares = sum(c * c for c in Counter(text).values())
+    chi = k / n * squares - n
     ps = [tail((chi - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n))]
     x = [alphabet.index(c) + 1 for c in text]
     above = [v * 2 > k for v in x]
@@ -413,11 +414,87 @@ def plain_randomness(run):
     mean = 2 * n1 * n2 / n + 1
     spread = (mean - 1) * (mean - 2) / (n - 1)
     runs = 1 + sum(a != b for a, b in zip(above, above[1:]))
-    ps.append(2 * tail(abs(runs - mean) / sqrt(spread)) if spread > 0 else 0)
+    z_runs = abs(runs - mean) / sqrt(spread) if spread > 0 else inf
     m = sum(x) / n
     var = sum((v - m) ** 2 for v in x)
-    ps.append(2 * tail(abs(sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / var * sqrt(n))) if var else 0)
-    return min(1.0, 3 * min(ps)), exp(-short * n)
+    z_serial = abs(sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / var * sqrt(n)) if var else inf
+    pairs = n * (n - 1) / 2
+    uneven = ((squares - n) / 2 - pairs * q) / sqrt(pairs * q * (1 - q) + 0.28 * q * q * n**3)
+    return min(1.0, 3 * min(*ps, 2 * tail(z_runs), 2 * tail(z_serial))), max(tail(-uneven), *(tail(0.75 * sqrt(n) - z) for z in (z_runs, z_serial)))
+
+
+def plain_random(text):
+    """The whole choice in plain Python."""
+    runs = [(m.start(), m.end(), *plain_randomness(m.group())) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text)]
+    passed = sorted((chance, a, b) for a, b, p, chance in runs if p >= 0.01)
+    last = max((i for i, (chance, _, _) in enumerate(passed, 1) if chance <= 0.05 * i / len(runs)), default=0)
+    return [(a, b) for _, a, b in passed[:last]]
+
+
+ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower36": "abcdefghijklmnopqrstuvwxyz0123456789"}
+ALPHABETS |= {"base62": ALPHABETS["lower36"] + ALPHABETS["lower"].upper(), "base64": ALPHABETS["lower36"] + ALPHABETS["lower"].upper() + "+/"}
+
+
+def ordinary(r):
+    """A long run of key characters that is no secret: a path, a compound or camel-case name, a number, a rule of signs, ids that count up."""
+    words = ["system", "under", "there", "nation", "value", "report", "handler", "request", "please", "message", "account", "balance", "customer", "order", "window"]
+    kind = r.randrange(6)
+    if kind == 0:
+        return "/".join(r.choice(words) for _ in range(5))
+    if kind == 1:
+        return "_".join(r.choice(words) for _ in range(5))
+    if kind == 2:
+        return "".join(r.choice(words).title() for _ in range(5))
+    if kind == 3:
+        return "2024" + "0101" * 4 + f"{r.randrange(10**6):06}"
+    if kind == 4:
+        return r.choice("-_/+") * r.randrange(20, 60)
+    return "-".join(f"item{i:03}" for i in range(r.randrange(3, 6)))
+
+
+def test_random_spans_are_chosen_as_in_plain_python(spark):
+    r = random.Random(11)
+    texts = []
+    for i in range(150):
+        parts = [ordinary(r) if r.random() < 0.5 else "".join(r.choice(ALPHABETS[r.choice(sorted(ALPHABETS))]) for _ in range(r.randrange(18, 70))) if r.random() < 0.3 else prose(i, 4) for _ in range(r.randrange(1, 9))]
+        secret = r.choice(sorted(ALPHABETS))
+        parts += ["".join(r.choice(ALPHABETS[secret]) for _ in range(r.randrange(16, 70))) for _ in range(r.randrange(3))]
+        texts.append(" ".join(parts))
+    texts += ["token=" + "".join(r.choice(ALPHABETS["base64"]) for _ in range(48)), "deadbeef" * 300, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = 0
+    for row in secrets.scan(df, ["doc_id"]).collect():
+        got = [(s.start, s.end) for s in row.all_spans if s.kind == "random"]
+        assert got == sorted(plain_random(texts[row.doc_id])) and row.n_random == len(got)
+        assert [s for s in row.all_spans if s.kind != "random"] == row.base_spans
+        n += len(got)
+    assert n > 60 and any(s.kind == "random" for s in secrets.scan(df.filter("doc_id = 150"), ["doc_id"]).first().all_spans)
+
+
+def test_planted_secrets_without_keywords(spark):
+    """Recall by length over all encodings, and how many ordinary strings are found; the README states these figures."""
+    r = random.Random(5)
+    rows, kind = [], {}
+    for n in (20, 24, 32, 40, 64):
+        for name, alphabet in ALPHABETS.items():
+            for _ in range(40):
+                kind[len(rows)] = (n, name)
+                rows.append((len(rows), prose(len(rows), 8) + " " + "".join(r.choice(alphabet) for _ in range(n)) + " " + prose(len(rows) + 1, 8)))
+    planted = len(rows)
+    rows += [(planted + i, prose(i, 8) + " " + ordinary(r) + " end") for i in range(1000)]
+    got = {x.doc_id: x.n_random for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    recall = {n: sum(got[i] for i, k in kind.items() if k[0] == n) / sum(k[0] == n for k in kind.values()) for n in (20, 24, 32, 40, 64)}
+    base64 = {n: sum(got[i] for i, k in kind.items() if k == (n, "base64")) / 40 for n in recall}
+    false = sum(got[i] for i in range(planted, len(rows)))
+    print("recall", recall, "base64", base64, "false", false)
+    assert recall[64] >= 0.9 and base64[32] >= 0.9 and recall[20] < recall[32] < recall[64] and false <= 20
+
+
+def test_spans_of_very_many_matches(spark):
+    """Twice the block and more matches in one text, among them none at all."""
+    text = " ".join(f"x{i:x}" * 3 + " deadbeefdeadbeef0" + str(i % 10) for i in range(3000))
+    row = secrets.scan(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), ["doc_id"]).filter("doc_id = 1").first()
+    assert [(s.start, s.end) for s in row.base_spans] == [(a, b) for a, _, b, _ in reference_spans(text)] and row.n_hex == 3000
 
 
 def test_randomness_battery(spark):
@@ -426,8 +503,8 @@ def test_randomness_battery(spark):
     runs = ["".join(r.choice(b64) for _ in range(40)) for _ in range(20)] + ["".join(r.choice(b64[26:52]) for _ in range(30)) for _ in range(5)] + ["thereandthereagainthereand", "a" * 25, "ABAB" * 8, "0123456789" * 3, "abc-def_ghi" * 3, "aB3" * 9]
     got = spark.createDataFrame([(x,) for x in runs], "run string").select("run", secrets.randomness(F.col("run")).alias("t")).collect()
     for row in got:
-        p, luck = plain_randomness(row.run)
-        assert abs(row.t.p - p) < 1e-6 and abs(row.t.luck - luck) < 1e-9
+        p, chance = plain_randomness(row.run)
+        assert abs(row.t.p - p) < 1e-6 and abs(row.t.chance - chance) < 1e-6
     texts = spark.createDataFrame([(1, "key " + runs[0] + " and thereandthereagainthereand"), (2, "plain words only")], "doc_id long, text string")
     found = {x.doc_id: x.n_random for x in secrets.scan(texts, ["doc_id"]).collect()}
     assert found == {1: 1, 2: 0}
