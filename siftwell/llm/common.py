@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,9 @@ _made: dict[str, SparkSession] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests
-    in local mode) a temporary folder of this machine serves, which is then
-    shared by definition.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset and the
+    master is local (tests), a temporary folder of this machine serves, which is
+    then shared by definition; on a cluster there is none.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if found:
@@ -27,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='siftwell-')}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -40,25 +43,35 @@ def workspace(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a workspace whose table nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _made.pop(path, None)
+
+
 def _clean() -> None:
     for path, spark in list(_made.items()):
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
         except Exception:  # the session may be gone already; the folder is scratch space
             pass
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder and read it back; also the path.
 
     This cuts the lineage on storage that outlives any executor, and keeps
     costly Python work from running twice.
     """
     path = workspace(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``; the table stays until the driver ends."""
+    return written(df, name)[0]
 
 
 def keyed(docs: DataFrame) -> DataFrame:

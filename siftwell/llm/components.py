@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import remove, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,15 +23,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """member, root for each vertex of ``edges(a, b)`` that isn't its component's least; root is that least vertex.
 
-    Every step is written to the shared folder; sums and counts of the edges
-    tell when nothing changes any more. Vertices with very many edges meet
+    Every step is written to the shared folder, and the one before it removed; sums and
+    counts of the edges tell when nothing changes any more. Vertices with very many edges meet
     partial aggregations and joins that Spark splits.
     """
-    now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
+    now, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return now.select(F.col("a").alias("member"), F.col("b").alias("root"))
-        before = state
-        now = materialise(_small_star(_large_star(now)), name)
+        before, old = state, path
+        now, path = written(_small_star(_large_star(now)), name)
+        remove(now.sparkSession, old)

@@ -7,9 +7,10 @@ small, the row is marked as rejected.
 
 Defined results: a null text, and one without any letter, gives ``und`` with
 score 0, rejected; with no labelled text to learn from, every row does. Ties go
-to the alphabetically first language. Rows are scored one by one, so repeated
-ids and repeated rows are no matter; other columns of the input are ignored,
-whatever their names, unless named in ``keep``.
+to the alphabetically first language. Very long texts are scored whole, block by
+block. Rows are scored one by one, so repeated ids and repeated rows are no matter;
+other columns of the input are ignored, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -36,16 +37,16 @@ def plain(text: str) -> bytes:
 def learn_dictionaries(docs: DataFrame, docs_per_language: int = 400, longest: int = 20_000, dictionary_bytes: int = 1 << 17) -> dict[str, bytes]:
     """Raw-content dictionaries from ``docs(text, lang)``.
 
-    The sample is bounded: of each language the ``docs_per_language`` texts of at
-    most ``longest`` characters that come first by a hash of the text, cut evenly
+    The sample is bounded: of each language the ``docs_per_language`` texts that come
+    first by a hash of the text, of each the first ``longest`` characters, cut evenly
     to ``dictionary_bytes``. Rows with a null language or text teach nothing.
     """
-    usable = docs.select("text", "lang").filter("lang is not null and text is not null and length(text) between 1 and %d" % longest)
+    usable = docs.filter("lang is not null and length(text) > 0").select(F.xxhash64("text").alias("h"), F.substring("text", 1, longest).alias("text"), "lang")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * docs_per_language / n))])
-    first = usable.withColumn("h", F.xxhash64("text")).filter((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < share[F.col("lang")])
+    first = usable.filter((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < share[F.col("lang")])
     ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= docs_per_language)
     texts: dict[str, list[bytes]] = {}
     for r in ranked.orderBy("lang", "r").collect():
@@ -89,9 +90,13 @@ class Compressors:
         return self.langs[order[0]], min(1.0, 5 * lead), lead < margin
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], margin: float = 0.002) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred, score and rejected, from the text alone."""
-    inputs = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str] | None, margin: float = 0.002) -> DataFrame:
+    """``keep`` columns of ``docs`` with lang_pred, score and rejected, from the text alone; a kept column of such a name gives way.
+
+    Without ``keep`` all columns come as one struct, ``row``, whatever their names.
+    """
+    kept = [k for k in keep if k.lower() not in ("lang_pred", "score", "rejected")] if keep is not None else [F.struct("*").alias("row")]
+    inputs = docs.select(*kept, F.col("text").cast("string").alias("__text"))
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     schema = T.StructType([*inputs.schema.fields[:-1], *added])
 

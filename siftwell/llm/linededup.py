@@ -13,8 +13,10 @@ first of its places, as a unit's first occurrence comes before those it removes.
 
 Defined results: a null text stays null and an empty one empty; chunks of a
 single line always stay; rows that repeat both doc_id and text are treated
-alike, so that what one keeps the other keeps; null ids come after all others;
-further columns pass through, whatever their names.
+alike, so that what one keeps the other keeps; null ids come after all others; very
+long texts are cut like any others; further columns pass through, whatever their
+names, but for columns named as the two counts, which give way; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -86,9 +88,10 @@ def dedup_lines(docs: DataFrame, every: int = 3, whole: bool = False) -> DataFra
     ``every`` is the mean length of a chunk in lines; with ``whole`` all lines of each repeat of several lines are cut.
     """
     gone = removals(docs.select("doc_id", "text"), every, whole)
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__hash"] == gone["__hash"]), "left").drop("__id", "__hash")
-    lines = F.split("text", LINE, -1)
+    text, ours = F.col("row")["text"], ("__n_lines", "__n_removed")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ours]).alias("row"), "doc_id", F.xxhash64("text").alias("k_hash"))
+    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (rows["k_hash"] == gone["__hash"]), "left").select("row", "__gone")
+    lines, none = F.split(text, LINE, -1), F.col("__gone").isNull()
     if whole:
         chunks = F.transform(F.col("__lines"), lambda _, i: F.struct(i.alias("first"), i.alias("last")))
         kept = F.filter(F.col("__chunks"), lambda c, i: ~F.array_contains("__gone", i) & ~F.array_contains("__gone", i - 1))
@@ -96,9 +99,9 @@ def dedup_lines(docs: DataFrame, every: int = 3, whole: bool = False) -> DataFra
         chunks = chunk_bounds(F.col("__lines"), every)
         kept = F.filter(F.col("__chunks"), lambda c, k: ~F.array_contains("__gone", k))
     n_kept = F.aggregate("__kept", F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1)
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda c: _chunk_text(F.col("__lines"), c)), LINE))
-    none = F.col("__gone").isNull()
-    out = joined.withColumn("__n_lines", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit(LINE))) + 1))
+    left = F.when(none, text).otherwise(F.array_join(F.transform("__kept", lambda c: _chunk_text(F.col("__lines"), c)), LINE))
+    out = joined.withColumn("__n_lines", F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(LINE))) + 1))
     out = out.withColumn("__lines", F.when(~none, lines)).withColumn("__chunks", F.when(~none, chunks)).withColumn("__kept", F.when(~none, kept))
-    out = out.withColumn("__n_removed", F.when(none, 0).otherwise(F.size("__lines") - n_kept)).withColumn("text", text)
-    return out.select(*docs.columns, "__n_lines", "__n_removed")
+    out = out.withColumn("__n_removed", F.when(none, 0).otherwise(F.size("__lines") - n_kept)).withColumn("__left", left)
+    columns = [F.col("__left").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ours]
+    return out.select(*columns, *ours)

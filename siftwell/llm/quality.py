@@ -7,8 +7,10 @@ scores are mapped to 0..1 so that it lies at ``cut``.
 
 Defined results: a null text counts as empty, and an empty text is scored like
 any other; rows are scored one by one, so repeated rows and ids are no matter;
-labels that are null or other than 0 and 1 teach nothing; if either label is
-missing, every score is the cut itself. Other columns are ignored.
+labels that are null or other than 0 and 1 teach nothing, and neither do null ids; an
+id that several documents or labels share counts once, with its smallest text and label;
+if either label is missing, every score is the cut itself. Very long texts are scored
+whole. Other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,7 +106,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     usable = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
     n = usable.count()
     part = usable.filter(F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53)) < min(1.0, max_rows / max(1, n)))
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(part), "id").select("y", "text")
+    # broadcast: about max_rows pairs of numbers; an id counts once, so that the driver gets no more rows than that
+    once = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(part), "id").groupBy("id").agg(F.min("y").alias("y"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = once.select("y", "text")
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +122,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 
 def score(docs: DataFrame, ranking: Ranking, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with ``score``, from the text alone."""
-    inputs = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    """``keep`` columns of ``docs`` with ``score``, from the text alone; a kept column of that name gives way."""
+    inputs = docs.select(*[k for k in keep if k.lower() != "score"], F.col("text").cast("string").alias("__text"))
     schema = T.StructType([*inputs.schema.fields[:-1], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

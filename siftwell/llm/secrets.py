@@ -19,7 +19,8 @@ Defined results: a null text counts as empty and has no spans; rows are scanned
 one by one, so repeated rows and ids are no matter; very long texts are scanned
 whole, their spans added up in blocks; random spans may overlap base spans, which
 all stay; spans that begin together go by kind in the order listed; other columns are
-ignored, whatever their names, but for those in ``keep``; an empty table gives an empty result.
+ignored, whatever their names, and a kept one named as a result gives way; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -174,7 +175,8 @@ def scan(docs: DataFrame, keep: list[str], alpha: float = 0.01, fdr: float = 0.0
     strings among the further spans.
     """
     # the kept columns as one, so that no name clashes
-    out = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    ours = ("n_assign", "n_access", "n_hex", "n_random", "base_spans", "all_spans")
+    out = docs.select(F.struct(*[k for k in keep if k.lower() not in ours]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     text = F.col("__text")
     for order, (kind, pattern, group, least) in enumerate(BASE):
         long_enough = (lambda p, g, n: lambda s: F.length(F.regexp_extract(s["found"], p, g)) >= n)(pattern, group, least)

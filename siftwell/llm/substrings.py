@@ -9,8 +9,9 @@ too, parted where their first holder changes, are the repeated passages. The fir
 
 Defined results: null and empty texts have no chunks; a passage repeated within
 one document alone is none of this operator's; rows that repeat both doc_id and
-text count as one document; null ids come after all others; other columns are
-ignored; offsets are in bytes of UTF-8.
+text count as one document; null ids come after all others; very long texts are
+chunked whole; other columns are ignored, whatever their names; an empty table gives
+an empty result; offsets are in bytes of UTF-8.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keyed
+
 _PAD = 128
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 CHUNKS = "doc_id long, text_hash long, seq int, start int, end int, d1 long, d2 long"
@@ -136,8 +139,7 @@ def repeated_passages(docs: DataFrame, least_chunks: int = 2, least_bytes: int =
 def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` with the passages cut of which every chunk is kept elsewhere; byte offsets never part a character twice."""
     cuts = passages.filter("n_repeated = n_chunks").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    joined = keyed.join(cuts, keyed["doc_id"].cast("long").eqNullSafe(cuts["__id"]) & (keyed["__h"] == cuts["__hash"]), "left")
+    joined = keyed(docs).join(cuts, F.col("k_id").eqNullSafe(F.col("__id")) & (F.col("k_hash") == F.col("__hash")), "left")
 
     @F.pandas_udf("string")
     def cut(text, cuts):
@@ -155,4 +157,5 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, c) for t, c in zip(text, cuts)])
 
-    return joined.withColumn("text", cut("text", "__cuts")).select(*docs.columns)
+    left = joined.withColumn("__left", cut(F.col("row")["text"], "__cuts"))
+    return left.select(*[F.col("__left").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -8,8 +8,9 @@ revisit records that refer to it.
 
 Defined results: a null html counts as an empty payload; a null url is archived
 as an empty target; null page ids come after all others; of rows that repeat
-both page id and payload one is the response and the others revisit it; other
-columns are ignored; an empty table gives no archives and no rows.
+both page id and payload one is the response and the others revisit it; very long
+payloads are archived whole; other columns are ignored, whatever their names; an empty
+table gives no archives and no rows. The input is read twice and must be the same each time.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ def with_roles(pages: DataFrame, least: int = 100) -> DataFrame:
     share is counted before it moves; the payloads move only if Spark finds the
     repeated ones too many to broadcast.
     """
+    # "row" serves as the key of small payloads, so that they meet nowhere and crowd no task
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).select(
         "*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("row")
     )
@@ -50,7 +52,7 @@ def with_roles(pages: DataFrame, least: int = 100) -> DataFrame:
     # null ids last; "row" parts rows that repeat an id
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     repeated = large.groupBy(F.unhex("digest").alias("key")).agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))
-    joined = rows.withColumn("key", F.when(F.col("payload_bytes") >= least, F.unhex("digest"))).join(repeated, "key", "left")
+    joined = rows.withColumn("key", F.when(F.col("payload_bytes") >= least, F.unhex("digest")).otherwise(F.col("row").cast("string").cast("binary"))).join(repeated, "key", "left")
     revisit = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
     return joined.select("page_id", "url", "payload", "digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
@@ -74,13 +76,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
 
 
 def build_dictionary(records: list[bytes], size: int = 1 << 16) -> bytes:
-    """A trained dictionary, or none (empty bytes) where the records are too few to train one."""
-    if sum(map(len, records)) < 8 * size or len(records) < 16:
-        return b""
-    try:
-        return zstd.train_dictionary(size, [r[:65536] for r in records], level=3).as_bytes()
-    except zstd.ZstdError:
-        return b""
+    """A dictionary trained on the records, of each the first 65,536 bytes; where they are too few to train one, the ends of those bytes as raw content."""
+    samples = [r[:65536] for r in records]
+    if sum(map(len, samples)) >= 8 * size and len(samples) >= 16:
+        try:
+            return zstd.train_dictionary(size, samples, level=3).as_bytes()
+        except zstd.ZstdError:  # samples of which nothing can be trained
+            pass
+    share = max(1, size // max(1, len(samples)))
+    # raw content begins with no dictionary's magic number, as every record begins with "WARC"
+    return b"".join(r[:share] for r in samples)[:size]
 
 
 class Archive:
@@ -111,12 +116,9 @@ class Archive:
     def _start(self) -> None:
         self.out = self.fs.open_output_stream(self.path, compression=None)
         raw = build_dictionary(self.waiting)
-        if raw:
-            d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_FULLDICT)
-            d.precompute_compress(level=self.level)
-            self.zip = zstd.ZstdCompressor(level=self.level, dict_data=d, write_checksum=True, write_content_size=True)
-        else:
-            self.zip = zstd.ZstdCompressor(level=self.level, write_checksum=True, write_content_size=True)
+        d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_AUTO)
+        d.precompute_compress(level=self.level)
+        self.zip = zstd.ZstdCompressor(level=self.level, dict_data=d, write_checksum=True, write_content_size=True)
         self._put(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
         for rec in self.waiting:
             self._put(self.zip.compress(rec))
@@ -165,8 +167,7 @@ def frames(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
     if magic != SKIPPABLE:
         raise ValueError("an archive must begin with the frame of its dictionary")
     raw = stream.read(size)
-    d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_FULLDICT) if raw else None
-    unzip = zstd.ZstdDecompressor(dict_data=d) if d else zstd.ZstdDecompressor()
+    unzip = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_AUTO))
     at, held = 8 + size, b""
     while True:
         got = held or stream.read(chunk)
