@@ -2,26 +2,61 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, SparkSession] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset, as in local tests."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset and the master is local, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not own.isDefined():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='siftwell-core-')}")
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there, whatever executors are lost later."""
-    path = f"{shared_folder(df.sparkSession)}/core-{name}-{uuid.uuid4().hex}"
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/core-{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made[path] = spark
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a workspace that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _made.pop(path, None)
+
+
+def _clean() -> None:
+    for path, spark in list(_made.items()):
+        try:
+            remove(spark, path)
+        except Exception:  # the session may be gone already; the folder is scratch space
+            pass
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and the path: its lineage ends there, whatever executors are lost later."""
+    path = workspace(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``; the table stays until the driver ends."""
+    return written(df, name)[0]

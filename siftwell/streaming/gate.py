@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_folder
+from ..storage import workspace
 
 
 def gate_counts(events: DataFrame, limit: float = 60.0, late: str = "2 days", window: str = "1 day") -> DataFrame:
@@ -20,7 +18,7 @@ def run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs the events table through the stream to its end and returns the counts."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = workspace(spark, "stream")
     # every micro-batch replaces the counts it changes; the last batch's table is complete
     query = gate_counts(stream).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}/state")
     query.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/counts")).start().awaitTermination()
