@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +89,25 @@ def without(docs: DataFrame, gone: DataFrame, broadcast_rows: int) -> DataFrame:
     return keyed(docs).join(side, F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_hash") == F.col("g_hash")), "left_anti").select("row.*")
 
 
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library, whose allocator has no such call
+        return None
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``; each task gives what it has freed back to the system, as Python workers live on and would keep the largest task's memory."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if (libc := _libc()) is not None and hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 class WordHasher:
     """64-bit hashes of all words of many texts at once.
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, keyed, materialise, mixed, without
+from .common import WordHasher, keyed, map_arrow, materialise, mixed, without
 from .components import components
 
 PROFILE = "doc_id long, text_hash long, n_shingles long, cls long, check long, sketch binary, hot array<long>, hot_n array<int>"
@@ -255,7 +255,7 @@ def profiles(docs: DataFrame, width: int, least: int, seed: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PROFILE.split(", ")])
 
-    return _texts(docs).mapInArrow(run, PROFILE)
+    return map_arrow(_texts(docs), run, PROFILE)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def index(docs: DataFrame, width: int, t: Threshold, hot: Hot, piece: int, seed:
                 cls = class_of(x, seed)
                 if not len(x) or cls in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 250_000:
                     seen.clear()
                 seen.add(cls)
                 found.append((*entries_of(x, t, hot, piece), cls, len(x)))
@@ -300,7 +300,7 @@ def index(docs: DataFrame, width: int, t: Threshold, hot: Hot, piece: int, seed:
         if found:
             yield rows(found)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, ENTRIES)
+    return map_arrow(docs.select(F.col("text").cast("string")), run, ENTRIES)
 
 
 def meet(entries: DataFrame, t: Threshold) -> DataFrame:
@@ -337,7 +337,7 @@ def meet(entries: DataFrame, t: Threshold) -> DataFrame:
         if len(kept[0]):
             yield rows(*kept)
 
-    return parted.mapInArrow(run, FOUND)
+    return map_arrow(parted, run, FOUND)
 
 
 class Forest:
@@ -435,7 +435,7 @@ def families(found: DataFrame, sketches: DataFrame, t: Threshold, block: int) ->
             ends = np.unique(ends, axis=0) if len(ends) else ends
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-    near = blocked(rows, ["key", "n"], F.ceil(F.col("n") / block).cast("int"), ["cls", "size", "sketch"]).mapInArrow(run, "a long, b long")
+    near = map_arrow(blocked(rows, ["key", "n"], F.ceil(F.col("n") / block).cast("int"), ["cls", "size", "sketch"]), run, "a long, b long")
     return components(near, "families")
 
 
@@ -510,7 +510,7 @@ def links_of(family: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 found = [x.tobytes() for x in shingles.sets(some.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(found, pa.binary())], names=["family", "family_blocks", "cls", "elements"])
 
-    rows = held.mapInArrow(sets, "family long, family_blocks int, cls long, elements binary")
+    rows = map_arrow(held, sets, "family long, family_blocks int, cls long, elements binary")
     keys = ["family", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -533,7 +533,7 @@ def links_of(family: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             columns = [pa.array([*v, *[None] * k] if v is a or v is b else [*[None] * k, *v], pa.int64()) for v, k in ((a, len(cls)), (b, len(cls)), (cls, len(a)), (n, len(a)))]
             yield pa.RecordBatch.from_arrays(columns, names=[y.split()[0] for y in LINKS.split(", ")])
 
-    return materialise(blocked(rows, ["family"], F.col("family_blocks"), ["cls", "elements"]).mapInArrow(run, LINKS), "links")
+    return materialise(map_arrow(blocked(rows, ["family"], F.col("family_blocks"), ["cls", "elements"]), run, LINKS), "links")
 
 
 def numbered(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFrame, int]:

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -107,7 +109,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str] |
             columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[*b.schema.names[:-1], "lang_pred", "score", "rejected"])
 
-    return inputs.mapInArrow(run, schema)
+    return map_arrow(inputs, run, schema)
 
 
 def fold(key: Column, folds: int) -> Column:

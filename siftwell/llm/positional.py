@@ -29,7 +29,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, materialise, without
+from .common import WordHasher, map_arrow, materialise, without
 
 INDEX = "segment long, doc_ids array<long>, text_hashes array<long>, starts binary, terms binary, ends binary, positions binary"
 HITS = "segment long, ordinal int, doc_id long, text_hash long, n_words long, hit binary, near binary, items array<string>"
@@ -98,7 +98,7 @@ def build_index(docs: DataFrame, segment_words: int = 250_000) -> DataFrame:
         if ids:
             yield segment()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text"), F.col("text").cast("string").alias("text")).mapInArrow(run, INDEX)
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text"), F.col("text").cast("string").alias("text")), run, INDEX)
     return materialise(rows.withColumn("segment", F.monotonically_increasing_id()), "index")
 
 
@@ -226,7 +226,7 @@ def search(index: DataFrame, block: list[tuple[str, str | None]], width: int, re
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in HITS.split(", ")])
 
-    return index.mapInArrow(run, HITS)
+    return map_arrow(index, run, HITS)
 
 
 def blocks_of(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -281,7 +281,7 @@ def counted(hits: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "item_ids"])
 
-    return hits.mapInArrow(run, "doc_id long, text_hash long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long, item_ids array<string>")
+    return map_arrow(hits, run, "doc_id long, text_hash long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long, item_ids array<string>")
 
 
 def without_contaminated(docs: DataFrame, found: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:

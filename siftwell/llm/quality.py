@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 FEATURES = [
     "log_chars", "log_words", "mean_word", "upper", "digit", "symbol", "distinct_words", "same_as_before",
     "top_word", "repeated_lines", "short_words", "words_with_symbol", "compression", "few_words",
@@ -116,7 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t.as_py(), zip_) for t in b.column(1)], pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = rows.mapInArrow(run, schema).orderBy("y", "x").toPandas()
+    got = map_arrow(rows, run, schema).orderBy("y", "x").toPandas()
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return fit(x, got["y"].to_numpy(), cut)
 
@@ -132,4 +134,4 @@ def score(docs: DataFrame, ranking: Ranking, keep: list[str]) -> DataFrame:
             x = np.array([features(t.as_py(), zip_) for t in b.column(b.num_columns - 1)], dtype=float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ranking.scores(x), pa.float64())], names=[*b.schema.names[:-1], "score"])
 
-    return inputs.mapInArrow(run, schema)
+    return map_arrow(inputs, run, schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, map_arrow
 
 _PAD = 128
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -107,7 +107,7 @@ def chunk(docs: DataFrame, reach: int = 24, longest: int = 4096, batch_bytes: in
             yield rows(some)
 
     inputs = docs.filter("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return inputs.mapInArrow(run, CHUNKS)
+    return map_arrow(inputs, run, CHUNKS)
 
 
 def repeated_passages(docs: DataFrame, least_chunks: int = 2, least_bytes: int = 100, reach: int = 24, longest: int = 4096) -> DataFrame:

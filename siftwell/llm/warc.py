@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, workspace
+from .common import map_arrow, materialise, workspace
 
 #: Fixed values of the WARC/1.1 and Zstandard formats.
 SKIPPABLE = 0x184D2A5D
@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, level: int =
     where = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(pages.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
     rows = with_roles(pages, least).select("page_id", "url", "payload", "digest", "record_type", "refers_to")
-    return materialise(rows.mapInArrow(run, FILES), "archives")
+    return materialise(map_arrow(rows, run, FILES), "archives")
 
 
 def frames(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
@@ -225,7 +225,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
 
     spark: SparkSession = files.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return files.select("path").repartition(tasks, "path").mapInArrow(run, RECORDS)
+    return map_arrow(files.select("path").repartition(tasks, "path"), run, RECORDS)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
