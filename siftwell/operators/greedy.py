@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 
 RESULT = "batch long, id long, rank int, value double"
 
@@ -247,3 +247,84 @@ def acquisition_rounds(clips: DataFrame, rounds: int, per_round: int, order) ->
         picked = materialise(ranks.filter(F.col("rank") <= per_round).select("batch", F.lit(n).alias("round"), "id"), "round")
         chosen = picked if chosen is None else chosen.unionByName(picked)
     return chosen
+
+
+def prefix_then_fill(rows: DataFrame, top_k: int, parent: str, child: str, parent_cap: int, fill_top_k: int, child_cap: int, weight: float = 0.25) -> DataFrame:
+    """batch, id, rank, stage: the first ``top_k`` of a selection capped by parent clusters, then the rest in the order of one capped by child clusters."""
+    from pyspark.sql import functions as F
+
+    from .ranking import ranked
+
+    capped = lambda cluster, k, cap: cluster_capped(rows.withColumn("cluster", F.col(cluster)), [(k, cap)], weight, 0.0)
+    first = capped(parent, top_k, parent_cap).filter(F.col("rank") <= top_k).select("batch", "id", F.col("rank").alias("__at"), F.lit("prefix").alias("stage"))
+    fill = capped(child, fill_top_k, child_cap).select("batch", "id", F.col("rank").alias("__at")).join(first.select("batch", "id"), ["batch", "id"], "left_anti").withColumn("stage", F.lit("fill"))
+    return ranked(first.unionByName(fill), F.desc("stage"), F.asc("__at"), by=["batch"]).select("batch", "id", "rank", "stage")
+
+
+def learned_k_center(rows: DataFrame, k: int, score: str, spread: float = 1.5) -> DataFrame:
+    """batch, id, rank: farthest first among the ceil(``spread`` * k) best eligible rows by a learned score, then the other eligible ones, then the rest, by score.
+
+    Equal distances go to the higher score, equal scores to the higher quality, then to the smaller id.
+    """
+    from math import ceil
+
+    from pyspark.sql import functions as F
+
+    from .ranking import ranked
+
+    placed = ranked(rows, F.desc("eligible"), F.desc(score), F.desc("quality"), F.asc("id"), by=["batch"], name="__place")
+    pool = F.col("eligible") & (F.col("__place") <= max(k, ceil(max(1.0, spread) * k)))
+    picked = k_center(placed.filter(pool).withColumn("quality", F.col(score))).select("batch", "id", F.col("rank").alias("__at"))
+    both = placed.select("batch", "id", "__place").join(picked, ["batch", "id"], "left")
+    return ranked(both, F.asc_nulls_last("__at"), F.asc("__place"), by=["batch"]).select("batch", "id", "rank")
+
+
+def target_families(rows: DataFrame, known: DataFrame, wanted: DataFrame, budget: int) -> DataFrame:
+    """batch, id, rank, value: a greedy cover of the targets' labels, for evaluation only; value is the share of them known after the pick.
+
+    ``rows`` has batch, id, quality, label; ``known`` and ``wanted`` are the labels (batch, label) of support and
+    targets. A pick adds one label at most and all weigh alike, so the greedy order is one of windows: the best row of
+    each label that is new comes first, by quality, then all others; equal ones by the larger id. Rows beyond the
+    budget follow in id order with value 0.
+    """
+    from pyspark.sql import functions as F
+
+    from .ranking import ranked
+
+    new = wanted.distinct().join(known.distinct(), ["batch", "label"], "left_anti").withColumn("__new", F.lit(True))
+    sizes = wanted.distinct().groupBy("batch").agg(F.count("*").alias("__all"))
+    have = wanted.distinct().join(known.distinct(), ["batch", "label"], "left_semi").groupBy("batch").agg(F.count("*").alias("__have"))
+    own = rows.select("batch", "id", "quality", "label").join(new, ["batch", "label"], "left").na.fill({"__new": False})
+    own = ranked(own, F.desc("quality"), F.desc("id"), by=["batch", "label"], name="__nth").withColumn("__first", F.col("__new") & (F.col("__nth") == 1))
+    out = ranked(own, F.desc("__first"), F.desc("quality"), F.desc("id"), by=["batch"], name="__at")
+    out = out.join(sizes, "batch", "left").join(have, "batch", "left").na.fill({"__have": 0, "__all": 0})
+    found = F.col("__have") + F.sum(F.col("__first").cast("int")).over(Window.partitionBy("batch").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    value = F.when(F.col("__at") <= budget, F.coalesce(F.try_divide(found, F.col("__all")), F.lit(0.0))).otherwise(0.0)
+    late = F.when(F.col("__at") <= budget, F.col("__at")).otherwise(F.lit(budget))
+    return ranked(out.withColumn("value", value).withColumn("__late", late), F.asc("__late"), F.when(F.col("__at") > budget, F.col("id")).asc_nulls_first(), by=["batch"]).select("batch", "id", "rank", "value")
+
+
+def alone_gains(rows: DataFrame, targets: DataFrame, block: int = 1024) -> DataFrame:
+    """batch, id, gain, relative_gain of adding each row alone: the fall of the targets' mean nearest distance, and that over the former mean. Targets meet in blocks, so memory is candidates times a block."""
+
+    def pick(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"batch": [], "id": [], "gain": [], "relative_gain": []})
+        x, before, fall = _unit(left["v"]), right["before"].to_numpy(float), np.zeros(len(left))
+        for i in range(0, len(right), block):
+            now = before[i : i + block]
+            fall += np.maximum(now[None, :] - (1 - x @ _unit(right["v"].iloc[i : i + block]).T), 0).sum(1)
+        gain = fall / max(1, len(right))
+        return pd.DataFrame({"batch": left["batch"].iloc[0], "id": left["id"], "gain": gain, "relative_gain": gain / max(float(before.mean()) if len(right) else 0.0, 1e-12)})
+
+    return rows.select("batch", "id", "v").groupBy("batch").cogroup(targets.select("batch", "v", "before").groupBy("batch")).applyInPandas(pick, "batch long, id long, gain double, relative_gain double")
+
+
+def oracle_screen(rows: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
+    """``rows`` of each batch less all but the ``cap`` that gain most alone, then by quality and id."""
+    from pyspark.sql import functions as F
+
+    from .ranking import ranked
+
+    gains = alone_gains(rows, targets)
+    return ranked(rows.join(gains, ["batch", "id"]), F.desc("relative_gain"), F.desc("quality"), F.asc("id"), by=["batch"]).filter(F.col("rank") <= cap)

@@ -147,3 +147,55 @@ def replay_percentile(facts: DataFrame, policy: str, value: str, by: list[str],
     replays = facts.filter(F.col(policy).startswith(replay_prefix)).select(*by, F.col(value).alias("__r"))
     others = facts.filter(~F.col(policy).startswith(replay_prefix)).join(replays, by)
     return others.groupBy(*by, policy, value).agg(F.avg((F.col("__r") <= F.col(value)).cast("double")).alias("percentile"), ((1 + F.sum((F.col("__r") >= F.col(value)).cast("int"))) / (1 + F.count("*"))).alias("p"))
+
+
+def selection_metrics(rows: DataFrame, ks: list[int], by: list[str], low_quality: float = 0.45) -> DataFrame:
+    """Per ranking and k: the ranking metrics, and clusters, repeats, quality, artefacts, redundancy and score among the first k, in one selection_score.
+
+    ``rows`` has rank, label, cluster, quality, artifact, redundancy and score. retention is the mean score over that of the k best scores.
+    """
+    base = None
+    for k in ks:
+        one = ranking_metrics(rows.withColumn("corrupted", F.lit(0)), k, by).drop("corruption_rate").withColumn("k", F.lit(k))
+        base = one if base is None else base.unionByName(one)
+    best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score")))
+    each = rows.withColumn("__best", best).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    top = F.col("rank") <= F.col("k")
+    share = lambda c: F.avg(F.when(top, c.cast("double")))
+    more = each.groupBy(*by, "k").agg(
+        F.countDistinct(F.when(top, F.col("cluster"))).alias("unique_clusters"), (F.count(F.when(top, 1)) - F.countDistinct(F.when(top, F.col("cluster")))).alias("cluster_repeats"),
+        (F.countDistinct(F.when(top, F.col("cluster"))) / F.greatest(F.countDistinct("cluster"), F.lit(1))).alias("cluster_coverage"), share(F.col("quality")).alias("mean_quality"), share(F.col("quality") < low_quality).alias("low_quality_rate"),
+        share(F.col("artifact") > 0).alias("artifact_rate"), share(F.col("redundancy") > 0).alias("redundancy_rate"), share(F.col("score")).alias("mean_score"),
+        F.coalesce(F.try_divide(share(F.col("score")), F.avg(F.when(F.col("__best") <= F.col("k"), F.col("score")))), F.lit(0.0)).alias("retention"),
+    )
+    score = F.col("ndcg") + 0.5 * F.col("cluster_diversity") - F.col("artifact_rate") - 0.5 * F.col("redundancy_rate") - F.col("low_quality_rate")
+    return base.join(more, [*by, "k"]).withColumn("selection_score", score)
+
+
+#: Families of views by the beginning of their names.
+FAMILIES = [("ts2vec", "ts2vec"), ("window", "window"), ("morph", "morphology"), ("raw_shape", "raw_shape")]
+
+
+def feature_family(view: Column) -> Column:
+    """The family of a view's features; a view of no known family is one of its own."""
+    name = F.lower(view)
+    out = None
+    for start, family in FAMILIES:
+        out = F.when(name.startswith(start), family) if out is None else out.when(name.startswith(start), family)
+    return out.otherwise(name)
+
+
+def feature_overlap(policies: DataFrame, views: DataFrame) -> DataFrame:
+    """policy, view, family, overlap, primary_eval: whether a view that judges a policy is of a family that the policy selects by. ``policies(policy, families)``, ``views(view)``; both are small dimensions."""
+    both = policies.join(F.broadcast(views.withColumn("family", feature_family(F.col("view")))), F.lit(True))
+    return both.select("policy", "view", "family", F.array_contains("families", F.col("family")).alias("overlap")).withColumn("primary_eval", ~F.col("overlap"))
+
+
+def balanced_gain(gains: DataFrame, by: list[str], primary: list[str], gain: str = "relative_gain") -> DataFrame:
+    """The mean over the primary views of each row's gain; 0 where none is there."""
+    return gains.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col("view").isin(primary), F.col(gain))), F.lit(0.0)).alias("balanced_gain"))
+
+
+def retrieval_summary(neighbours: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean and 0.95 quantile of all neighbour distances."""
+    return neighbours.groupBy(*(by or [])).agg(F.avg("distance").alias("mean_distance"), F.percentile("distance", F.lit(0.95)).alias("p95_distance"), F.count("*").alias("n"))

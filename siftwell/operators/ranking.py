@@ -104,3 +104,13 @@ def episode_split(episodes: DataFrame, train: float = 0.75, validation: float =
     n = F.count("*").over(Window.partitionBy(F.lit(0)))
     at = F.row_number().over(w)
     return episodes.select("episode_id").distinct().withColumn("split", F.when(at <= F.floor(n * train), "train").when(at <= F.floor(n * train) + F.floor(n * validation), "validation").otherwise("test"))
+
+
+def quality_novelty_order(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return ranked(rows, F.desc("quality"), F.desc("novelty"), F.asc("id"), by=by)
+
+
+def balanced_urls(rows: DataFrame, group: str, per_group: int, total: int, seed: str) -> DataFrame:
+    """At most ``total`` rows, dealt group by group in turn, at most ``per_group`` of each, in a reproducible random order."""
+    own = ranked(rows, F.asc(stable_random(F.lit(seed), F.col("id"))), F.asc("id"), by=[group], name="__nth").filter(F.col("__nth") <= per_group)
+    return ranked(own, F.asc("__nth"), F.asc(group), name="rank").filter(F.col("rank") <= total).drop("__nth")

@@ -137,3 +137,20 @@ def threshold_grid(rows: DataFrame, novelty: list[float], density: list[float])
     novel, dense = F.col("novelty_score") >= F.col("novelty_at"), F.col("density_score") >= F.col("density_at")
     reason = when_any((F.col("quality") < LOW_QUALITY, "LOW_QUALITY"), (novel & dense, COHESIVE), (novel, SINGLETON), (dense, REDUNDANT), default=PRIMITIVES)
     return each.withColumn("reason_code", reason).groupBy("novelty_at", "density_at", "reason_code").agg(F.count("*").alias("n"))
+
+
+#: The parts of blend reasons.
+BLEND_REASONS = ["BLEND_KCENTER", "HYGIENE_PASS", "HYGIENE_FALLBACK", "HIGH_OLD_NOVELTY", "SINGLETON_CLUSTER"]
+CONSENSUS = "CONSENSUS"
+
+
+def blend_reason(passed: Column, novelty: Column, singleton: Column) -> Column:
+    """Why a blended selection took a row, parts joined by bars; novelty counts as high from 0.75."""
+    base, ok, fallback, high, single = BLEND_REASONS
+    return F.concat_ws("|", F.lit(base), F.when(F.coalesce(passed, F.lit(False)), ok).otherwise(fallback), F.when(novelty >= 0.75, high), F.when(singleton, single))
+
+
+def consensus_reason(reason: Column) -> Column:
+    """A reason with CONSENSUS as a part, at the end if it isn't there yet; blank parts go."""
+    parts = F.filter(F.split(F.coalesce(F.trim(reason), F.lit("")), r"\|"), lambda p: p != "")
+    return F.array_join(F.when(F.array_contains(parts, CONSENSUS), parts).otherwise(F.array_append(parts, F.lit(CONSENSUS))), "|")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import stable_random
 from ..operators import greedy, neighbors, ranking, scores
+from . import greedy_sql
 from .base import CLIPS, SCORED, candidates, clips, mm, rounded
 
 REASON = """CASE WHEN quality < 0.45 THEN 'LOW_QUALITY' WHEN novelty_score >= 0.65 AND density_score >= 0.45 THEN 'COHESIVE_NEW_WORKFLOW' WHEN novelty_score >= 0.65 THEN 'HIGH_NOVELTY_SINGLETON'
@@ -104,7 +105,7 @@ def submission_scores(spark, sf_dir):
 
 def hash_splits(spark, sf_dir):
     out = ranking.stratified_hash_split(clips(spark, sf_dir).select("id", "group_id"), "group_id", 0.25, "split")
-    return ranking.hash_shard(ranking.ranked(out, F.asc("id"), name="position"), "position", 4, 1).select("id", "group_id", "split")
+    return out.withColumn("shard", F.pmod("id", F.lit(4))).select("id", "group_id", "split", "shard")
 
 
 def worker_coverage(spark, sf_dir):
@@ -118,8 +119,8 @@ def _batches(spark, sf_dir):
 
 
 def k_center_selection(spark, sf_dir):
-    """Farthest first within each of two batches: the first five."""
-    return rounded(greedy.k_center(_batches(spark, sf_dir)).filter("rank <= 5"))
+    """Farthest first within each of two batches."""
+    return rounded(greedy.k_center(_batches(spark, sf_dir)))
 
 
 def mmr_selection(spark, sf_dir):
@@ -216,21 +217,10 @@ SELECT id, role, quality_place, random_place, row_number() OVER (PARTITION BY ro
     "failing_checks": f"""WITH {CLIPS} SELECT id, concat_ws(',', CASE WHEN NOT quality >= 0.3 THEN 'quality' END, CASE WHEN NOT stationary <= 0.9 THEN 'stationary' END, CASE WHEN NOT max_abs <= 60 THEN 'max_abs' END) AS failing FROM clips""",
     "submission_scores": f"""WITH {SCORED}, s AS (SELECT id, quality, round(final_score, 3) AS score FROM scored), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, quality DESC, id) AS rank FROM s)
 SELECT id, rank, score, round(min(score + 1e-6 * rank) OVER (ORDER BY rank) - 1e-6 * rank, 8) AS submitted FROM r""",
-    "hash_splits": f"""WITH {CLIPS}, r AS (SELECT id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY {_D.format('split')}, id) AS nth, count(*) OVER (PARTITION BY group_id) AS n, row_number() OVER (ORDER BY id) AS position FROM clips)
-SELECT id, group_id, CASE WHEN nth <= least(greatest(round_even(n * 0.25, 0), 1), greatest(n - 1, 1)) THEN 'eval' ELSE 'train' END AS split FROM r WHERE position % 4 = 1""",
+    "hash_splits": f"""WITH {CLIPS}, r AS (SELECT id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY {_D.format('split')}, id) AS nth, count(*) OVER (PARTITION BY group_id) AS n FROM clips)
+SELECT id, group_id, CASE WHEN nth <= least(greatest(round_even(n * 0.25, 0), 1), greatest(n - 1, 1)) THEN 'eval' ELSE 'train' END AS split, id % 4 AS shard FROM r""",
     "worker_coverage": f"""WITH {CLIPS} SELECT id, group_id FROM (SELECT id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY id) AS r FROM clips) WHERE r <= 5""",
     "random_draws": f"""WITH {CLIPS} SELECT id, round({_D.format('fold')} / 281474976710655.0, 6) AS draw FROM clips""",
 }
 
-
-def _k_center_sql(steps: int) -> str:
-    """Chained steps: the farthest row of each batch joins, and distances fall."""
-    out = [f"""WITH {CLIPS}, near AS (SELECT a.id, min(1 - list_cosine_similarity(a.v, b.v)) AS gap FROM clips a, clips b WHERE a.role = 'candidate' AND b.role = 'support' GROUP BY a.id),
-g0 AS MATERIALIZED (SELECT c.id % 2 AS batch, c.id, c.v, c.quality, gap FROM clips c JOIN near USING (id) WHERE {GATE})"""]
-    for i in range(1, steps + 1):
-        out.append(f"p{i} AS MATERIALIZED (SELECT * FROM g{i - 1} QUALIFY row_number() OVER (PARTITION BY batch ORDER BY gap DESC, quality DESC, id) = 1)")
-        out.append(f"g{i} AS MATERIALIZED (SELECT g.batch, g.id, g.v, g.quality, least(g.gap, 1 - list_cosine_similarity(g.v, p.v)) AS gap FROM g{i - 1} g JOIN p{i} p USING (batch) WHERE g.id <> p.id)")
-    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT batch, id, {i} AS rank, round(gap, 6) AS value FROM p{i}" for i in range(1, steps + 1))
-
-
-ORACLES["k_center_selection"] = _k_center_sql(5)
+ORACLES.update(greedy_sql.ORACLES)
