@@ -10,12 +10,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import failing
 from ..operators.timeseries import CHANNELS
 
 #: Names under which a time column may come.
 TIME_NAMES = ["timestamp", "time", "t", "ts"]
 
 
+#: Where a row stands among the rows of its file: the split it was read in, and its place there.
+_PLACE = ["__split", "__row"]
+
+
+def _lines(spark: SparkSession, paths) -> DataFrame:
+    """file, value and the place of each line; a file of any size is read in splits."""
+    rows = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__split"))
+    return rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("value", F.regexp_replace("value", r"\r$", ""))
+
+
 def _blank_as_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", F.trim(c))
 
@@ -26,9 +37,8 @@ def line_manifest(spark: SparkSession, path: str) -> DataFrame:
     The id is the SHA-256 of the trimmed line; the worker the first part of the
     path that begins with "worker", else the host and file name.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "url"), F.input_file_name().alias("file"))
-    kept = lines.withColumn("url", F.trim("url")).filter((F.col("url") != "") & ~F.col("url").startswith("#"))
-    placed = kept.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1)
+    kept = _lines(spark, path).withColumn("url", F.trim("value")).filter((F.col("url") != "") & ~F.col("url").startswith("#"))
+    placed = kept.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy(*_PLACE)) - 1)
     return placed.select("pos", "url", F.sha2("url", 256).alias("id"), worker_of(F.col("url")).alias("worker"))
 
 
@@ -60,9 +70,9 @@ def read_jsonl(spark: SparkSession, paths, max_samples: int | None = None, recov
     A record's channels come from arrays acc and gyro; where the acc key is
     mangled and ``recover`` is set, from the one other array of three numbers;
     else from the six named keys; else from its first six numbers. t_us is in
-    microseconds. Lines that are blank or no JSON object don't count.
+    microseconds. Lines that are blank or no JSON object don't count; no usable line at all is an error.
     """
-    rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("clip"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value")).filter(F.trim("value") != "")
+    rows = _lines(spark, paths).filter(F.trim("value") != "").withColumnRenamed("file", "clip")
     fields = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
     rows = rows.withColumn("m", fields).filter(F.col("m").isNotNull())
 
@@ -80,15 +90,32 @@ def read_jsonl(spark: SparkSession, paths, max_samples: int | None = None, recov
     six = F.coalesce(both, named, F.when(F.size(numbers) == 6, numbers))
     ts = F.coalesce(get("timestamp").try_cast("double"), get("t_us").try_cast("double") / 1e6)
     good = rows.withColumn("six", six).withColumn("ts", ts).filter(F.col("six").isNotNull())
-    out = good.withColumn("idx", F.row_number().over(Window.partitionBy("clip").orderBy("line")) - 1)
+    if good.isEmpty():
+        raise ValueError("no samples in the files")
+    out = good.withColumn("idx", F.row_number().over(Window.partitionBy("clip").orderBy(*_PLACE)) - 1)
     if max_samples is not None:
         out = out.filter(F.col("idx") < max_samples)
     return out.select("clip", "idx", "ts", *[F.col("six")[i].alias(c) for i, c in enumerate(CHANNELS)])
 
 
 def read_worker_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A series table of CSV files with a header: channel names in any case, else the first six numeric columns that aren't times."""
-    rows = spark.read.csv(path, header=True, inferSchema=True)
+    """A series table of CSV files, each with its own header: channel names in any case, else the first six numeric columns that aren't times.
+
+    Files are grouped by their first line; the driver holds the list of files, as Spark does to read them.
+    """
+    place = Window.partitionBy("file").orderBy(*_PLACE)
+    heads = _lines(spark, path).withColumn("__n", F.row_number().over(place)).filter("__n = 1").groupBy("value").agg(F.collect_list("file").alias("files")).orderBy("value").collect()
+    out = None
+    for head in heads:
+        one = _csv_of_one_header(spark, head["files"])
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no files with a header")
+    return out
+
+
+def _csv_of_one_header(spark: SparkSession, files: list[str]) -> DataFrame:
+    rows = spark.read.csv(files, header=True, inferSchema=True)
     lower = {c.lower(): c for c in rows.columns}
     time = next((lower[t] for t in TIME_NAMES if t in lower), None)
     if all(c in lower for c in CHANNELS):
@@ -98,22 +125,22 @@ def read_worker_csv(spark: SparkSession, path: str) -> DataFrame:
         if len(numeric) < 6:
             raise ValueError(f"fewer than six numeric columns: {rows.columns}")
         picked = numeric[:6]
-    numbered = rows.withColumn("__file", F.input_file_name()).withColumn("__row", F.monotonically_increasing_id())
-    idx = F.row_number().over(Window.partitionBy("__file").orderBy("__row")) - 1
+    numbered = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split")).withColumn("__row", F.monotonically_increasing_id())
+    idx = F.row_number().over(Window.partitionBy("__file").orderBy(*_PLACE)) - 1
     return numbered.select(F.col("__file").alias("clip"), idx.alias("idx"), (F.col(time).cast("double") if time else F.lit(None).cast("double")).alias("ts"), *[F.col(p).cast("double").alias(c) for p, c in zip(picked, CHANNELS)])
 
 
 def grammar_features(tables: list[DataFrame], key: str = "id", split: str = "split") -> DataFrame:
-    """Several feature tables as one: the first row of an id within a split counts; an id in two splits is an error."""
+    """Several feature tables as one: the first row of an id within a split counts, by table and then by the table's rows; an id in two splits is an error."""
     out = None
     for i, t in enumerate(tables):
-        t = t.withColumn("__order", F.lit(i))
+        t = t.withColumn("__order", F.lit(i)).withColumn("__row", F.monotonically_increasing_id())
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     twice = out.groupBy(key).agg(F.countDistinct(split).alias("n")).filter("n > 1").count()
     if twice:
         raise ValueError(f"{twice} ids are in several splits")
-    first = F.row_number().over(Window.partitionBy(key, split).orderBy("__order"))
-    return out.withColumn("__n", first).filter("__n = 1").drop("__n", "__order")
+    first = F.row_number().over(Window.partitionBy(key, split).orderBy("__order", "__row"))
+    return out.withColumn("__n", first).filter("__n = 1").drop("__n", "__order", "__row")
 
 
 def join_by_keys(rows: DataFrame, keys: list[str], features: DataFrame, key: str = "id") -> DataFrame:
@@ -126,13 +153,43 @@ def join_by_keys(rows: DataFrame, keys: list[str], features: DataFrame, key: str
 
 
 def read_embeddings(spark: SparkSession, path: str, view: str | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """id, view, v of a table partitioned by view; only the partition and ids asked for are read, and the first row of an id counts."""
-    rows = spark.read.parquet(path)
+    """id, view, v of a table partitioned by view; only the partition and ids asked for are read, and the first row of an id counts, by shard name and place in the shard."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     if view is not None:
         rows = rows.filter(F.col("view") == view)
     if ids is not None:
         rows = rows.join(ids.select("id"), "id", "left_semi")
-    return rows.dropDuplicates(["id", "view"])
+    nth = F.row_number().over(Window.partitionBy("id", "view").orderBy("__file", "__row"))
+    return rows.withColumn("__n", nth).filter("__n = 1").drop("__n", "__file", "__row")
+
+
+def read_shards(spark: SparkSession, path: str, view: str, shards: int, ids: DataFrame | None = None) -> DataFrame:
+    """id, v of a view from its first ``shards`` files in name order, of the ids asked for; the first row of an id counts."""
+    rows = spark.read.parquet(path).filter(F.col("view") == view).select("id", "v", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    # file names are few: one for each shard
+    first = rows.select("__file").distinct().orderBy("__file").limit(shards)
+    rows = rows.join(F.broadcast(first), "__file", "left_semi")
+    if ids is not None:
+        rows = rows.join(ids.select("id"), "id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("__file", "__row"))
+    return rows.withColumn("__n", nth).filter("__n = 1").select("id", "v")
+
+
+def in_order(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """pos, id, v: the manifest's rows in its order with their vectors; an error if one has none."""
+    missing = manifest.join(rows, "id", "left_anti").count()
+    if missing:
+        raise ValueError(f"{missing} ids of the manifest have no vector")
+    return manifest.select("pos", "id").join(rows.select("id", "v"), "id").select("pos", "id", "v")
+
+
+def read_quality(spark: SparkSession, csv: str | None = None, jsonl: str | None = None, key: str = "sample_id") -> DataFrame:
+    """id and numeric quality columns of a CSV file with a header or of JSON lines; rows with a blank id don't count, and what is no number is null."""
+    if (csv is None) == (jsonl is None):
+        raise ValueError("give either csv or jsonl")
+    rows = spark.read.csv(csv, header=True) if csv is not None else spark.read.json(jsonl)
+    values = [c for c in rows.columns if c != key]
+    return rows.filter(_blank_as_null(F.col(key).cast("string")).isNotNull()).select(F.trim(F.col(key).cast("string")).alias("id"), *[F.col(c).cast("string").try_cast("double").alias(c) for c in values])
 
 
 def write_embeddings(rows: DataFrame, path: str) -> None:
@@ -140,14 +197,53 @@ def write_embeddings(rows: DataFrame, path: str) -> None:
     rows.select("id", "v", "view").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("view").parquet(path)
 
 
-#: The columns of a ranked file and of a submission.
-RANKED_COLUMNS = ["id", "rank", "final_score", "quality", "novelty", "density", "cluster", "group_id", "passed", "within_cap", "reason_code"]
+#: The columns of a ranked file, of a selection trace and of a submission.
+RANKED_COLUMNS = [
+    "sample_id", "rank", "score", "quality_score", "old_novelty_score", "quality_gate_pass", "physical_validity_pass", "physical_validity_failure_reasons",
+    "stationary_fraction", "max_abs_value", "new_cluster_id", "new_cluster_size", "was_selected_by_source_cap_fallback", "reranker", "raw_path",
+]
+TRACE_COLUMNS = [
+    "rank", "worker_id", "sample_id", "base_score", "final_score", "rerank_score", "cluster_id", "new_cluster_parent_id", "new_cluster_size",
+    "was_selected_by_fallback", "quality_gate_pass", "was_selected_by_source_cap_fallback", "quality_score", "reason_code",
+]
 SUBMISSION_COLUMNS = ["worker_id", "rank", "score", "quality_score", "reason_code"]
 
 
+def ranked_rows(rows: DataFrame, reranker: str, min_quality: float, max_stationary: float, max_abs: float) -> DataFrame:
+    """Ranked clips under the fixed columns of a ranked file.
+
+    ``rows`` has id, rank, score, quality, novelty, stationary, max_abs, cluster, cluster_size, passed, within_cap and
+    raw_path. Failing physical checks are listed by name; a row that passed but fell behind its source's cap is a fallback.
+    """
+    checks = {"quality": F.col("quality") >= min_quality, "stationary_fraction": F.col("stationary") <= max_stationary, "max_abs_value": F.col("max_abs") <= max_abs}
+    reasons = failing(checks)
+    named = {
+        "sample_id": F.col("id").cast("string"), "rank": F.col("rank").cast("int"), "score": F.col("score"), "quality_score": F.col("quality"), "old_novelty_score": F.col("novelty"), "quality_gate_pass": F.col("quality") >= min_quality,
+        "physical_validity_pass": reasons == "", "physical_validity_failure_reasons": reasons, "stationary_fraction": F.col("stationary"), "max_abs_value": F.col("max_abs"), "new_cluster_id": F.col("cluster"),
+        "new_cluster_size": F.col("cluster_size"), "was_selected_by_source_cap_fallback": F.col("passed") & ~F.col("within_cap"), "reranker": F.lit(reranker), "raw_path": F.col("raw_path"),
+    }
+    return rows.select(*[named[c].alias(c) for c in RANKED_COLUMNS])
+
+
 def write_ranked(rows: DataFrame, path: str) -> None:
-    """The ranked columns there are, as CSV in rank order."""
-    rows.select(*[c for c in RANKED_COLUMNS if c in rows.columns]).orderBy("rank").write.mode("overwrite").csv(path, header=True)
+    """The fixed columns as CSV with a header, files in rank order."""
+    rows.select(*RANKED_COLUMNS).orderBy("rank").write.mode("overwrite").csv(path, header=True)
+
+
+def trace_rows(rows: DataFrame) -> DataFrame:
+    """The columns of a selection trace; those that a selection doesn't have are null, flags false."""
+    flags = {"was_selected_by_fallback", "quality_gate_pass", "was_selected_by_source_cap_fallback"}
+    default = lambda c: F.lit(False) if c in flags else F.lit(None)
+    return rows.select(*[(F.coalesce(F.col(c), default(c)) if c in rows.columns else default(c).cast("boolean" if c in flags else "string")).alias(c) for c in TRACE_COLUMNS])
+
+
+def write_report(report: dict, folder: str, name: str, spark: SparkSession) -> None:
+    """A report of small values as one JSON file and one Markdown file with a line for each, by Spark's text writer."""
+    import json
+
+    lines = [f"# {name}", "", *[f"- {k}: {v}" for k, v in sorted(report.items())]]
+    for kind, text in (("json", json.dumps(report, indent=2, sort_keys=True)), ("md", "\n".join(lines))):
+        spark.range(1).select(F.lit(text).alias("value")).write.mode("overwrite").text(f"{folder}/{name}.{kind}")
 
 
 def submission(rows: DataFrame) -> DataFrame:
