@@ -12,13 +12,30 @@ from ..storage import materialise
 from .neighbors import PAIRS, _packed
 
 
+def _forest(similar: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a matrix of rows by columns, whose places are numbered on from the rows'."""
+    n, label, out = similar.shape[0], np.arange(sum(similar.shape)), []
+    for i in np.nonzero(similar.any(1))[0].tolist():
+        near = np.nonzero(similar[i])[0] + n
+        new, first = np.unique(label[near], return_index=True)
+        for k, j in zip(new.tolist(), near[first].tolist()):
+            if k != label[i]:
+                out.append((i, j - n))
+                label[label == k] = label[i]
+    return out
+
+
 def similar_pairs(rows: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """query_id < ref_id with a cosine of at least ``threshold``, by products of blocks; each pair of blocks is met once."""
+    """query_id < ref_id with a cosine of at least ``threshold``, by products of blocks; each pair of blocks is met once.
+
+    Of two blocks' similar pairs a spanning forest goes on, which has the same components and at most
+    as many pairs as the blocks have rows.
+    """
     import pyarrow as pa
 
-    packed = _packed(rows.select("id", "v"), block)
+    packed = materialise(_packed(rows.select("id", "v"), block), "blocks")
     other = packed.select(F.col("block").alias("r_block"), F.col("ids").alias("r_ids"), F.col("m").alias("r_m"))
-    n = max(1, -(-rows.count() // block))
+    n = (packed.agg(F.max("block")).first()[0] or 0) + 1
     met = packed.withColumn("r_block", F.explode(F.sequence(F.col("block"), F.lit(n - 1)))).join(other, "r_block")
 
     def run(batches):
@@ -28,7 +45,9 @@ def similar_pairs(rows: DataFrame, threshold: float, block: int = 2048) -> DataF
                 x, y = (a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12) for a in (x, y))
                 p, q = np.array(row["ids"], np.int64), np.array(row["r_ids"], np.int64)
                 s = x @ y.T
-                i, j = np.nonzero((s >= threshold) & ((p[:, None] < q[None, :]) if row["block"] == row["r_block"] else True))
+                same = row["block"] == row["r_block"]
+                pairs = _forest((s >= threshold) & ((p[:, None] != q[None, :]) if same else True))
+                i, j = (np.array(x, int) for x in (zip(*pairs) if pairs else ((), ())))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[i], q[j])), pa.array(np.maximum(p[i], q[j])), pa.array(1 - s[i, j])], names=["query_id", "ref_id", "distance"])
 
     return met.select("block", "r_block", "ids", "dim", "m", "r_ids", "r_m").mapInArrow(run, PAIRS)
@@ -124,27 +143,48 @@ def round_robin_split(rows: DataFrame, parts: int, order: list) -> DataFrame:
 def kmeans(rows: DataFrame, k: int, steps: int = 30, seed: str = "13") -> tuple[DataFrame, list[list[float]]]:
     """Assignments (id, code, distance) and centres of Lloyd's algorithm over ``rows(id, v)`` of any size.
 
-    Centres (k vectors) start as the rows that come first by a hash of their id and
-    travel with each pass; a pass is one aggregation. An empty cluster keeps its centre.
+    Centres start as the rows that come first by a hash of their id. The codebook, k vectors, travels
+    to Arrow functions with each pass, and each batch gives back one sum for each of its codes; the rows
+    are written once. An empty cluster keeps its centre; equally near centres: the first.
     """
+    import pyarrow as pa
+
     from ..functions.numeric import stable_random
 
-    centres = [r["v"] for r in rows.orderBy(stable_random(F.lit(seed), F.col("id")), "id").limit(k).collect()]
+    rows = materialise(rows.select("id", "v"), "kmeans")
+    centres = np.array([r["v"] for r in rows.orderBy(stable_random(F.lit(seed), F.col("id")), "id").limit(k).collect()], float)
 
-    def assigned(now: list[list[float]]) -> DataFrame:
-        gaps = [F.struct(F.aggregate(F.zip_with("v", F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), F.lit(i).alias("code")) for i, c in enumerate(now)]
-        near = F.least(*gaps) if len(gaps) > 1 else gaps[0]
-        return rows.withColumn("__near", near).select("id", "v", F.col("__near.code").alias("code"), F.sqrt("__near.d").alias("distance"))
+    def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.maximum((x**2).sum(1)[:, None] - 2 * x @ book.T + (book**2).sum(1)[None, :], 0)
+        return d.argmin(1), np.sqrt(d.min(1))
+
+    def sums(book: np.ndarray) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                x = np.array(b.column(0).to_pylist(), float).reshape(b.num_rows, -1)
+                if len(x):
+                    codes = nearest(x, book)[0]
+                    found = np.unique(codes)
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([int((codes == c).sum()) for c in found], pa.int64()), pa.array([x[codes == c].sum(0).tolist() for c in found], pa.list_(pa.float64()))], names=["code", "n", "s"])
+
+        each = rows.select("v").mapInArrow(run, "code int, n long, s array<double>")
+        return each.select("code", "n", F.posexplode("s").alias("dim", "x")).groupBy("code", "dim").agg((F.sum("x") / F.sum("n")).alias("x"))
+
+    def assign(batches):
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            code, d = nearest(x, centres) if len(x) else (np.zeros(0, int), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.int32()), pa.array(d, pa.float64())], names=["id", "code", "distance"])
 
     for _ in range(steps):
-        sums = assigned(centres).select("code", F.posexplode("v").alias("dim", "x")).groupBy("code", "dim").agg(F.avg("x").alias("x")).orderBy("code", "dim").collect()
-        new = [list(c) for c in centres]
-        for r in sums:
-            new[r["code"]][r["dim"]] = r["x"]
-        if max(abs(a - b) for p, q in zip(new, centres) for a, b in zip(p, q)) < 1e-12:
-            break
+        new = centres.copy()
+        for r in sums(centres).collect():
+            new[r["code"], r["dim"]] = r["x"]
+        done = np.abs(new - centres).max(initial=0) < 1e-12
         centres = new
-    return assigned(centres).drop("v"), centres
+        if done:
+            break
+    return rows.mapInArrow(assign, f"id {rows.schema['id'].dataType.simpleString()}, code int, distance double"), centres.tolist()
 
 
 def source_families(groups: DataFrame, group: str) -> DataFrame:

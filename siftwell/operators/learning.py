@@ -75,14 +75,11 @@ def fit_ridge(rows: DataFrame, features: list[str], target: str, penalty: float
     """Ridge regression on scaled features; the intercept, the target's mean, isn't penalised."""
     check_features(rows, [*features])
     mean, scale = scaler(rows, features)
-    g, sums, n = gram(rows, [*features, target])
-    k = len(features)
-    # sums of products of scaled features follow from those of the raw ones
-    xx = (g[:k, :k] - np.outer(sums[:k], mean) - np.outer(mean, sums[:k]) + n * np.outer(mean, mean)) / np.outer(scale, scale)
-    xy = (g[:k, k] - mean * sums[k]) / scale
-    middle = sums[k] / max(n, 1)
-    xy = xy - middle * (sums[:k] - n * mean) / scale
-    return Linear(features, mean, scale, np.linalg.solve(xx + penalty * np.eye(k), xy), float(middle))
+    middle, k = float(rows.agg(F.avg(target)).first()[0] or 0.0), len(features)
+    # products of scaled columns: those of raw ones lose all digits where a mean is far above its deviation
+    scaled = rows.select(*[((F.col(f) - float(m)) / float(s)).alias(f"x{i}") for i, (f, m, s) in enumerate(zip(features, mean, scale))], (F.col(target) - middle).alias("y"))
+    g = gram(scaled, [*[f"x{i}" for i in range(k)], "y"])[0]
+    return Linear(features, mean, scale, np.linalg.solve(g[:k, :k] + penalty * np.eye(k), g[:k, k]), middle)
 
 
 def nearest_centroid_metrics(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
@@ -105,20 +102,48 @@ def ridge_classes(train: DataFrame, features: list[str], label: str, penalty: fl
     return {k: fit_ridge(train.withColumn("__y", (F.col(label) == k).cast("double")), features, "__y", penalty) for k in kinds}
 
 
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Covariance, mean and number of ``rows(v)``: each batch gives its products less its mean, which are joined pairwise, so no digits go where the mean is large."""
+    import pyarrow as pa
+
+    def run(batches):
+        n, mean, m2 = 0, None, None
+        for b in batches:
+            x = np.array(b.column(0).to_pylist(), float).reshape(b.num_rows, -1)
+            if not len(x):
+                continue
+            own = x.mean(0)
+            part = (x - own).T @ (x - own)
+            if mean is None:
+                n, mean, m2 = len(x), own, part
+            else:
+                n, mean, m2 = _joined((n, mean, m2), (len(x), own, part))
+        if mean is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean.tolist()], pa.list_(pa.float64())), pa.array([m2.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "mean", "m2"])
+
+    total = None
+    for r in rows.select("v").mapInArrow(run, "n long, mean array<double>, m2 array<double>").toLocalIterator():
+        d = len(r["mean"])
+        one = (r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(d, d))
+        total = one if total is None else _joined(total, one)
+    if total is None:
+        return np.zeros((0, 0)), np.zeros(0), 0
+    return total[2] / total[0], total[1], total[0]
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
 def pca_error(support: DataFrame, targets: DataFrame, components: int = 8) -> float:
     """The targets' mean squared error after projection on the support's first components; rows are ``(v)``."""
     size = F.size("v")
-    rows = support.select(F.posexplode("v").alias("i", "x"), F.col("v").alias("w")).select("i", "x", F.posexplode("w").alias("j", "y"))
-    cells = rows.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("p"), F.avg("x").alias("m"), F.count("*").alias("n")).collect()
-    if not cells:
+    cov, mean, n = moments(support)
+    if not n:
         return float("nan")
-    d = max(r["i"] for r in cells) + 1
-    p, mean, n = np.zeros((d, d)), np.zeros(d), cells[0]["n"]
-    for r in cells:
-        p[r["i"], r["j"]] = r["p"]
-        mean[r["i"]] = r["m"]
-    values, vectors = np.linalg.eigh(p - n * np.outer(mean, mean))
-    basis = vectors[:, np.argsort(-values)[: min(components, d, n)]].T
+    values, vectors = np.linalg.eigh(cov)
+    basis = vectors[:, np.argsort(-values)[: min(components, len(mean), n)]].T
     centred = F.zip_with("v", F.array(*map(F.lit, mean.tolist())), lambda x, m: x - m)
     energy = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
     parts = [F.aggregate(F.zip_with("c", F.array(*map(F.lit, b.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for b in basis]
@@ -144,11 +169,6 @@ def forecast_mse(train: DataFrame, test: DataFrame, history: int = 8, penalty: f
 
 def effective_rank(rows: DataFrame) -> float:
     """exp of the entropy of the covariance's eigenvalues of ``rows(v)``."""
-    cells = rows.select(F.posexplode("v").alias("i", "x"), F.col("v").alias("w")).select("i", "x", F.posexplode("w").alias("j", "y")).groupBy("i", "j").agg(F.covar_pop("x", "y").alias("c")).collect()
-    d = max((r["i"] for r in cells), default=-1) + 1
-    c = np.zeros((d, d))
-    for r in cells:
-        c[r["i"], r["j"]] = r["c"]
-    p = np.clip(np.linalg.eigvalsh(c), 0, None)
+    p = np.clip(np.linalg.eigvalsh(moments(rows)[0]), 0, None)
     p = p / p.sum() if p.sum() > 0 else p
     return float(np.exp(-(p[p > 0] * np.log(p[p > 0])).sum()))

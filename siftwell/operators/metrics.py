@@ -74,18 +74,16 @@ def paired_deltas(facts: DataFrame, policy: str, value: str, by: list[str], base
 
 
 def bootstrap_interval(facts: DataFrame, by: list[str], unit: str, value: str, replicates: int = 200, level: float = 0.95) -> DataFrame:
-    """mean, low, high of the mean by resampling ``unit`` rows.
+    """mean, low, high of the mean by resampling ``unit`` rows with replacement.
 
-    Draws come from hashes of unit and replicate, so any plan gives the same
-    interval. A unit's weight in a replicate is Poisson of mean 1, which
-    approaches drawing with replacement and needs no driver and no sorting.
+    A replicate draws as many rows as there are; its draws are hashes of replicate and
+    draw, so any plan gives the same interval.
     """
-    each = facts.select(*by, unit, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    u = stable_random(F.col("r"), F.col(unit))
-    #: The Poisson distribution function of mean 1 at 0, 1, 2, ...
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    means = each.withColumn("w", weight).groupBy(*by, "r").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
+    own = Window.partitionBy(*by)
+    placed = facts.select(*by, F.col(value).alias("__x"), F.row_number().over(own.orderBy(unit)).alias("__at"), F.count("*").over(own).alias("__n"))
+    draws = placed.select(*by, "__n", "__at", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
+    drawn = F.least(F.floor(stable_random(F.col("r"), F.col("__at")) * F.col("__n")) + 1, F.col("__n"))
+    means = draws.select(*by, "r", drawn.alias("__at")).join(placed, [*by, "__at"]).groupBy(*by, "r").agg(F.avg("__x").alias("m"))
     q = means.groupBy(*by).agg(F.percentile("m", F.lit((1 - level) / 2)).alias("low"), F.percentile("m", F.lit(1 - (1 - level) / 2)).alias("high"))
     return facts.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(q, by)
 

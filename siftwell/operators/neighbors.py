@@ -14,20 +14,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot, unit
+from ..storage import materialise
 
 PAIRS = "query_id long, ref_id long, distance double"
+KEYED = "batch long, " + PAIRS
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
     """block, ids and a matrix for every ``size`` rows or so of (id, v)."""
-    parts = max(1, -(-rows.count() // size))
+    return _blocks(rows.select(F.lit(0).cast("long").alias("batch"), "id", "v"), size).drop("batch", "blocks")
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """batch, block, blocks (the batch's), ids and a matrix for every ``size`` rows or so of each batch of (batch, id, v)."""
+    parts = rows.groupBy("batch").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
 
     def pack(t: pa.Table) -> pa.Table:
         v = np.array(t.column("v").to_pylist(), dtype=np.float64)
-        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "ids": pa.array([t.column("id").to_pylist()], pa.list_(pa.int64())), "dim": pa.array([v.shape[1]], pa.int32()), "m": pa.array([v.tobytes()], pa.binary())})
+        one = {k: pa.array([t.column(k)[0].as_py()], kind) for k, kind in (("batch", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()))}
+        return pa.table({**one, "ids": pa.array([t.column("id").to_pylist()], pa.list_(pa.int64())), "dim": pa.array([v.shape[1]], pa.int32()), "m": pa.array([v.tobytes()], pa.binary())})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(pack, "block int, ids array<long>, dim int, m binary")
+    dealt = rows.join(parts, "batch").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return dealt.groupBy("batch", "block").applyInArrow(pack, "batch long, block int, blocks int, ids array<long>, dim int, m binary")
 
 
 def knn_join(queries: DataFrame, reference: DataFrame, k: int, metric: str = "cosine", leave_self_out: bool = False, block: int = 2048) -> DataFrame:
@@ -36,12 +44,19 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int, metric: str = "co
     ``metric``: cosine (1 - cosine, lengths at least 1e-12) or euclidean. Equal
     distances: the smaller id first. ``leave_self_out`` leaves out equal ids.
     """
+    one = lambda rows: rows.select(F.lit(0).cast("long").alias("batch"), "id", "v")
+    return knn_by_batch(one(queries), one(reference), k, metric, leave_self_out, block).drop("batch")
+
+
+def knn_by_batch(queries: DataFrame, reference: DataFrame, k: int, metric: str = "cosine", leave_self_out: bool = False, block: int = 2048) -> DataFrame:
+    """As ``knn_join`` within each batch of rows ``(batch, id, v)``, all batches at once."""
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"no such metric: {metric}")
-    q = _packed(queries.select("id", "v"), block)
-    r = _packed(reference.select("id", "v"), block).select(F.col("block").alias("r_block"), F.col("ids").alias("r_ids"), F.col("m").alias("r_m"))
-    n_ref = max(1, -(-reference.count() // block))
-    met = q.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_ref - 1)))).join(r, "r_block")
+    q = _blocks(queries.select("batch", "id", "v"), block).drop("blocks")
+    # blocks are written once: what makes the rows doesn't run again for their number
+    r = materialise(_blocks(reference.select("batch", "id", "v"), block).select("batch", F.col("blocks").alias("r_blocks"), F.col("block").alias("r_block"), F.col("ids").alias("r_ids"), F.col("m").alias("r_m")), "blocks")
+    n_ref = r.groupBy("batch").agg(F.max("r_blocks").alias("r_blocks"))
+    met = q.join(n_ref, "batch").withColumn("r_block", F.explode(F.sequence(F.lit(0), F.col("r_blocks") - 1))).drop("r_blocks").join(r, ["batch", "r_block"])
 
     def best(batches):
         for b in batches:
@@ -61,10 +76,10 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int, metric: str = "co
                 top = np.argsort(d, axis=1, kind="stable")[:, :k]
                 dist = np.take_along_axis(d, top, axis=1)
                 good = np.isfinite(dist)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, top.shape[1])[good.ravel()]), pa.array(ids[top][good]), pa.array(dist[good])], names=["query_id", "ref_id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * int(good.sum()), pa.int64()), pa.array(np.repeat(own, top.shape[1])[good.ravel()]), pa.array(ids[top][good]), pa.array(dist[good])], names=["batch", "query_id", "ref_id", "distance"])
 
-    pairs = met.select("ids", "dim", "m", "r_ids", "r_m").mapInArrow(best, PAIRS)
-    order = Window.partitionBy("query_id").orderBy("distance", "ref_id")
+    pairs = met.select("batch", "ids", "dim", "m", "r_ids", "r_m").mapInArrow(best, KEYED)
+    order = Window.partitionBy("batch", "query_id").orderBy("distance", "ref_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

@@ -25,11 +25,12 @@ def _clean(c: str) -> Column:
     return F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 0.0).otherwise(F.col(c).cast("double"))
 
 
-def robust_normalise(series: DataFrame) -> DataFrame:
+def robust_normalise(series: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """Every channel less its clip's median, over its quartile range (at least 1e-6); what isn't finite becomes 0."""
-    q = series.groupBy("clip").agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"__{c}") for c in CHANNELS])
+    channels = channels or CHANNELS
+    q = series.groupBy("clip").agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"__{c}") for c in channels])
     joined = series.join(q, "clip")
-    scaled = {c: F.coalesce(F.nanvl((F.col(c) - F.col(f"__{c}")[1]) / F.greatest(F.col(f"__{c}")[2] - F.col(f"__{c}")[0], F.lit(1e-6)), F.lit(0.0)), F.lit(0.0)) for c in CHANNELS}
+    scaled = {c: F.coalesce(F.nanvl((F.col(c) - F.col(f"__{c}")[1]) / F.greatest(F.col(f"__{c}")[2] - F.col(f"__{c}")[0], F.lit(1e-6)), F.lit(0.0)), F.lit(0.0)) for c in channels}
     return joined.withColumns(scaled).select(*series.columns)
 
 
@@ -55,6 +56,24 @@ def invariants(series: DataFrame, rate: float = 30.0) -> DataFrame:
     return out.withColumn("still", (F.abs(F.col("acc_norm") - median) < 0.05) & (F.col("gyro_norm") < 0.02))
 
 
+#: The derived channels, in order.
+DERIVED = ["acc_norm", "gyro_norm", "acc_jerk", "gyro_jerk", "linear_norm", "still"]
+
+
+def preprocess(series: DataFrame, rate: float = 30.0) -> DataFrame:
+    """clip, idx and twelve channels: the six and the six derived from them, each normalised within its clip."""
+    derived = invariants(series, rate).withColumn("still", F.col("still").cast("double"))
+    return robust_normalise(derived.select("clip", "idx", *CHANNELS, *DERIVED), CHANNELS + DERIVED)
+
+
+def shard_normalise(series: DataFrame, floor: float = 1e-6) -> DataFrame:
+    """Every channel less the mean of all of the clip's numbers, over their deviation (1 where that is below ``floor`` or not finite)."""
+    numbers = series.select("clip", F.explode(F.array(*CHANNELS)).alias("x"))
+    m = numbers.groupBy("clip").agg(F.avg("x").alias("__m"), F.stddev_pop("x").alias("__s"))
+    scale = F.when((F.col("__s") >= floor) & (F.col("__s") < float("inf")), F.col("__s")).otherwise(1.0)
+    return series.join(m, "clip").withColumns({c: (F.col(c) - F.col("__m")) / scale for c in CHANNELS}).select(*series.columns)
+
+
 def quality_features(series: DataFrame, rate: float = 30.0) -> DataFrame:
     """Fifteen artefact measures and quality_score of each clip.
 

@@ -101,9 +101,11 @@ def mine_phrases(tokens: DataFrame, num_phrases: int = 8192, longest: int = 6, m
 def encode_phrases(tokens: DataFrame, phrases: DataFrame, most: int = 100_000) -> DataFrame:
     """seq, pos, phrase: each sequence cut from left to right into the longest known phrases, single tokens where none fits.
 
-    At most ``most`` phrases, by rank, go to the executors.
+    All phrases go to the executors; more than ``most`` are an error, not a cut.
     """
-    known = [tuple(r["phrase"]) for r in phrases.orderBy("rank").limit(most).select("phrase").collect()]
+    known = [tuple(r["phrase"]) for r in phrases.select("phrase").limit(most + 1).collect()]
+    if len(known) > most:
+        raise ValueError(f"more than {most} phrases")
     sizes, held = sorted({len(p) for p in known}, reverse=True), set(known)
     kind = tokens.schema["token"].dataType.simpleString()
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,33 +38,39 @@ def run(clips: DataFrame, members: DataFrame, policies: list[str], budgets: list
     """episode_id, policy, budget, n_selected, underfilled, mean_before, mean_after, relative_gain.
 
     ``clips`` has id, group, v, quality, score, cluster and what ``gate`` reads; ``members``
-    is an episode table. A policy ranks an episode once; budgets are prefixes.
-    Candidates that fail the gate are dropped, not put last. Facts are as
-    exact as their distances; no step holds more than an episode's candidates in a task.
+    is an episode table. All episodes run at once, each a batch; a policy ranks an episode
+    once, and budgets are prefixes. Candidates that fail the gate are dropped, not put last. Targets
+    meet the chosen rows alone: an episode's targets and at most the largest budget for each policy in a task.
     """
     faults = episodes.check_episodes(members).count()
     if faults:
         raise ValueError(f"{faults} faults in the episodes")
-    placed = clips.join(members, "group").withColumnRenamed("episode_id", "batch").withColumn("batch", F.col("batch").cast("long"))
-    placed = materialise(placed.withColumn("key", F.col("batch") * 1_000_000_007 + F.col("id")), "placed")
-    facts = []
-    ids = [r[0] for r in members.select("episode_id").distinct().orderBy("episode_id").collect()]
-    for e in ids:
-        own = placed.filter(F.col("batch") == e)
-        support, pool, targets = (own.filter(F.col("role") == r) for r in ("support", "candidate", "target"))
-        pool = pool.filter(gate)
-        near = neighbors.knn_join(pool, support, 10)
-        dist = near.groupBy(F.col("query_id").alias("id")).agg(F.avg("distance").alias("novelty"), F.min("distance").alias("support_distance"))
-        pool = materialise(pool.join(dist, "id").withColumn("eligible", F.lit(True)), "pool")
-        before = materialise(neighbors.nearest_distance(targets, support).withColumnRenamed("distance", "before"), "before")
-        # distances from targets to candidates are worked out once for all policies and budgets
-        cover = materialise(neighbors.knn_join(targets, pool, 1_000_000).select(F.col("query_id").alias("target"), F.col("ref_id").alias("id"), "distance"), "cover")
-        for name in policies:
-            order = policy(name)(pool).select("id", "rank")
-            chosen = order.withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).filter(F.col("rank") <= F.col("budget"))
-            after = chosen.join(cover, "id").groupBy("budget", "target").agg(F.min("distance").alias("new"))
-            rows = after.join(before, after["target"] == before["id"]).withColumn("after", F.least("before", "new"))
-            n = chosen.groupBy("budget").agg(F.count("*").alias("n_selected"))
-            gain = rows.groupBy("budget").agg(F.avg("before").alias("mean_before"), F.avg("after").alias("mean_after"), F.avg(F.greatest((F.col("before") - F.col("after")) / F.greatest("before", F.lit(1e-12)), F.lit(0.0))).alias("relative_gain"))
-            facts.append(gain.join(n, "budget").select(F.lit(e).alias("episode_id"), F.lit(name).alias("policy"), "budget", "n_selected", (F.col("n_selected") < F.col("budget")).alias("underfilled"), "mean_before", "mean_after", "relative_gain"))
-    return reduce(lambda a, b: a.unionByName(b), facts)
+    placed = materialise(clips.join(members, "group").withColumnRenamed("episode_id", "batch").withColumn("batch", F.col("batch").cast("long")), "placed")
+    support, pool, targets = (placed.filter(F.col("role") == r) for r in ("support", "candidate", "target"))
+    pool = pool.filter(gate)
+    near = neighbors.knn_by_batch(pool, support, 10)
+    dist = near.groupBy("batch", F.col("query_id").alias("id")).agg(F.avg("distance").alias("novelty"), F.min("distance").alias("support_distance"))
+    pool = materialise(pool.join(dist, ["batch", "id"]).withColumn("eligible", F.lit(True)), "pool")
+    before = neighbors.knn_by_batch(targets, support, 1).select("batch", F.col("query_id").alias("id"), F.col("distance").alias("before"))
+    orders = reduce(lambda a, b: a.unionByName(b), [policy(name)(pool).filter(F.col("rank") <= max(budgets)).select("batch", "id", "rank", F.lit(name).alias("policy")) for name in policies])
+    chosen = orders.join(pool.select("batch", "id", "v"), ["batch", "id"])
+    sizes = sorted(budgets)
+
+    def measured(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """A row for each policy and budget: sums over targets of what the prefix leaves and of the relative fall."""
+        out = []
+        if len(left) and len(right):
+            unit = lambda v: (x := np.array(v.tolist(), float)) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            x, now = unit(right["v"]), right["before"].to_numpy(float)
+            for name, own in left.sort_values("rank").groupby("policy"):
+                y, after, at = unit(own["v"]), now.copy(), 0
+                for size in sizes:
+                    for i in range(at, min(size, len(own))):  # a running minimum over the prefix
+                        after = np.minimum(after, 1 - x @ y[i])
+                    at = min(size, len(own))
+                    fall = np.maximum((now - after) / np.maximum(now, 1e-12), 0)
+                    out.append((int(left["batch"].iloc[0]), name, size, at, at < size, now.mean(), after.mean(), fall.mean()))
+        return pd.DataFrame(out, columns=["episode_id", "policy", "budget", "n_selected", "underfilled", "mean_before", "mean_after", "relative_gain"])
+
+    both = chosen.groupBy("batch").cogroup(targets.join(before, ["batch", "id"]).select("batch", "v", "before").groupBy("batch"))
+    return both.applyInPandas(measured, "episode_id long, policy string, budget int, n_selected int, underfilled boolean, mean_before double, mean_after double, relative_gain double")

@@ -210,7 +210,7 @@ def batch_density(spark, sf_dir):
 
 
 def streaming_gate(spark, sf_dir):
-    """The event stream's per-minute quality counts, run to its end."""
+    """The event stream's daily quality counts, run to its end."""
     from ..streaming.gate import run_once
 
     return run_once(spark, sf_dir)
@@ -228,6 +228,9 @@ _RANKED = f"""ranked AS (SELECT id, group_id, quality, stationary, artifact, flo
 CASE policy WHEN 'quality' THEN -quality WHEN 'stationary' THEN -stationary ELSE {_H.format("'p:' || id")} END, id) AS rank FROM clips, (VALUES ('quality'), ('stationary'), ('random')) p(policy))"""
 _FACTS = f"""raw AS (SELECT o_custkey AS episode, min(o_orderkey) AS k, policy FROM orders, (VALUES {', '.join(f"('{p}')" for p in POLICIES)}) p(policy) GROUP BY ALL),
 facts AS (SELECT episode, policy, CASE WHEN policy = 'oracle' THEN 0.5 + {_H.format("policy || ':' || episode")} / 281474976710655.0 ELSE round({_H.format("policy || ':' || episode")} / 281474976710655.0, 2) END AS value FROM raw)"""
+#: Means of replicates that draw as many episodes as there are, by hashes of replicate and draw.
+_DRAWN = f"""seats AS (SELECT policy, value, row_number() OVER (PARTITION BY policy ORDER BY episode) AS seat, count(*) OVER (PARTITION BY policy) AS n FROM facts),
+draws AS (SELECT policy, r, least(floor({_H.format("r || ':' || seat")} / 281474976710655.0 * n) + 1, n) AS seat FROM seats, range(1, {{n}}) t(r)), m AS (SELECT policy, r, avg(value) AS m FROM draws JOIN seats USING (policy, seat) GROUP BY ALL)"""
 _GROUPS = "g AS (SELECT s_suppkey AS \"group\", s_nationkey AS family FROM supplier)"
 
 ORACLES = {
@@ -249,8 +252,7 @@ SELECT group_id, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx,
 SELECT policy, count(*) AS n, round(avg(d), 6) AS mean_delta, round(median(d), 6) AS median_delta, count(*) FILTER (d > 1e-12) AS wins, count(*) FILTER (abs(d) <= 1e-12) AS ties, count(*) FILTER (d < -1e-12) AS losses FROM d GROUP BY policy""",
     "policy_summary": f"WITH {_FACTS}, w AS (SELECT *, value >= max(value) OVER (PARTITION BY episode) - 1e-12 AS win FROM facts) SELECT policy, round(avg(value), 6) AS mean, count(*) AS n, sum(win::INT)::BIGINT AS wins FROM w GROUP BY policy",
     "oracle_fractions": f"WITH {_FACTS}, f AS (SELECT f.policy, CASE WHEN o.value > 1e-12 THEN least(greatest(f.value / o.value, 0), 1) END AS x FROM facts f JOIN facts o ON f.episode = o.episode AND o.policy = 'oracle') SELECT policy, round(avg(x), 6) AS fraction, round(min(x), 6) AS least FROM f GROUP BY policy",
-    "bootstrap_intervals": f"""WITH {_FACTS}, e AS (SELECT policy, value, r, {_H.format("r || ':' || episode")} / 281474976710655.0 AS u FROM facts, range(1, 51) t(r)), w AS (SELECT *, {' + '.join(f'(u > {s})::INT' for s in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))} AS w FROM e),
-m AS (SELECT policy, r, sum(w * value) / sum(w) AS m FROM w GROUP BY ALL), q AS (SELECT policy, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY policy) SELECT policy, round(avg(value), 6) AS mean, count(*) AS n, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM facts JOIN q USING (policy) GROUP BY policy""",
+    "bootstrap_intervals": f"""WITH {_FACTS}, {_DRAWN.format(n=51)}, q AS (SELECT policy, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY policy) SELECT policy, round(avg(value), 6) AS mean, count(*) AS n, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM facts JOIN q USING (policy) GROUP BY policy""",
     "leave_one_out": f"WITH {_FACTS} SELECT policy, episode, round((sum(value) OVER w - value) / (count(*) OVER w - 1), 6) AS without, round(abs(value) / sum(abs(value)) OVER w, 6) AS contribution FROM facts WINDOW w AS (PARTITION BY policy)",
     "group_gini": f"WITH {CLIPS}, r AS (SELECT group_id, quality, row_number() OVER (PARTITION BY group_id ORDER BY quality) AS i FROM clips) SELECT group_id, round(2 * sum(i * quality) / (count(*) * sum(quality)) - (count(*) + 1) / count(*), 6) AS gini FROM r GROUP BY group_id",
     "numeric_summaries": "SELECT event_type, count(*) AS count, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(max(value), 6) AS max FROM events GROUP BY event_type",

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from siftwell import catalog
 
@@ -21,7 +22,7 @@ def duck():
 
 
 def plain(x):
-    if x is None or (isinstance(x, float) and np.isnan(x)):
+    if x is None or x is pd.NA or (isinstance(x, float) and np.isnan(x)):
         return None
     if isinstance(x, (bool, np.bool_)):
         return bool(x)
