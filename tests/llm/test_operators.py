@@ -782,12 +782,36 @@ def test_top_k_skips_by_stored_bounds():
     pages = [{"page": i, "leaf": p["leaf"], "count": len(p["at"]), "vectors": np.hstack([v[p["at"]], b.lift[p["at"], None].view(np.int64)]).tobytes(), "rows": p["at"].tobytes(), "ids": p["at"].tobytes(), "parent_distance": p["parent"].tobytes(), "radius": p["radius"].tobytes(), "child": p["child"].tobytes()} for i, p in enumerate(b.pages)]
     tree = mtree.Tree(pages)
     for q in range(0, 4000, 400):
-        ids, scores = tree.search(v[q], q, 5)
+        of, ids, scores = tree.search(v[q : q + 1], np.array([q]), 5, np.array([mtree.LEAST]))
         s = v @ v[q]
         s[q] = s.min() - 1
-        assert scores.tolist() == np.sort(s)[::-1][:5].tolist()
+        assert scores.tolist() == np.sort(s)[::-1][:5].tolist() and not of.any()
     assert tree.computed < 0.7 * 10 * 4000
 
 
+def test_top_k_skips_whole_trees(spark):
+    """Queries in well-parted cells go to few trees, and still get what brute force gets."""
+    r = np.random.default_rng(3)
+    centres = np.eye(12) * 30
+    rows = [(i, (centres[i % 12] + r.normal(size=12) * 0.2).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    sent = []
+    true = mtree._searched
+    mtree._searched = lambda pages, sought, k, block: (sent.append((sought.count(), pages.select("tree").distinct().count())), true(pages, sought, k, block))[1]
+    try:
+        got = mtree.top_k(df, F.col("vec_id") % 20 == 0, per_tree=100, page_size=16)
+        assert Counter((x.query_id, x["rank"], x.vec_id, x.score) for x in got.collect()) == reference_top(rows)
+    finally:
+        mtree._searched = true
+    (home, _), (others, trees) = sent
+    assert home == 60 and trees >= 12 and others < 0.5 * 60 * (trees - 1)
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(20 * i, [1e300 * (i % 2), float(i)]) for i in range(4)]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert len(got) == 12 and all(x.score >= 0 for x in got)
+
+
 def test_top_k_of_nothing(spark):
     assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
