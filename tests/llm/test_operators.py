@@ -815,3 +815,107 @@ def test_top_k_of_huge_components(spark):
 
 def test_top_k_of_nothing(spark):
     assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+# -- plain versions of substrings and quality
+
+
+def plain_chunks(raw: bytes, reach: int, longest: int):
+    """Starts and ends by the definition: an end is where the hash of the last 32 bytes is the smallest for ``reach`` bytes around."""
+    pad = bytes(substrings._PAD)
+    b = pad + raw + pad
+    gear = [int(x) for x in substrings._GEAR]
+    h = [sum(gear[b[i - j]] << j for j in range(32) if i >= j) & 0xFFFFFFFF for i in range(len(b))]
+    first = len(pad)
+    cuts = [i + 1 - first for i in range(first, first + len(raw)) if i + 1 < first + len(raw) and h[i] < min(h[i - reach : i]) and h[i] <= min(h[i + 1 : i + 1 + reach])]
+    out = []
+    for s, e in zip([0, *cuts], [*cuts, len(raw)]):
+        while e - s > longest:
+            out.append((s, s + longest))
+            s += longest
+        out.append((s, e))
+    return out if raw else []
+
+
+def plain_passages(rows, reach, longest, least_chunks=2, least_bytes=100):
+    docs = {}
+    for d, t in rows:
+        if t:
+            docs[d, t] = [(s, e, t.encode()[s:e]) for s, e in plain_chunks(t.encode(), reach, longest)]
+    order = lambda k: (k[0] is None, k[0] or 0, k[1])
+    holders = defaultdict(set)
+    for key, chunks in docs.items():
+        for _, _, c in chunks:
+            holders[c].add(key)
+    out = Counter()
+    for key, chunks in docs.items():
+        at = [i for i, (_, _, c) in enumerate(chunks) if len(holders[c]) > 1]
+        runs = []
+        for i in at:
+            if runs and runs[-1][-1] == i - 1:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        for run in runs:
+            if len(run) < least_chunks or chunks[run[-1]][1] - chunks[run[0]][0] < least_bytes:
+                continue
+            parts = [[run[0]]]
+            keeper = lambda i: min(holders[chunks[i][2]], key=order)
+            for i in run[1:]:
+                if keeper(i) == keeper(parts[-1][-1]):
+                    parts[-1].append(i)
+                else:
+                    parts.append([i])
+            for p in parts:
+                out[key[0], chunks[p[0]][0], chunks[p[-1]][1], len(p), keeper(p[0])[0], 0 if keeper(p[0]) == key else len(p)] += 1
+    return out
+
+
+def test_substrings_against_the_definition(spark, nothing):
+    """All passages of texts with shared, shifted, nested, periodic and copied parts, by plain loops."""
+    shared, nested = prose(50, 60, 900), prose(51, 25, 900)
+    texts = [prose(i, 40, 900) + " " + shared + " " + prose(100 + i, 30, 900) for i in range(4)]
+    texts += [texts[1], texts[1], "x" + shared[3:], nested + " " + shared + " " + nested, prose(7, 20, 900) + nested, "ab" * 900, "ab" * 900 + "end", "", None, "short", "short", "é漢 " * 80 + shared]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, shared + " tail"), (None, None)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, seq int, d1 int").repartition(3)
+    got = substrings.repeated_passages(df, longest=512)
+    # ids of equal rank are ordered by text hash there and by text here; no keeper here depends on that
+    assert Counter((r.doc_id, r.start, r.end, r.n_chunks, r.keeper, r.n_repeated) for r in got.collect()) == plain_passages(rows, 24, 512)
+    assert substrings.repeated_passages(nothing).count() == 0
+
+
+def plain_features(text):
+    raw = text.encode()
+    words, lines, n = raw.split(), raw.split(b"\n"), max(1, len(raw))
+    m = max(1, len(words))
+    letters = "".join(chr(b) for b in raw)
+    symbols = sum(33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:'\"()-?" for b in raw)
+    import zstandard
+
+    return [
+        np.log(1 + len(raw)), np.log(1 + len(words)), (len(raw) - len(words)) / m / 10, sum("A" <= c <= "Z" for c in letters) / n, sum("0" <= c <= "9" for c in letters) / n, symbols / n, len(set(words)) / m,
+        sum(words[i] == words[i - 1] for i in range(1, len(words))) / m, max((words.count(w) for w in words), default=0) / m, 1 - len(set(lines)) / len(lines), sum(len(w) < 4 for w in words) / m,
+        sum(33 <= w[-1] < 127 and not chr(w[-1]).isalnum() and chr(w[-1]) not in ".,;:'\"()-?" for w in words) / m, len(zstandard.ZstdCompressor(level=1).compress(raw)) / n, float(len(words) < 8),
+    ]
+
+
+def test_quality_features_and_weights_by_plain_versions():
+    import zstandard
+
+    texts = ["", "One two THREE 4!", "a a a\na a a\nb #x", prose(3, 200), "é漢 ok?", "x"]
+    for t in texts:
+        assert np.allclose(quality.features(t, zstandard.ZstdCompressor(level=1)), plain_features(t))
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, len(quality.FEATURES)))
+    y = (x @ r.normal(size=x.shape[1]) + r.normal(size=300) > 0).astype(int)
+    fitted = quality.fit(x, y, pairs=4000)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    rng = np.random.default_rng(7)
+    d = z[rng.choice(np.nonzero(y == 1)[0], 4000)] - z[rng.choice(np.nonzero(y == 0)[0], 4000)]
+    w = np.zeros(x.shape[1])
+    for _ in range(20_000):  # plain ascent of the Bradley-Terry likelihood of the same pairs
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / 4000 - 1e-3 * w)
+    assert np.allclose(fitted.weights, w, atol=1e-4)
+    s = z @ fitted.weights
+    right = lambda t: (s[y == 1] >= t).mean() + (s[y == 0] < t).mean()
+    assert right(fitted.threshold) >= max(map(right, s)) - 0.02
