@@ -66,11 +66,17 @@ class Tokens:
 
     def __call__(self, text: str) -> list[int]:
         latin = text.isascii() or max(text) <= "ɏ"
-        long_run = len(text) >= self.LONG and (self.SPACES.search(text) or max(map(len, text.split()), default=0) >= self.LONG)
+        long_run = len(text) >= self.LONG and self._long_run(text)
         if not latin or long_run or any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    def _long_run(self, text: str) -> bool:
+        sizes = [*map(len, text.split())]
+        # no run of spaces is longer than all spaces but one between each two words
+        spare = len(text) - sum(sizes) - len(sizes)
+        return max(sizes, default=0) >= self.LONG or spare >= self.LONG - 2 and self.SPACES.search(text) is not None
+
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_token: int) -> DataFrame:
     """One row per piece of each document: only a document's first piece may be shorter than ``capacity``."""
