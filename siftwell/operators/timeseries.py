@@ -171,11 +171,11 @@ def _stats(x: np.ndarray) -> list[float]:
     return [x.mean(), x.std(), np.sqrt((x * x).mean()), x.min(), x.max(), *np.percentile(x, [5, 25, 50, 75, 95])]
 
 
-def window_features(series: DataFrame, width: int = 300, stride: int = 150, rate: float = 30.0) -> DataFrame:
+def window_features(series: DataFrame, width: int = 300, stride: int = 150, rate: float = 30.0, single: bool = True) -> DataFrame:
     """clip, window_idx, f: 75 numbers a window, namely distribution and spectral statistics of four signals and three of context.
 
     Spark has no Fourier transform, so a clip's windows are worked out together
-    in one Arrow group; short clips are one window.
+    in one Arrow group; short clips are one window. Numbers are of single precision, or double where ``single`` is unset.
     """
 
     def of(window: np.ndarray) -> list[float]:
@@ -190,9 +190,9 @@ def window_features(series: DataFrame, width: int = 300, stride: int = 150, rate
         x = np.nan_to_num(pdf.sort_values("idx")[CHANNELS].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0)
         last = max(len(x) - width, 0)
         starts = sorted({*range(0, last + 1, stride), last})
-        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "window_idx": range(len(starts)), "f": [np.float32(of(x[s : s + width])).tolist() for s in starts]})
+        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "window_idx": range(len(starts)), "f": [np.array(of(x[s : s + width]), np.float32 if single else np.float64).tolist() for s in starts]})
 
-    return series.select("clip", "idx", *CHANNELS).groupBy("clip").applyInPandas(each, f"clip {series.schema['clip'].dataType.simpleString()}, window_idx int, f array<float>")
+    return series.select("clip", "idx", *CHANNELS).groupBy("clip").applyInPandas(each, f"clip {series.schema['clip'].dataType.simpleString()}, window_idx int, f array<{'float' if single else 'double'}>")
 
 
 def periodicity(series: DataFrame, value: str, rate: float = 30.0) -> DataFrame:

@@ -20,8 +20,18 @@ POLICIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "random_valid": lambda c: ranking.random_order(c, "random", by=["batch"]),
     "quality_stratified_random": lambda c: ranking.stratified_random_order(c, "stratified", 50, ["batch"]),
     "kcenter_quality_gated": lambda c: greedy.k_center(c),
+    "kcenter_benchmark": lambda c: greedy.k_center(c, last_id=True),
+    "kcenter_euclidean": lambda c: greedy.k_center(c, "euclidean"),
+    "old_novelty_quality_gated": lambda c: ranking.gated_order(c, F.col("eligible"), ["batch"]),
+    "quality_then_novelty": lambda c: ranking.quality_novelty_order(c, ["batch"]),
+    "source_capped_novelty": lambda c: ranking.capped_order(ranking.gated_order(c, F.col("eligible"), ["batch"]), "cluster", 2, F.col("passed"), ["batch"]),
+    "artifact_gated_novelty": lambda c: ranking.passed_first(ranking.gated_order(c, F.col("eligible"), ["batch"]), F.col("artifact") <= 0.05, ["batch"]),
+    "score": lambda c: ranking.score_order(c, ["batch"]),
     "mmr": lambda c: greedy.mmr(c),
+    "cluster_aware": lambda c: greedy.cluster_capped(c, []),
     "cluster_cap": lambda c: greedy.cluster_capped(c, [(100, 2)]),
+    "tiered_cluster_cap": lambda c: greedy.cluster_capped(c, [(25, 1), (100, 2)]),
+    "learned_score_kcenter": lambda c: greedy.learned_k_center(c, 100, "score"),
 }
 
 

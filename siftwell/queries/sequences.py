@@ -65,7 +65,9 @@ def trace_verdicts(spark, sf_dir):
 
 
 def window_features(spark, sf_dir):
-    return timeseries.window_features(series(spark, sf_dir))
+    """Every number of the windows' features, a row each."""
+    f = timeseries.window_features(series(spark, sf_dir), single=False)
+    return rounded(f.select("clip", "window_idx", F.posexplode("f").alias("dim", "x")), 4)
 
 
 def periodicity(spark, sf_dir):

@@ -10,7 +10,7 @@ from ..operators.timeseries import CHANNELS, DERIVED
 from .base import CLIPS, SERIES, TOKENS, clips, rounded, series, table, tokens
 from .evaluation import _DRAWN, _FACTS, _RANKED, _facts, _ranked
 from .greedy_sql import recursion
-from .sequences import _ACC, _AVG30, _DIMS, _STEPS, _quality
+from .sequences import _ACC, _AVG30, _DIMS, _GYRO, _STEPS, _WINDOWS, _quality
 from .sequences import ORACLES as _SEQUENCES
 
 
@@ -123,6 +123,22 @@ n AS (SELECT episode_id, b, {_far('ASC')} AS near, {_far('DESC')} AS far FROM d
 SELECT episode_id, b AS "group", CASE WHEN near <= 6 THEN 'candidate' ELSE 'support' END AS role, 'near' AS kind FROM n UNION ALL SELECT episode_id, b, CASE WHEN near <= 3 OR far <= 3 THEN 'candidate' ELSE 'support' END, 'mixed' FROM n
 UNION ALL SELECT episode_id, target, 'target', kind FROM t, (VALUES ('near'), ('mixed')) k(kind)"""
 
+def _features() -> str:
+    """Distribution and spectrum of four signals of each window, by sums of sines and cosines, and its context."""
+    jerk = lambda a: f"sqrt(pow({a}_x - lag({a}_x) OVER o, 2) + pow({a}_y - lag({a}_y) OVER o, 2) + pow({a}_z - lag({a}_z) OVER o, 2)) * 30"
+    shape = ["avg(x)", "stddev_pop(x)", "sqrt(avg(x * x))", "min(x)", "max(x)", *[f"quantile_cont(x, {p})" for p in (0.05, 0.25, 0.5, 0.75, 0.95)]]
+    bands = ["total / n", "top", "share", "entropy", "centre", "spread", "low", "1 - low"]
+    lean = lambda a: "greatest({0}) / (list_aggregate([{0}], 'median') + 1e-6)".format(", ".join(f"stddev_pop({a}_{c})" for c in "xyz"))
+    return f"""WITH {SERIES}, {_WINDOWS.format(source='series', w=300, s=150)}, w AS MATERIALIZED (SELECT *, {_ACC} AS s0, {_GYRO} AS s1, {jerk('acc')} AS s2, {jerk('gyro')} AS s3, row_number() OVER o - 1 AS i FROM win WINDOW o AS (PARTITION BY clip, window_idx ORDER BY idx)),
+sig AS MATERIALIZED (SELECT clip, window_idx, s, i - (s // 2) AS i, x FROM (SELECT clip, window_idx, i, unnest([0, 1, 2, 3]) AS s, unnest([s0, s1, s2, s3]) AS x FROM w) WHERE x IS NOT NULL),
+c AS MATERIALIZED (SELECT *, x - avg(x) OVER g AS y, count(*) OVER g AS n FROM sig WINDOW g AS (PARTITION BY clip, window_idx, s)),
+f AS MATERIALIZED (SELECT clip, window_idx, s, k, any_value(n) AS n, k * 30.0 / any_value(n) AS f, pow(sum(y * cos(2 * pi() * ((k * i) % n) / n)), 2) + pow(sum(y * sin(2 * pi() * ((k * i) % n) / n)), 2) AS p FROM c, range(1, 151) t(k) WHERE k <= n // 2 GROUP BY clip, window_idx, s, k),
+p AS (SELECT *, sum(p) OVER g AS total, p / sum(p) OVER g AS q, count(*) OVER g AS m FROM f WINDOW g AS (PARTITION BY clip, window_idx, s)), q AS (SELECT *, sum(f * q) OVER (PARTITION BY clip, window_idx, s) AS centre FROM p),
+b AS (SELECT clip, window_idx, s, any_value(total) AS total, any_value(n) AS n, arg_max(f, q) AS top, max(q) AS share, -sum(q * ln(q + 1e-12)) / ln(any_value(m) + 1e-12) AS entropy, any_value(centre) AS centre, sqrt(sum(pow(f - centre, 2) * q)) AS spread, coalesce(sum(q) FILTER (f < 1), 0) AS low FROM q GROUP BY clip, window_idx, s),
+x AS (SELECT clip, window_idx, s * 18 + unnest(range(0, 10)) AS dim, unnest([{', '.join(shape)}]) AS x FROM sig GROUP BY clip, window_idx, s UNION ALL SELECT clip, window_idx, s * 18 + 10 + unnest(range(0, 8)), unnest(CASE WHEN total > 1e-12 THEN [{', '.join(bands)}] ELSE [0, 0, 0, 0, 0, 0, 0, 0] END) FROM b
+UNION ALL SELECT clip, window_idx, 72 + unnest(range(0, 3)), unnest([avg((abs(s0 - md) < 0.05 AND s1 < 0.02)::INT), {lean('acc')}, {lean('gyro')}]) FROM (SELECT *, median(s0) OVER (PARTITION BY clip, window_idx) AS md FROM w) GROUP BY clip, window_idx) SELECT clip, window_idx, dim, round(x, 4) AS x FROM x"""
+
+
 #: Lags of a centred signal from 0.35 to 3 seconds at 30 samples a second.
 _PERIOD = f"""WITH {SERIES}, n AS (SELECT clip, idx, {_ACC} AS x FROM series), c AS (SELECT clip, idx, x - avg(x) OVER (PARTITION BY clip) AS x, count(*) OVER (PARTITION BY clip) AS n FROM n),
 e AS (SELECT clip, sum(x * x) AS e, any_value(n) AS n FROM c GROUP BY clip), l AS (SELECT a.clip, k, sum(a.x * b.x) AS s FROM c a CROSS JOIN range(10, 91) t(k) JOIN c b ON b.clip = a.clip AND b.idx = a.idx + k WHERE k <= a.n - 1 GROUP BY a.clip, k),
@@ -182,6 +198,7 @@ SELECT x, round(max(c + w * (x - m) / s) FILTER (k = 0), 4) AS score_0, round(ma
 f AS (SELECT clip, list_filter([{', '.join(f"CASE WHEN {on} THEN '{name}' END" for name, on in _FLAGS)}], lambda x: x IS NOT NULL) AS f FROM quality JOIN st2 USING (clip))
 SELECT clip, CASE WHEN len(f) = 0 THEN 'clean_motion' ELSE array_to_string(f, ',') END AS flags, CASE WHEN list_has_any(f, ['low_quality_score', 'physical_abs_value_outlier', 'spiky_or_extreme', 'flatline_or_missing', 'axis_imbalance', 'timestamp_irregularity']) THEN 'likely_artifact' WHEN list_has_any(f, ['mostly_stationary', 'low_motion_energy']) THEN 'mostly_stationary' ELSE 'plausible_motion' END AS verdict FROM f""",
     "periodicity": _PERIOD,
+    "window_features": _features(),
     "encoded_phrases": _ENCODED,
     "coverage_benchmark": _BENCHMARK,
     "difficulty_episodes": _EPISODES,
