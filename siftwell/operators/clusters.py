@@ -118,10 +118,35 @@ def _lloyd(x: np.ndarray, k: int, steps: int) -> np.ndarray:
     return labels
 
 
-def split_large(rows: DataFrame, most: int = 300, target: int = 75, steps: int = 16) -> DataFrame:
+def _rebalanced(x: np.ndarray, labels: np.ndarray, most: int) -> np.ndarray:
+    """Labels after members of clusters above ``most`` have moved, the farthest from their centre first, each to the nearest centre of a cluster with room; centres stay for a pass."""
+    labels, kinds = labels.copy(), np.unique(labels)
+    while True:
+        size = {int(c): int((labels == c).sum()) for c in kinds}
+        room = {c for c, n in size.items() if n < most}
+        centre = {c: x[labels == c].mean(0) for c, n in size.items() if n}
+        moved = False
+        for source in [c for c, n in size.items() if n > most]:
+            own = np.nonzero(labels == source)[0]
+            for i in own[np.argsort(-((x[own] - centre[source]) ** 2).sum(1), kind="stable")].tolist():
+                open_ = sorted(c for c in room if c != source and c in centre)
+                if not open_ or size[source] <= most:
+                    break
+                to = min(open_, key=lambda c: (float(((x[i] - centre[c]) ** 2).sum()), c))
+                labels[i], moved = to, True
+                size[source], size[to] = size[source] - 1, size[to] + 1
+                if size[to] >= most:
+                    room.discard(to)
+        if not moved:
+            return labels
+
+
+def split_large(rows: DataFrame, most: int = 300, target: int = 75, steps: int = 16, child_most: int | None = None, score: str | None = None) -> DataFrame:
     """``child``: cluster members numbered 0.. within clusters of more than ``most``, which are parted into ceil(n / target) by k-means; 0 elsewhere.
 
-    Rows are ``(id, cluster, v)``; a group holds one cluster, whose size the caller bounds by its threshold.
+    With ``child_most`` parts above that size give members to parts with room; with ``score``, a column, parts are
+    numbered by their best member's score, then by their smallest id. Rows are ``(id, cluster, v)``; a group
+    holds one cluster, whose size the caller bounds by its threshold.
     """
     sized = rows.withColumn("__n", F.count("*").over(Window.partitionBy("cluster")))
 
@@ -129,9 +154,16 @@ def split_large(rows: DataFrame, most: int = 300, target: int = 75, steps: int =
         pdf = pdf.sort_values("id")
         x = np.array(pdf["v"].tolist(), float)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["cluster"], "child": _lloyd(x, min(len(x), -(-len(x) // target)), steps)})
-
-    large = sized.filter(F.col("__n") > most).select("id", "cluster", "v").groupBy("cluster").applyInPandas(each, "id long, cluster long, child long")
+        child = _lloyd(x, min(len(x), -(-len(x) // target)), steps)
+        if child_most is not None:
+            child = _rebalanced(x, child, child_most)
+        if score is not None:
+            best, ids = pdf["__s"].to_numpy(float), pdf["id"].to_numpy()
+            order = sorted(np.unique(child).tolist(), key=lambda c: (-best[child == c].max(), ids[child == c].min()))
+            child = np.array([order.index(c) for c in child.tolist()])
+        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["cluster"], "child": child})
+
+    large = sized.filter(F.col("__n") > most).select("id", "cluster", "v", (F.col(score) if score else F.lit(0.0)).cast("double").alias("__s")).groupBy("cluster").applyInPandas(each, "id long, cluster long, child long")
     return sized.filter(F.col("__n") <= most).select(F.col("id").cast("long").alias("id"), F.col("cluster").cast("long").alias("cluster"), F.lit(0).cast("long").alias("child")).unionByName(large)
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeseries import CHANNELS
+from .timeseries import CHANNELS, DERIVED, preprocess
 
 
 def _by_dimension(windows: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def autocorrelation(series: DataFrame, lags: tuple[int, ...] = (1, 3, 10)) -> Da
 
 
 def raw_shape(series: DataFrame, rate: float = 30.0) -> DataFrame:
-    """clip, v: 168 numbers of a clip's raw channels; levels, steps, shares of power in four bands, autocorrelations and axis shares of energy."""
+    """clip, v: 120 numbers of a clip's raw channels; levels, steps, shares of power in four bands, autocorrelations and axis shares of energy."""
 
     def of(x: np.ndarray) -> np.ndarray:
         d = np.diff(x, axis=0) if len(x) > 1 else np.zeros((1, x.shape[1]))
@@ -106,6 +106,29 @@ def multiscale_summary(series: DataFrame, chunks: int = 5) -> DataFrame:
     return x.groupBy("clip", "chunk", "dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.avg("step").alias("mean_step"))
 
 
+def handcrafted(series: DataFrame, rate: float = 30.0, size: int = 512) -> DataFrame:
+    """clip, v: the twelve normalised channels' mean, deviation, percentiles 10, 50, 90 and spectral entropy, over the whole clip and each quarter, filled with zeros to ``size`` or cut there.
+
+    Quarters are equal, the first ones one sample longer; clips under four samples have no quarters.
+    """
+    channels = CHANNELS + DERIVED
+
+    def entropy(x: np.ndarray) -> np.ndarray:
+        if len(x) < 4:
+            return np.zeros(x.shape[1])
+        power = np.abs(np.fft.rfft(x - x.mean(0), axis=0)) ** 2
+        p = power / (power.sum(0) + 1e-12)
+        return -(p * np.log(p + 1e-12)).sum(0) / np.log(len(p))
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("idx")[channels].to_numpy(float)
+        parts = [x, *(np.array_split(x, 4) if len(x) >= 4 else [])]
+        v = np.nan_to_num(np.concatenate([s for p in parts for s in (p.mean(0), p.std(0), *np.percentile(p, [10, 50, 90], axis=0), entropy(p))]))[:size]
+        return pd.DataFrame({"clip": [pdf["clip"].iloc[0]], "v": [np.pad(v, (0, size - len(v))).tolist()]})
+
+    return preprocess(series, rate).groupBy("clip").applyInPandas(each, f"clip {series.schema['clip'].dataType.simpleString()}, v array<double>")
+
+
 def token_histogram(tokens: DataFrame, vocabulary: int = 512) -> DataFrame:
     """seq, v: shares of the ``vocabulary`` commonest tokens (ties by token) in each sequence of ``tokens(seq, pos, token)``, commonest first."""
     top = tokens.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(vocabulary)

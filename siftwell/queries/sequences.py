@@ -100,7 +100,8 @@ def autocorrelations(spark, sf_dir):
 
 
 def raw_shape(spark, sf_dir):
-    return representations.raw_shape(series(spark, sf_dir))
+    """Every number of the raw shape, a row each."""
+    return rounded(representations.raw_shape(series(spark, sf_dir)).select("clip", F.posexplode("v").alias("dim", "x")))
 
 
 def multiscale_summary(spark, sf_dir):

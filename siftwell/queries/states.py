@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import stable_random
-from ..operators import audits, clusters, learning, metrics, ranking, scores, timeseries, tokens as tk
+from ..operators import audits, clusters, learning, metrics, ranking, representations, scores, timeseries, tokens as tk
 from ..operators.timeseries import CHANNELS, DERIVED
 from .base import CLIPS, SERIES, TOKENS, clips, rounded, series, table, tokens
 from .evaluation import _DRAWN, _FACTS, _RANKED, _facts, _ranked
@@ -24,6 +24,12 @@ def shard_normalised(spark, sf_dir):
     return rounded(s.groupBy("clip").agg(*[F.sum(F.abs(c)).alias(c) for c in CHANNELS]), 4)
 
 
+def handcrafted_encoding(spark, sf_dir):
+    """Every number of the encoding of the first forty clips, a row each; 360 of 512 are filled."""
+    v = representations.handcrafted(series(spark, sf_dir).filter("clip <= 40"))
+    return rounded(v.select("clip", F.posexplode("v").alias("dim", "x")), 4)
+
+
 def blended_distances(spark, sf_dir):
     c = clips(spark, sf_dir)
     return rounded(c.select("id", "group_id", scores.blended_distance("quality", "stationary", 0.3, ["group_id"]).alias("score")))
@@ -78,7 +84,7 @@ def ridge_classes(spark, sf_dir):
     return rounded(out.select("x", *[m.score().alias(f"score_{k}") for k, m in sorted(models.items())]), 4)
 
 
-_ALL = (preprocessed, shard_normalised, blended_distances, episode_splits, source_families, rank_shifts, source_concentration, pairing_audit, replay_percentiles, gate_verdict, duplicate_fractions, ridge_classes)
+_ALL = (preprocessed, handcrafted_encoding, shard_normalised, blended_distances, episode_splits, source_families, rank_shifts, source_concentration, pairing_audit, replay_percentiles, gate_verdict, duplicate_fractions, ridge_classes)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _H = "('0x' || substr(sha256({}), 1, 12))::BIGINT"
@@ -123,6 +129,35 @@ n AS (SELECT episode_id, b, {_far('ASC')} AS near, {_far('DESC')} AS far FROM d
 SELECT episode_id, b AS "group", CASE WHEN near <= 6 THEN 'candidate' ELSE 'support' END AS role, 'near' AS kind FROM n UNION ALL SELECT episode_id, b, CASE WHEN near <= 3 OR far <= 3 THEN 'candidate' ELSE 'support' END, 'mixed' FROM n
 UNION ALL SELECT episode_id, target, 'target', kind FROM t, (VALUES ('near'), ('mixed')) k(kind)"""
 
+_POWER = "pow(sum(y * cos(2 * pi() * ((k * i) % n) / n)), 2) + pow(sum(y * sin(2 * pi() * ((k * i) % n) / n)), 2)"
+
+
+def _raw_shape() -> str:
+    """Levels, steps, shares of power in bands, autocorrelations and axis shares, six channels each."""
+    level = ["avg(x)", "stddev_pop(x)", "min(x)", "max(x)", "quantile_cont(x, 0.25)", "quantile_cont(x, 0.75)", "avg(x * x)", "avg(abs(d))", "stddev_pop(d)", "max(abs(d))", "quantile_cont(abs(d), 0.95)", "avg(d * d)"]
+    bands = [(0, 0.5), (0.5, 2), (2, 5), (5, 15.000001)]
+    parts = [f"SELECT clip, {6 * j} + c AS dim, {e} AS x FROM d GROUP BY clip, c" for j, e in enumerate(level)]
+    parts += [f"SELECT clip, {72 + 6 * j} + c, coalesce(sum(p) FILTER (f >= {a} AND f < {b}), 0) / (sum(p) + 1e-12) FROM f GROUP BY clip, c" for j, (a, b) in enumerate(bands)]
+    parts += [f"SELECT clip, {96 + 6 * j} + c, coalesce(sum(y * l{k}), 0) / (sum(y * y) + 1e-12) FROM l GROUP BY clip, c" for j, k in enumerate((1, 3, 10))]
+    parts.append("SELECT clip, 114 + c, e / sum(e) OVER (PARTITION BY clip, c // 3) FROM (SELECT clip, c, avg(x * x) AS e FROM d GROUP BY clip, c)")
+    return f"""WITH {SERIES}, x AS (SELECT clip, idx AS i, unnest([0, 1, 2, 3, 4, 5]) AS c, unnest([{', '.join(CHANNELS)}]) AS x FROM series), d AS MATERIALIZED (SELECT *, x - lag(x) OVER (PARTITION BY clip, c ORDER BY i) AS d, x - avg(x) OVER (PARTITION BY clip, c) AS y, count(*) OVER (PARTITION BY clip, c) AS n FROM x),
+f AS MATERIALIZED (SELECT clip, c, k, k * (1.0::DOUBLE / (any_value(n) * (1.0::DOUBLE / 30))) AS f, {_POWER} AS p FROM d, range(0, 400) t(k) WHERE k <= n // 2 GROUP BY clip, c, k), l AS MATERIALIZED (SELECT clip, c, y, {', '.join(f'lag(y, {k}) OVER (PARTITION BY clip, c ORDER BY i) AS l{k}' for k in (1, 3, 10))} FROM d)
+SELECT clip, dim, round(x, 6) AS x FROM ({' UNION ALL '.join(parts)})"""
+
+
+def _encoded() -> str:
+    """The twelve channels over a clip and its quarters: six statistics of each part, channel by channel, and zeros up to 512."""
+    channels = CHANNELS + DERIVED
+    stats = ["avg(x)", "stddev_pop(x)", *[f"quantile_cont(x, {p})" for p in (0.1, 0.5, 0.9)]]
+    values = ", ".join(f"({c} - q_{c}[2]) / greatest(q_{c}[3] - q_{c}[1], 1e-6)" for c in channels)
+    return f"""WITH {SERIES.replace('FROM lineitem', 'FROM lineitem WHERE l_suppkey <= 40')}, {_INV}, q AS (SELECT clip, {', '.join(f'quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}' for c in channels)} FROM all12 GROUP BY clip),
+x AS (SELECT clip, idx, unnest(range(0, 12)) AS c, unnest([{values}]) AS x FROM all12 JOIN q USING (clip)), h AS (SELECT *, ntile(4) OVER (PARTITION BY clip, c ORDER BY idx) AS part FROM x),
+s AS (SELECT clip, idx, c, x, 0 AS part FROM x UNION ALL SELECT clip, idx, c, x, part FROM h), y AS MATERIALIZED (SELECT *, x - avg(x) OVER g AS y, count(*) OVER g AS n, row_number() OVER (PARTITION BY clip, c, part ORDER BY idx) - 1 AS i FROM s WINDOW g AS (PARTITION BY clip, c, part)),
+f AS MATERIALIZED (SELECT clip, c, part, k, {_POWER} AS p FROM y, range(0, 400) t(k) WHERE k <= n // 2 GROUP BY clip, c, part, k), e AS (SELECT clip, c, part, p / (sum(p) OVER g + 1e-12) AS p, count(*) OVER g AS m FROM f WINDOW g AS (PARTITION BY clip, c, part)),
+v AS ({' UNION ALL '.join(f'SELECT clip, part * 72 + {12 * j} + c AS dim, {e} AS x FROM y GROUP BY clip, c, part' for j, e in enumerate(stats))} UNION ALL SELECT clip, part * 72 + 60 + c, -sum(p * ln(p + 1e-12)) / ln(any_value(m)) FROM e GROUP BY clip, c, part)
+SELECT clip, dim, round(x, 4) AS x FROM v UNION ALL SELECT DISTINCT clip, dim, 0 FROM series, range(360, 512) t(dim)"""
+
+
 def _features() -> str:
     """Distribution and spectrum of four signals of each window, by sums of sines and cosines, and its context."""
     jerk = lambda a: f"sqrt(pow({a}_x - lag({a}_x) OVER o, 2) + pow({a}_y - lag({a}_y) OVER o, 2) + pow({a}_z - lag({a}_z) OVER o, 2)) * 30"
@@ -199,6 +234,8 @@ f AS (SELECT clip, list_filter([{', '.join(f"CASE WHEN {on} THEN '{name}' END" f
 SELECT clip, CASE WHEN len(f) = 0 THEN 'clean_motion' ELSE array_to_string(f, ',') END AS flags, CASE WHEN list_has_any(f, ['low_quality_score', 'physical_abs_value_outlier', 'spiky_or_extreme', 'flatline_or_missing', 'axis_imbalance', 'timestamp_irregularity']) THEN 'likely_artifact' WHEN list_has_any(f, ['mostly_stationary', 'low_motion_energy']) THEN 'mostly_stationary' ELSE 'plausible_motion' END AS verdict FROM f""",
     "periodicity": _PERIOD,
     "window_features": _features(),
+    "raw_shape": _raw_shape(),
+    "handcrafted_encoding": _encoded(),
     "encoded_phrases": _ENCODED,
     "coverage_benchmark": _BENCHMARK,
     "difficulty_episodes": _EPISODES,
