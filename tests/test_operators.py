@@ -204,3 +204,50 @@ def test_scores_fall_for_lone_still_clips(spark):
     rows = spark.createDataFrame([(1, 0.9, 1.0, 0.0, 0.95), (2, 0.9, 0.2, 1.0, 0.1)], "id long, quality double, novelty double, density double, stationary double")
     got = {r.id: r for r in scores.stationary_guard(scores.scored(rows)).collect()}
     assert got[1].guarded and got[1].final_score < got[1].unguarded_score and not got[2].guarded
+
+
+def test_split_clusters_are_rebalanced_and_numbered(spark):
+    """Parts of at most eight where there is room, numbered by their best member; nothing is lost."""
+    r = np.random.default_rng(6)
+    rows = [(i, i % 2, (r.normal(size=3) + (5 if i % 9 == 0 else 0)).tolist(), float(r.random())) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, cluster long, v array<double>, s double")
+    got = {x.id: (x.cluster, x.child) for x in clusters.split_large(df, 20, 8, child_most=8, score="s").collect()}
+    assert set(got) == set(range(90)) and all(got[i][0] == i % 2 for i in got)
+    for c in (0, 1):
+        parts = {k: [i for i in got if got[i] == (c, k)] for k in {got[i][1] for i in got if got[i][0] == c}}
+        assert sorted(parts) == list(range(len(parts))) and max(map(len, parts.values())) <= 8
+        best = [max(rows[i][3] for i in parts[k]) for k in sorted(parts)]
+        assert best == sorted(best, reverse=True)
+
+
+def test_ridge_keeps_its_digits_far_from_zero(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=400)
+    df = spark.createDataFrame([(float(1e8 + a), float(3 * a + 7)) for a in x], "x double, y double")
+    model = learning.fit_ridge(df, ["x"], "y", 1e-6)
+    assert abs(model.weights[0] / model.scale[0] - 3) < 1e-4 and abs(model.bias - (3 * x.mean() + 7)) < 1e-4
+
+
+def test_late_events_are_left_out(spark, tmp_path):
+    """A day that the watermark has passed takes no more events."""
+    from siftwell.streaming.gate import gate_counts
+
+    source = tmp_path / "in"
+    schema = "ts timestamp, event_type string, value double"
+
+    def put(name, rows):
+        spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) as ts", "event_type", "value").coalesce(1).write.mode("append").parquet(str(source))
+
+    put("a", [("2024-01-01 10:00:00", "x", 1.0), ("2024-01-10 10:00:00", "x", 99.0)])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = gate_counts(stream).writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        query.processAllAvailable()
+        put("b", [("2024-01-01 11:00:00", "x", 1.0), ("2024-01-20 10:00:00", "x", 1.0)])
+        query.processAllAvailable()
+        put("c", [("2024-01-30 10:00:00", "x", 1.0)])
+        query.processAllAvailable()
+        got = {str(r.day)[:10]: (r.n, r.passed) for r in spark.table("late").collect()}
+    finally:
+        query.stop()
+    assert got["2024-01-01"] == (1, 1) and got["2024-01-10"] == (1, 0)
