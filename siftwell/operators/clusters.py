@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import dot, unit
 from ..storage import materialise
 from .neighbors import PAIRS, _packed
+from .ranking import numbered
 
 
 def _forest(similar: np.ndarray) -> list[tuple[int, int]]:
@@ -72,8 +73,8 @@ def _propagated(pairs: DataFrame) -> DataFrame:
 def components(rows: DataFrame, threshold: float) -> DataFrame:
     """id, cluster, cluster_size of ``rows(id, v)``: components of similarity, numbered from 0 by their least id."""
     roots = rows.select("id").join(_propagated(similar_pairs(rows, threshold)), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    # the numbers are a dense rank over roots only, one row each
-    heads = roots.groupBy("root").agg(F.count("*").alias("cluster_size")).withColumn("cluster", F.dense_rank().over(Window.orderBy("root")) - 1)
+    # roots are numbered, one row each
+    heads = numbered(roots.groupBy("root").agg(F.count("*").alias("cluster_size")), F.asc("root"), name="cluster").withColumn("cluster", F.col("cluster") - 1)
     return roots.join(heads, "root").select("id", "cluster", "cluster_size")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import stable_random
+from .ranking import numbered
 
 _TIE = 1e-12
 
@@ -116,7 +117,7 @@ def consensus(rankings: DataFrame) -> DataFrame:
     out = each.groupBy("id").agg(
         F.avg("rank").alias("mean_rank"), F.sum("points").alias("borda"), F.stddev_pop("rank").alias("rank_std"), F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank"), F.avg("score").alias("mean_score"), F.count("*").alias("runs"),
     )
-    return out.withColumn("consensus_rank", F.row_number().over(Window.orderBy("mean_rank", F.desc("borda"), F.desc("mean_score"), "id")))
+    return numbered(out, F.asc("mean_rank"), F.desc("borda"), F.desc("mean_score"), F.asc("id"), name="consensus_rank")
 
 
 def selection_summary(rows: DataFrame, by: list[str], ks: list[int]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import stable_random
+from ..storage import materialise
 
 
 def passes(quality: float | None = None, stationary: float | None = None, max_abs: float | None = None, artifact: float | None = None) -> Column:
@@ -24,8 +25,28 @@ def failing(checks: dict[str, Column]) -> Column:
 
 
 def ranked(rows: DataFrame, *order: Column, by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """``rows`` with their place from 1 in an order, within the groups of ``by``."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
+    """``rows`` with their place from 1 in an order, within the groups of ``by``, or of all rows without passing them through one task."""
+    if not by:
+        return numbered(rows, *order, name=name)
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def numbered(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """``rows`` with their place from 1 in an order of all rows.
+
+    A sort by ranges is written with each row's place in its part; the parts' sizes, a number
+    for each part, give what comes before a part.
+    """
+    placed = materialise(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    before, offsets = 0, []
+    for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["n"]
+    spark = rows.sparkSession
+    starts = F.broadcast(spark.createDataFrame(offsets, "__part long, __before long"))
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(starts, part == F.col("__part")).withColumn(name, place.cast("int")).drop("__at", "__part", "__before")
 
 
 def quality_order(rows: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -10,16 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip01, minmax, when_any
+from ..functions.numeric import clip01, finite, minmax, scaled, when_any
+from ..storage import materialise
 
 #: The reasons' names and thresholds.
 LOW_QUALITY = 0.45
 COHESIVE, RARE_TEMPORAL, SINGLETON, REDUNDANT, PRIMITIVES = "COHESIVE_NEW_WORKFLOW", "RARE_TEMPORAL_COMPOSITION", "HIGH_NOVELTY_SINGLETON", "REDUNDANT_KNOWN_WORKFLOW", "RARE_MOTION_PRIMITIVES"
 
 
+def with_scaled(rows: DataFrame, columns: dict[str, str], by: list[str] | None = None, constant: str = "zero") -> DataFrame:
+    """``rows`` with columns scaled to 0..1 within the groups of ``by``; over all rows the bounds come from an aggregation, one row that every task gets."""
+    if by:
+        return rows.withColumns({new: minmax(F.col(old), by, constant) for new, old in columns.items()})
+    rows = materialise(rows, "unscaled")
+    bounds = rows.agg(*[f(finite(F.col(old))).alias(f"__{k}_{old}") for old in dict.fromkeys(columns.values()) for k, f in (("low", F.min), ("high", F.max))])
+    out = rows.join(F.broadcast(bounds), F.lit(True))
+    out = out.withColumns({new: scaled(F.col(old), F.col(f"__low_{old}"), F.col(f"__high_{old}"), constant) for new, old in columns.items()})
+    return out.drop(*bounds.columns)
+
+
 def scored(rows: DataFrame, novelty_weight: float = 0.75, by: list[str] | None = None) -> DataFrame:
     """novelty_score and density_score (scaled), ranker_score (their blend) and final_score (that times quality)."""
-    out = rows.withColumn("novelty_score", minmax(F.col("novelty"), by)).withColumn("density_score", minmax(F.col("density"), by))
+    out = with_scaled(rows, {"novelty_score": "novelty", "density_score": "density"}, by)
     out = out.withColumn("ranker_score", novelty_weight * F.col("novelty_score") + (1 - novelty_weight) * F.col("density_score"))
     return out.withColumn("final_score", F.col("quality") * F.col("ranker_score"))
 

@@ -9,6 +9,7 @@ from ..operators import audits, clusters, learning, metrics, ranking, representa
 from ..operators.timeseries import CHANNELS, DERIVED
 from .base import CLIPS, SERIES, TOKENS, clips, rounded, series, table, tokens
 from .evaluation import _DRAWN, _FACTS, _RANKED, _facts, _ranked
+from .evaluation import ORACLES as _EVALUATION
 from .greedy_sql import recursion
 from .sequences import _ACC, _AVG30, _DIMS, _GYRO, _STEPS, _WINDOWS, _quality
 from .sequences import ORACLES as _SEQUENCES
@@ -30,6 +31,13 @@ def handcrafted_encoding(spark, sf_dir):
     return rounded(v.select("clip", F.posexplode("v").alias("dim", "x")), 4)
 
 
+def short_forecast(spark, sf_dir):
+    """Two values before tell the next: a ridge of two features has a closed form."""
+    e = learning.forecast_examples(series(spark, sf_dir), "acc_y", 3, 64)
+    mse = learning.forecast_mse(e.filter("clip % 2 = 0"), e.filter("clip % 2 = 1"), 2, 5.0)
+    return spark.createDataFrame([(round(mse, 4),)], "mse double")
+
+
 def blended_distances(spark, sf_dir):
     c = clips(spark, sf_dir)
     return rounded(c.select("id", "group_id", scores.blended_distance("quality", "stationary", 0.3, ["group_id"]).alias("score")))
@@ -84,7 +92,7 @@ def ridge_classes(spark, sf_dir):
     return rounded(out.select("x", *[m.score().alias(f"score_{k}") for k, m in sorted(models.items())]), 4)
 
 
-_ALL = (preprocessed, handcrafted_encoding, shard_normalised, blended_distances, episode_splits, source_families, rank_shifts, source_concentration, pairing_audit, replay_percentiles, gate_verdict, duplicate_fractions, ridge_classes)
+_ALL = (preprocessed, handcrafted_encoding, short_forecast, shard_normalised, blended_distances, episode_splits, source_families, rank_shifts, source_concentration, pairing_audit, replay_percentiles, gate_verdict, duplicate_fractions, ridge_classes)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _H = "('0x' || substr(sha256({}), 1, 12))::BIGINT"
@@ -211,7 +219,12 @@ ch AS (SELECT batch, policy, budget, id FROM ord, (VALUES (5), (10)) b(budget) W
 tg AS (SELECT ch.batch, policy, budget, t.id, any_value(gap.gap) AS old, least(any_value(gap.gap), min(1 - list_cosine_similarity(t.v, c.v))) AS new FROM ch JOIN cand c USING (batch, id) JOIN pl t ON t.batch = ch.batch AND t.part = 'target' JOIN gap ON gap.batch = t.batch AND gap.id = t.id GROUP BY ch.batch, policy, budget, t.id)
 SELECT batch AS episode_id, policy, budget, any_value(n)::INT AS n_selected, any_value(n) < budget AS underfilled, round(avg(old), 6) AS mean_before, round(avg(new), 6) AS mean_after, round(avg(greatest((old - new) / greatest(old, 1e-12), 0)), 6) AS relative_gain FROM tg JOIN n USING (batch, policy, budget) GROUP BY batch, policy, budget"""
 
+_FORECAST = f"""WITH e AS ({_EVALUATION['forecast_examples']}), s AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, avg(y) AS my FROM e WHERE clip % 2 = 0),
+z AS (SELECT clip, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b, y - my AS y FROM e, s), g AS (SELECT sum(a * a) + 5 AS aa, sum(a * b) AS ab, sum(b * b) + 5 AS bb, sum(a * y) AS ay, sum(b * y) AS b_y FROM z WHERE clip % 2 = 0),
+w AS (SELECT (ay * bb - b_y * ab) / (aa * bb - ab * ab) AS u, (b_y * aa - ay * ab) / (aa * bb - ab * ab) AS v FROM g) SELECT round(avg(pow(y - u * a - v * b, 2)), 4) AS mse FROM z, w WHERE clip % 2 = 1"""
+
 ORACLES = {
+    "short_forecast": _FORECAST,
     "preprocessed": f"""WITH {SERIES}, {_INV}, q AS (SELECT clip, {', '.join(f'quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}' for c in CHANNELS + DERIVED)} FROM all12 GROUP BY clip) SELECT clip, count(*) AS n, {', '.join(f'round(sum(abs(({c} - q_{c}[2]) / greatest(q_{c}[3] - q_{c}[1], 1e-6))), 3) AS {c}' for c in CHANNELS + DERIVED)} FROM all12 JOIN q USING (clip) GROUP BY clip""",
     "shard_normalised": f"""WITH {SERIES}, x AS ({' UNION ALL '.join(f'SELECT clip, {c} AS x FROM series' for c in CHANNELS)}), m AS (SELECT clip, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END AS s FROM x GROUP BY clip) SELECT clip, {', '.join(f'round(sum(abs(({c} - m) / s)), 4) AS {c}' for c in CHANNELS)} FROM series JOIN m USING (clip) GROUP BY clip""",
     "blended_distances": f"""WITH {CLIPS} SELECT id, group_id, round(0.3 * (quality - min(quality) OVER w) / (max(quality) OVER w - min(quality) OVER w) + 0.7 * (stationary - min(stationary) OVER w) / (max(stationary) OVER w - min(stationary) OVER w), 6) AS score FROM clips WINDOW w AS (PARTITION BY group_id)""",

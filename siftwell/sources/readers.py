@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ranking import failing
+from ..operators.ranking import failing, numbered
 from ..operators.timeseries import CHANNELS
 
 #: Names under which a time column may come.
@@ -248,7 +248,7 @@ def write_report(report: dict, folder: str, name: str, spark: SparkSession) -> N
 
 def submission(rows: DataFrame) -> DataFrame:
     """Rows in order of final_score (former rank among equals), numbered anew, with the fixed columns."""
-    placed = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "rank")))
+    placed = numbered(rows.withColumnRenamed("rank", "__former"), F.desc("final_score"), F.asc("__former"))
     return placed.select(F.col("id").cast("string").alias("worker_id"), "rank", F.col("final_score").alias("score"), F.col("quality").alias("quality_score"), "reason_code")
 
 
