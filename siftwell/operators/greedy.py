@@ -141,6 +141,22 @@ def blended_k_center(rows: DataFrame, alpha: float = 0.5, last_id: bool = False)
     return _grouped(rows, ["v", "w", "quality", "support_distance", "support_distance_w", "eligible"], pick)
 
 
+def _distance_quantile(x: np.ndarray, q: float, eps: float) -> float:
+    """The quantile of all positive distances between unit vectors, by bisection over counts of blocks; ``eps`` where there are none."""
+
+    def below(t: float) -> int:
+        return sum(int(((d := 1 - x[at : at + 512] @ x.T) > eps).sum() - (d > max(t, eps)).sum()) for at in range(0, len(x), 512))
+
+    total = below(np.inf)
+    if not total:
+        return eps
+    low, high = 0.0, 2.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if below(middle) >= q * (total - 1) + 1 else (middle, high)
+    return high
+
+
 def cover_gap(rows: DataFrame, tau: float, eps: float = 1e-12) -> DataFrame:
     """Probabilistic cover of the candidates that the support leaves uncovered.
 
@@ -153,25 +169,41 @@ def cover_gap(rows: DataFrame, tau: float, eps: float = 1e-12) -> DataFrame:
 
     def pick(pdf):
         x, quality, far = _unit(pdf["v"]), pdf["quality"].to_numpy(float), pdf["support_distance"].to_numpy(float)
-        d = 1 - x @ x.T
-        positive = d[d > eps]
-        radius = tau if np.isfinite(tau) and tau > eps else (np.quantile(positive, 0.2) if len(positive) else eps)
-        limit = tau if np.isfinite(tau) and tau > eps else (np.median(far[np.isfinite(far)]) if np.isfinite(far).any() else 0.0)
+        known, n = np.isfinite(tau) and tau > eps, len(x)
+        radius = tau if known else _distance_quantile(x, 0.2, eps)
+        limit = tau if known else (np.median(far[np.isfinite(far)]) if np.isfinite(far).any() else 0.0)
         under = far > limit + eps
-        under = under if under.any() else np.ones(len(x), bool)
-        demand, open_, left = np.where(under, quality, 0.0), under.copy(), np.ones(len(x), bool)
+        under = under if under.any() else np.ones(n, bool)
+        demand = np.where(under, quality, 0.0)
+        weight = np.maximum(demand, eps)
         far = np.where(np.isfinite(far), far, 0.0)
-        ball = d <= radius
-        order, values = [], []
+        # who is in whose ball, by blocks of rows: lists, never a matrix of all pairs
+        centre_of, member, apart = [], [], []
+        for at in range(0, n, 512):
+            d = 1 - x[at : at + 512] @ x.T
+            i, j = np.nonzero((d <= radius) & under[None, :])
+            centre_of.append(i + at), member.append(j), apart.append(d[i, j])
+        i, j, d = (np.concatenate(k) if k else np.zeros(0, int) for k in (centre_of, member, apart))
+        by_member = np.argsort(j, kind="stable")
+        own, held = np.searchsorted(i, np.arange(n + 1)), np.searchsorted(j[by_member], np.arange(n + 1))
+        sums = lambda w: np.bincount(i, w, minlength=n) if len(i) else np.zeros(n)
+        gain, count, total, pull = sums(demand[j]), sums(np.ones(len(j))).astype(int), sums(weight[j]), sums(weight[j] * d)
+        open_, left, order, values = under.copy(), np.ones(n, bool), [], []
         while left.any():
-            new = ball & open_[None, :]
-            gain, n = new @ demand, new.sum(1)
-            weight = new * np.maximum(demand, eps)[None, :]
-            centre = np.where(n > 0, -(weight * d).sum(1) / np.maximum(weight.sum(1), eps), -np.inf)
-            i = _argmax((gain, n, centre, quality, far), left, True)
-            order.append(i), values.append(gain[i])
-            left[i] = False
-            open_ &= ~new[i]
+            some = count > 0
+            close = np.where(some, -pull / np.maximum(total, eps), -np.inf)
+            gain = np.where(some, gain, 0.0)
+            best = _argmax((np.round(gain, 9), count, np.round(close, 9), quality, far), left, True)
+            order.append(best), values.append(gain[best])
+            left[best] = False
+            for k in j[own[best] : own[best + 1]].tolist():
+                if open_[k]:  # met: it drops out of every ball that it is in
+                    open_[k] = False
+                    at = by_member[held[k] : held[k + 1]]
+                    gain[i[at]] -= demand[k]
+                    count[i[at]] -= 1
+                    total[i[at]] -= weight[k]
+                    pull[i[at]] -= weight[k] * d[at]
         return order, values
 
     return _grouped(rows, ["v", "quality", "support_distance"], pick)
