@@ -192,7 +192,7 @@ SELECT c.id, c.id // 2 AS source_id, a.x IS NOT NULL OR b.x IS NOT NULL AS has_g
     "token_files": f"WITH {TOKENS} SELECT seq::VARCHAR AS seq, pos, token FROM tokens",
     "ranked_file": f"""WITH {_SELECTED} SELECT id::VARCHAR AS sample_id, rank, round(novelty, 5) AS score, round(quality, 5) AS quality_score, round(novelty, 5) AS old_novelty_score, quality >= 0.3 AS quality_gate_pass, {_REASONS} = '' AS physical_validity_pass, nullif({_REASONS}, '') AS physical_validity_failure_reasons,
 round(stationary, 5) AS stationary_fraction, round(max_abs, 5) AS max_abs_value, group_id AS new_cluster_id, cluster_size AS new_cluster_size, passed AND NOT within_cap AS was_selected_by_source_cap_fallback, 'source_cap' AS reranker, 'clips/' || id || '.jsonl' AS raw_path FROM sel""",
-    "selection_trace": f"""WITH {_SELECTED} SELECT rank, id::VARCHAR AS worker_id, id::VARCHAR AS sample_id, round(final_score, 6) AS base_score, round(final_score, 6) AS final_score, round(novelty, 6) AS rerank_score, group_id AS cluster_id, NULL AS new_cluster_parent_id, cluster_size AS new_cluster_size,
+    "selection_trace": f"""WITH {_SELECTED} SELECT rank, id::VARCHAR AS worker_id, id::VARCHAR AS sample_id, round(final_score, 6) AS base_score, round(final_score, 6) AS final_score, round(novelty, 6) AS rerank_score, group_id AS cluster_id, NULL::VARCHAR AS new_cluster_parent_id, cluster_size AS new_cluster_size,
 FALSE AS was_selected_by_fallback, passed AS quality_gate_pass, passed AND NOT within_cap AS was_selected_by_source_cap_fallback, round(quality, 6) AS quality_score, {PLAIN_REASON} AS reason_code FROM sel""",
     "final_ids": f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (ORDER BY novelty DESC, quality DESC, id) AS before FROM scored)
 SELECT 'clip_' || id AS worker_id, row_number() OVER (ORDER BY final_score DESC, before) AS rank, round(final_score, 6) AS score, round(quality, 6) AS quality_score, {PLAIN_REASON} AS reason_code FROM r""",
