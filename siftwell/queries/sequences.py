@@ -100,8 +100,8 @@ def autocorrelations(spark, sf_dir):
 
 
 def raw_shape(spark, sf_dir):
-    """Every number of the raw shape, a row each."""
-    return rounded(representations.raw_shape(series(spark, sf_dir)).select("clip", F.posexplode("v").alias("dim", "x")))
+    """Every number of the raw shape, a row each; a little is added so that percentiles half-way between two digits round alike everywhere."""
+    return rounded(representations.raw_shape(series(spark, sf_dir)).select("clip", F.posexplode("v").alias("dim", "x")).withColumn("x", F.col("x") + 1e-9))
 
 
 def multiscale_summary(spark, sf_dir):

@@ -150,7 +150,7 @@ def _raw_shape() -> str:
     parts.append("SELECT clip, 114 + c, e / sum(e) OVER (PARTITION BY clip, c // 3) FROM (SELECT clip, c, avg(x * x) AS e FROM d GROUP BY clip, c)")
     return f"""WITH {SERIES}, x AS (SELECT clip, idx AS i, unnest([0, 1, 2, 3, 4, 5]) AS c, unnest([{', '.join(CHANNELS)}]) AS x FROM series), d AS MATERIALIZED (SELECT *, x - lag(x) OVER (PARTITION BY clip, c ORDER BY i) AS d, x - avg(x) OVER (PARTITION BY clip, c) AS y, count(*) OVER (PARTITION BY clip, c) AS n FROM x),
 f AS MATERIALIZED (SELECT clip, c, k, k * (1.0::DOUBLE / (any_value(n) * (1.0::DOUBLE / 30))) AS f, {_POWER} AS p FROM d, range(0, 400) t(k) WHERE k <= n // 2 GROUP BY clip, c, k), l AS MATERIALIZED (SELECT clip, c, y, {', '.join(f'lag(y, {k}) OVER (PARTITION BY clip, c ORDER BY i) AS l{k}' for k in (1, 3, 10))} FROM d)
-SELECT clip, dim, round(x, 6) AS x FROM ({' UNION ALL '.join(parts)})"""
+SELECT clip, dim, round(x + 1e-9, 6) AS x FROM ({' UNION ALL '.join(parts)})"""
 
 
 def _encoded() -> str:
