@@ -89,6 +89,10 @@ def without(docs: DataFrame, gone: DataFrame, broadcast_rows: int) -> DataFrame:
     return keyed(docs).join(side, F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_hash") == F.col("g_hash")), "left_anti").select("row.*")
 
 
+_BATCH, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+BATCH_ROWS = 2_000
+
+
 def _libc():
     try:
         return ctypes.CDLL("libc.so.6")
@@ -97,7 +101,13 @@ def _libc():
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow``; each task gives what it has freed back to the system, as Python workers live on and would keep the largest task's memory."""
+    """``df.mapInArrow``; each task gives what it has freed back to the system, as Python workers live on and would keep the largest task's memory.
+
+    Unless the session sets it, batches hold at most ``BATCH_ROWS`` rows: whole texts are long rows.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

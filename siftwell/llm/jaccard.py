@@ -235,7 +235,7 @@ def common_in(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarra
 def profiles(docs: DataFrame, width: int, least: int, seed: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, cls, check (another number of the class) and sketch of each document, and each batch's common shingles on one of its rows.
 
-    Shingles of at least ``least`` different sets of a batch are counted; every
+    Shingles of at least ``least`` different sets of a batch, of about two million shingles, are counted; every
     batch of every task adds its counts. So one that is common overall is found
     by the batches where it is, and the more data there are, the rarer a shingle
     may be that some batch still holds often enough.
@@ -243,17 +243,31 @@ def profiles(docs: DataFrame, width: int, least: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
-        sets: list[np.ndarray] = []
-        for b in batches:
-            sets = [x for i in range(0, b.num_rows, 1000) for x in shingles.sets(b.column(2).slice(i, 1000).to_pylist())]
+        ids, hashes, sets, held = [], [], [], 0
+
+        def counted() -> pa.RecordBatch:
             m, classes = len(sets), [class_of(s, seed) for s in sets]
             tokens, n = common_in(list({c: s for c, s in zip(classes, sets)}.values()), least)
             hot, hot_n = [tokens.view(np.int64)] + [None] * (m - 1), [n] + [None] * (m - 1)
             arrays = [
-                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array([class_of(s, seed + 1) for s in sets], pa.int64()), pa.array(map(sketch_of, sets), pa.binary()),
+                pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array([class_of(s, seed + 1) for s in sets], pa.int64()), pa.array(map(sketch_of, sets), pa.binary()),
                 pa.array(hot[:m], pa.list_(pa.int64())), pa.array(hot_n[:m], pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PROFILE.split(", ")])
+            return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PROFILE.split(", ")])
+
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                ids += part.column(0).to_pylist()
+                hashes += part.column(1).to_pylist()
+                new = shingles.sets(part.column(2).to_pylist())
+                sets += new
+                held += sum(map(len, new))
+                if held >= 2_000_000 or len(ids) >= 50_000:
+                    yield counted()
+                    ids, hashes, sets, held = [], [], [], 0
+        if ids:
+            yield counted()
 
     return map_arrow(_texts(docs), run, PROFILE)
 
