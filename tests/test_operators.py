@@ -1,7 +1,9 @@
 """Operators on small hand-made tables."""
 
 import json
+import math
 import tarfile
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -251,3 +253,21 @@ def test_late_events_are_left_out(spark, tmp_path):
     finally:
         query.stop()
     assert got["2024-01-01"] == (1, 1) and got["2024-01-10"] == (1, 0)
+
+
+def test_encoded_means_are_exact(spark):
+    """Each mean of a clip and its quarters is the rational mean of the same doubles, rounded once; infinities stay what nan_to_num makes of them."""
+    r = np.random.default_rng(3)
+    rows = [(c, i, i / 30, *(float(k) / 100 * 7 for k in r.integers(-500, 500, 6))) for c in range(4) for i in range(160)]
+    rows += [(9, i, i / 30, float("inf") if i == 3 else 1.0, *(float(k) for k in r.integers(0, 9, 5))) for i in range(40)]
+    df = spark.createDataFrame(rows, "clip long, idx int, ts double, " + ", ".join(f"{c} double" for c in CHANNELS))
+    names = CHANNELS + timeseries.DERIVED
+    got = {x.clip: x.v for x in representations.handcrafted(df).collect()}
+    same = timeseries.preprocess(df).toPandas().sort_values(["clip", "idx"])
+    for clip in range(4):
+        x = same[same["clip"] == clip][names].to_numpy(float)
+        for part, p in enumerate([x, *np.array_split(x, 4)]):
+            for c in range(12):
+                exact = sum(map(Fraction, p[:, c].tolist())) / len(p)
+                assert got[clip][part * 72 + c] == float(exact)
+    assert len(got[9]) == 512 and all(map(math.isfinite, got[9])) and got[9][0] == np.finfo(float).max
