@@ -1,5 +1,6 @@
 """Operators on small hand-made tables."""
 
+import hashlib
 import json
 import math
 import tarfile
@@ -271,3 +272,28 @@ def test_encoded_means_are_exact(spark):
                 exact = sum(map(Fraction, p[:, c].tolist())) / len(p)
                 assert got[clip][part * 72 + c] == float(exact)
     assert len(got[9]) == 512 and all(map(math.isfinite, got[9])) and got[9][0] == np.finfo(float).max
+
+
+def below(df, node):
+    """The lines under each such node of a plan that has run."""
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, x in enumerate(lines):
+        if node in x:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i + 1 : end])
+
+
+def test_draws_of_a_bootstrap_are_not_broadcast(spark):
+    rows = [(p, u, u % 7 / 7 + (p == "a")) for p in "abc" for u in range(60 + 10 * (p == "b"))]
+    facts = spark.createDataFrame(rows, "policy string, unit long, value double")
+    out = metrics.bootstrap_interval(facts, ["policy"], "unit", "value", 30)
+    assert not any("Generate explode" in x for x in below(out, "BroadcastExchange"))
+    got = {r.policy: r for r in out.collect()}
+    for p in "abc":
+        x = [v for q, _, v in rows if q == p]
+        draw = lambda r, at: min(int(int(hashlib.sha256(f"{r}:{at}".encode()).hexdigest()[:12], 16) / 0xFFFFFFFFFFFF * len(x)), len(x) - 1)
+        means = [np.mean([x[draw(r, at)] for at in range(1, len(x) + 1)]) for r in range(1, 31)]
+        assert got[p].n == len(x) and abs(got[p].mean - np.mean(x)) < 1e-12
+        assert np.allclose([got[p].low, got[p].high], np.quantile(means, [0.025, 0.975]), atol=1e-12)
