@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import dot, unit
 from ..storage import materialise
-from .neighbors import PAIRS, _packed
+from .neighbors import PAIRS, chunk_pairs, unit_rows
 from .ranking import numbered
 
 
@@ -34,24 +34,20 @@ def similar_pairs(rows: DataFrame, threshold: float, block: int = 2048) -> DataF
     """
     import pyarrow as pa
 
-    packed = materialise(_packed(rows.select("id", "v"), block), "blocks")
-    other = packed.select(F.col("block").alias("r_block"), F.col("ids").alias("r_ids"), F.col("m").alias("r_m"))
-    n = (packed.agg(F.max("block")).first()[0] or 0) + 1
-    met = packed.withColumn("r_block", F.explode(F.sequence(F.col("block"), F.lit(n - 1)))).join(other, "r_block")
-
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                x, y = (np.frombuffer(row[m]).reshape(-1, row["dim"]) for m in ("m", "r_m"))
-                x, y = (a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12) for a in (x, y))
-                p, q = np.array(row["ids"], np.int64), np.array(row["r_ids"], np.int64)
-                s = x @ y.T
-                same = row["block"] == row["r_block"]
+    def run(batch: int, left: list, right: list, same: bool) -> pa.Table:
+        out, (left, right) = [], (sorted(s, key=lambda b: int(b[0].min())) for s in (left, right))
+        for i, (p, x, _) in enumerate(left):
+            x = unit_rows(x)
+            for q, y, _ in right[i if same else 0 :]:
+                s = x @ unit_rows(y).T
                 pairs = _forest((s >= threshold) & ((p[:, None] != q[None, :]) if same else True))
-                i, j = (np.array(x, int) for x in (zip(*pairs) if pairs else ((), ())))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[i], q[j])), pa.array(np.maximum(p[i], q[j])), pa.array(1 - s[i, j])], names=["query_id", "ref_id", "distance"])
+                a, b = (np.array(e, int) for e in (zip(*pairs) if pairs else ((), ())))
+                out.append((np.minimum(p[a], q[b]), np.maximum(p[a], q[b]), 1 - s[a, b]))
+        a, b, d = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, float)))
+        return pa.table({"query_id": pa.array(a), "ref_id": pa.array(b), "distance": pa.array(d)})
 
-    return met.select("block", "r_block", "ids", "dim", "m", "r_ids", "r_m").mapInArrow(run, PAIRS)
+    one = rows.select(F.lit(0).cast("long").alias("batch"), "id", "v")
+    return chunk_pairs(one, one, run, PAIRS, block, ordered=True)
 
 
 def _propagated(pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import tarfile
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from siftwell.functions.numeric import minmax, safe_float, unit
@@ -297,3 +298,30 @@ def test_draws_of_a_bootstrap_are_not_broadcast(spark):
         means = [np.mean([x[draw(r, at)] for at in range(1, len(x) + 1)]) for r in range(1, 31)]
         assert got[p].n == len(x) and abs(got[p].mean - np.mean(x)) < 1e-12
         assert np.allclose([got[p].low, got[p].high], np.quantile(means, [0.025, 0.975]), atol=1e-12)
+
+
+def test_neighbours_meet_in_chunks_of_a_strip_at_a_time(spark, monkeypatch):
+    """Many blocks to a chunk, ties across blocks, repeated ids left out: as by plain sorting; an equal result from small and from large chunks."""
+    r = np.random.default_rng(11)
+    x = r.integers(-2, 3, (90, 3)).astype(float)
+    rows = vectors(spark, [(int(i * 7 % 90), v) for i, v in enumerate(x)])
+    by_id = {int(i * 7 % 90): v for i, v in enumerate(x)}
+    for chunk, pairs in ((1, 256), (8, 1)):
+        monkeypatch.setattr(neighbors, "_CHUNK", chunk), monkeypatch.setattr(neighbors, "_PAIRS", pairs), monkeypatch.setattr(neighbors, "_STRIP", 100)
+        got = neighbors.knn_join(rows, rows, 4, "euclidean", True, block=9).orderBy("query_id", "rank").collect()
+        for i in by_id:
+            want = sorted((round(float(np.sqrt(((by_id[i] - by_id[j]) ** 2).sum())), 9), j) for j in by_id if j != i)[:4]
+            assert [(round(g.distance, 9), g.ref_id) for g in got if g.query_id == i] == want
+        split = clusters.components(rows.filter("exists(v, x -> x <> 0)"), 0.95).collect()
+        if chunk == 1:
+            first = {(c.id, c.cluster, c.cluster_size) for c in split}
+        assert {(c.id, c.cluster, c.cluster_size) for c in split} == first
+    one = rows.select(F.lit(0).cast("long").alias("batch"), "id", "v")
+    seen = neighbors.chunk_pairs(one, one, lambda b, left, right, same: pa.table({"n": [len(left) * len(right)], "m": [sum(len(p[0]) for p in left)]}), "n long, m long", 9).collect()
+    assert all(s.n <= 64 for s in seen) and sum(s.m for s in seen) >= 90
+
+
+def test_places_of_the_smallest(spark):
+    r = np.random.default_rng(12)
+    for d in (r.integers(0, 4, (150, 40)).astype(float), np.zeros((70, 9)), np.where(r.random((50, 30)) < 0.5, np.inf, r.random((50, 30)))):
+        assert (neighbors._smallest(d, 5) == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
