@@ -7,11 +7,12 @@ import tarfile
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from siftwell.functions.numeric import minmax, safe_float, unit
-from siftwell.operators import audits, clusters, episodes, greedy, learning, metrics, neighbors, ranking, representations, scores, timeseries, tokens
+from siftwell.operators import audits, clusters, episodes, greedy, labels, learning, metrics, neighbors, ranking, representations, scores, timeseries, tokens
 from siftwell.operators.timeseries import CHANNELS
 from siftwell.plans import benchmark, select
 from siftwell.sources import readers
@@ -325,3 +326,32 @@ def test_places_of_the_smallest(spark):
     r = np.random.default_rng(12)
     for d in (r.integers(0, 4, (150, 40)).astype(float), np.zeros((70, 9)), np.where(r.random((50, 30)) < 0.5, np.inf, r.random((50, 30)))):
         assert (neighbors._smallest(d, 5) == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_greedy_order_measures_few_rows_anew(spark):
+    """The order of a plain search of all rows at every step, from rows' distances taken sixteen at a time at most, and far fewer of them; gains alone from chunks."""
+    r = np.random.default_rng(13)
+    x, y = r.normal(size=(2, 120, 5))
+    y[:20] = x[:20]
+    x[100:] = x[:20]  # equal rows: the better quality, then the smaller id
+    quality, before = np.round(r.random(120), 1), r.random(120) * 0.3
+    u, v = neighbors.unit_rows(x), neighbors.unit_rows(y)
+    after, now, left, want = 1 - u @ v.T, before, list(range(120)), []
+    alone = np.maximum(before - after, 0).mean(1)
+    while left:
+        fall = np.round(np.maximum(now - after, 0).mean(1), 12)
+        i = min(left, key=lambda j: (-fall[j], -quality[j], j))
+        want.append(i), left.remove(i)
+        now = np.minimum(now, after[i])
+    asked = []
+    steps = greedy.lazy_greedy(pd.DataFrame({"quality": quality, "gain": alone}), before, lambda at: asked.append(len(at)) or after[list(at)], 120, 12)
+    assert [i for i, _, _ in steps] == want
+    assert max(asked) <= 16 and sum(asked) < 120 * 12
+    rows = spark.createDataFrame([(0, i, x[i].tolist(), float(quality[i])) for i in range(120)] + [(1, 500, [1.0] * 5, 0.5)], "batch long, id long, v array<double>, quality double")
+    targets = spark.createDataFrame([(0, i, y[i].tolist(), float(before[i])) for i in range(120)], "batch long, id long, v array<double>, before double")
+    got = {g.id: g for g in greedy.alone_gains(rows, targets, block=16).collect()}
+    assert np.allclose([got[i].gain for i in range(120)], alone, atol=1e-12) and got[500].gain == got[500].relative_gain == 0
+    assert abs(got[3].relative_gain - alone[3] / before.mean()) < 1e-12
+    assert [g.id for g in labels.gain_labels(rows.filter("batch = 0"), targets).orderBy("greedy_rank").collect()] == want
+    first = greedy.oracle_greedy(rows.filter("batch = 0"), targets, 3).orderBy("rank").collect()
+    assert [f.id for f in first] == want[:3] and abs(first[-1].value - (before - np.minimum(before, after[want[:3]].min(0))).mean() / before.mean()) < 1e-12
