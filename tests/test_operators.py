@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from siftwell.functions.numeric import minmax, safe_float, unit
-from siftwell.operators import audits, clusters, episodes, greedy, labels, learning, metrics, neighbors, ranking, representations, scores, timeseries, tokens
+from siftwell.operators import audits, clusters, episodes, greedy, labels, learning, metrics, neighbors, ranking, reports, representations, scores, timeseries, tokens
 from siftwell.operators.timeseries import CHANNELS
 from siftwell.plans import benchmark, select
 from siftwell.sources import readers
@@ -355,3 +355,40 @@ def test_greedy_order_measures_few_rows_anew(spark):
     assert [g.id for g in labels.gain_labels(rows.filter("batch = 0"), targets).orderBy("greedy_rank").collect()] == want
     first = greedy.oracle_greedy(rows.filter("batch = 0"), targets, 3).orderBy("rank").collect()
     assert [f.id for f in first] == want[:3] and abs(first[-1].value - (before - np.minimum(before, after[want[:3]].min(0))).mean() / before.mean()) < 1e-12
+
+
+def test_copies_are_searched_once(spark, monkeypatch):
+    """Many rows with one vector: the same neighbours as one search for each row, and only distinct vectors go into it."""
+    r = np.random.default_rng(14)
+    kinds = r.integers(1, 5, (12, 3)).astype(float)
+    kinds = np.unique(kinds / kinds.sum(1, keepdims=True), axis=0)
+    rows = vectors(spark, [(i, kinds[int(k)]) for i, k in enumerate(np.minimum(r.integers(0, 2 * len(kinds), 70), len(kinds) - 1))])
+    plain, real = {}, neighbors.knn_join
+    for g in real(rows, rows, 6, leave_self_out=True).collect():
+        plain.setdefault(g.query_id, {})[g.rank] = g.distance
+    asked = []
+    monkeypatch.setattr(neighbors, "knn_join", lambda q, *a, **k: asked.append(q.count()) or real(q, *a, **k))
+    got = neighbors.knn_of_copies(rows, 6).collect()
+    assert asked[0] <= len(kinds) and len(got) == 70 * 6 and all(g.query_id != g.ref_id for g in got)
+    assert all(abs(plain[g.query_id][g.rank] - g.distance) < 1e-12 for g in got)
+    own = {}
+    for row in rows.collect():
+        own.setdefault(tuple(row.v), []).append(row.id)
+    for ids in own.values():  # equal rows: the smallest ids
+        want = {i: [j for j in ids if j != i][:6] for i in ids}
+        for i in ids:
+            assert [g.ref_id for g in sorted(got, key=lambda g: g.rank) if g.query_id == i][: len(want[i])] == want[i]
+
+
+def test_groups_left_out_meet_once(spark, monkeypatch):
+    """Novelty without each group in turn, as by a search for each; a run of no support row has all of it."""
+    r = np.random.default_rng(15)
+    own = vectors(spark, [(i, r.normal(size=3)) for i in range(9)])
+    support = spark.createDataFrame([(100 + i, r.normal(size=3).tolist(), i % 3) for i in range(20)], "id long, v array<double>, g int")
+    runs = spark.createDataFrame([(0,), (1,), (2,), (7,)], "run long")
+    plain = reports.novelty_by_run(runs, own, support.join(runs, F.col("g") != F.col("run")).select("run", "id", "v"), 4).collect()
+    met, real = [], neighbors.knn_by_batch
+    monkeypatch.setattr(neighbors, "knn_by_batch", lambda q, ref, *a, **k: met.append(ref.count()) or real(q, ref, *a, **k))
+    got = {(x.run, x.id): x for x in reports.novelty_without_group(runs, own, support, "g", 4).collect()}
+    assert met == [20] and len(got) == len(plain) == 36
+    assert all(abs(got[p.run, p.id].novelty - p.novelty) < 1e-12 and got[p.run, p.id]["rank"] == p["rank"] for p in plain)
