@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import dot, unit
 from ..storage import materialise
-from .neighbors import PAIRS, chunk_pairs, unit_rows
+from .neighbors import _STRIP, PAIRS, chunk_pairs, unit_rows
 from .ranking import numbered
 
 
@@ -98,20 +98,43 @@ def _farthest_centres(x: np.ndarray, k: int) -> np.ndarray:
     return x[chosen]
 
 
+def _assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, the first of equal ones, and the squared distance to it.
+
+    By products in strips; rows that these can't tell apart by more than rounding are measured by differences.
+    """
+    labels, own = np.zeros(len(x), int), np.zeros(len(x))
+    squares, size = (centres**2).sum(1), max(1, _STRIP // len(centres))
+    for at in range(0, len(x), size):
+        y = x[at : at + size]
+        d = squares[None, :] - 2 * (y @ centres.T)
+        scale = (y**2).sum(1) + squares.max()
+        near = d <= d.min(1, keepdims=True) + 1e-9 * scale[:, None] + 1e-300
+        first = near.argmax(1)
+        for i in np.nonzero(near.sum(1) > 1)[0].tolist():
+            some = np.nonzero(near[i])[0]
+            gaps = np.concatenate([((y[i] - centres[some[j : j + 4096]]) ** 2).sum(1) for j in range(0, len(some), 4096)])
+            first[i] = some[gaps.argmin()]
+        labels[at : at + size], own[at : at + size] = first, ((y - centres[first]) ** 2).sum(1)
+    return labels, own
+
+
 def _lloyd(x: np.ndarray, k: int, steps: int) -> np.ndarray:
-    """Labels of k-means from farthest-first centres; an empty cluster takes the row farthest from its centre."""
+    """Labels of k-means from farthest-first centres; an empty cluster takes the row farthest from its centre, and one that loses its only row so keeps its centre."""
     centres, labels = _farthest_centres(x, k), np.full(len(x), -1)
     for _ in range(steps):
-        d = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(2)
-        new = d.argmin(1)
+        new, own = _assigned(x, centres)
+        size = np.bincount(new, minlength=k)
         for c in range(k):
-            if not (new == c).any():
-                far = int(d[np.arange(len(x)), new].argmax())
-                new[far] = c
+            if not size[c]:
+                far = int(own.argmax())
+                size[new[far]] -= 1
+                new[far], own[far], size[c] = c, ((x[far] - centres[c]) ** 2).sum(), 1
         if (new == labels).all():
             break
         labels = new
-        centres = np.stack([x[labels == c].mean(0) for c in range(k)])
+        order = np.argsort(labels, kind="stable")
+        centres = np.stack([x[p].mean(0) if len(p) else centres[c] for c, p in enumerate(np.split(order, np.cumsum(size)[:-1]))])
     return labels
 
 

@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import tarfile
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -392,3 +393,30 @@ def test_groups_left_out_meet_once(spark, monkeypatch):
     got = {(x.run, x.id): x for x in reports.novelty_without_group(runs, own, support, "g", 4).collect()}
     assert met == [20] and len(got) == len(plain) == 36
     assert all(abs(got[p.run, p.id].novelty - p.novelty) < 1e-12 and got[p.run, p.id]["rank"] == p["rank"] for p in plain)
+
+
+def test_k_means_holds_strips_of_distances(spark):
+    """Labels as by a table of all rows, centres and dimensions, ties and empty parts included, in a fraction of its memory."""
+
+    def plain(x, k, steps):
+        centres, labels = clusters._farthest_centres(x, k), np.full(len(x), -1)
+        for _ in range(steps):
+            d = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(2)
+            new = d.argmin(1)
+            for c in range(k):
+                if not (new == c).any():
+                    new[int(d[np.arange(len(x)), new].argmax())] = c
+            if (new == labels).all():
+                break
+            labels = new
+            centres = np.stack([x[labels == c].mean(0) if (labels == c).any() else centres[c] for c in range(k)])
+        return labels
+
+    r = np.random.default_rng(16)
+    for x, k in ((r.normal(size=(400, 6)), 30), (r.integers(0, 3, (200, 3)).astype(float), 40), (np.ones((12, 4)), 5)):
+        assert (clusters._lloyd(x, k, 16) == plain(x, k, 16)).all()
+    x = r.normal(size=(3000, 64))
+    tracemalloc.start()
+    clusters._lloyd(x, 150, 2)
+    assert tracemalloc.get_traced_memory()[1] < 3000 * 150 * 64 * 8 / 4
+    tracemalloc.stop()
